@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from imprint.functions.bits import hamming, shru
+from imprint.session import cut_lineage
 
 N_BITS = 64
 MAX_KEYS_PER_ROW = 4096  # flip masks per probe row we accept when choosing the band plan
@@ -199,9 +200,9 @@ def similar_pairs(
     by a third of all files is one row here.
     """
     distinct = hashes.select(F.col(hash_col).alias("h")).where(F.col("h").isNotNull()).distinct()
-    n = None
-    if plan is None or salt_hot_keys:
-        n = distinct.count()
+    # both join sides, the size estimate and the hot-key scan read this one materialised table
+    distinct = cut_lineage(distinct, "distinct-hashes")
+    n = distinct.count()
     pairs = similarity_join(
         distinct.withColumnRenamed("h", "h_a"),
         distinct.withColumnRenamed("h", "h_b"),
