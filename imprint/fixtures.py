@@ -10,14 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from imprint.session import read_table
+from imprint.session import cut_lineage, read_table
 
 # Extensions assigned to media rows by event_id % 5, in this order.
 MEDIA_EXTENSIONS = [".jpg", ".JPG", ".png", ".heic", ".txt"]
 
 
 def media_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file row per event: a bag of names, EXIF strings, mtime, dimensions and sizes."""
+    """One file row per event: a bag of names, EXIF strings, mtime, dimensions and sizes.
+
+    Written once as a table (as a real listing would be a plain scan), so the derivation is not
+    re-evaluated inside every expression that reads ``name``.
+    """
+    return cut_lineage(_media_files(spark, sf_dir), "media-files")
+
+
+def _media_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "value")
     i = F.col("event_id")
     ts = F.col("ts")

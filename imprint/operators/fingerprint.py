@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+from imprint._ship import ship_with_tasks
+
+ship_with_tasks(__name__)
+
 HASH_SIDE = 8  # an 8x8 bit matrix -> 64 bits
 N_BITS = HASH_SIDE * HASH_SIDE
 

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from imprint.session import cut_lineage
+
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | row index within partition
 
 
@@ -39,6 +41,9 @@ def number_rows(
         .withColumn("_imprint_pid", F.shiftright(F.col(mid), _LOCAL_BITS))
         .withColumn("_imprint_local", F.col(mid).bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
     )
+    # the ids are read by two branches (slice counts, join back): write them once so both see
+    # the same ids even if a task is re-run, and so nested numberings keep a short lineage
+    sorted_df = cut_lineage(sorted_df, "numbered")
     slice_keys = list(partition_by) + ["_imprint_pid"]
     slices = sorted_df.groupBy(*slice_keys).agg(
         F.count(F.lit(1)).alias("_imprint_n"), F.min("_imprint_local").alias("_imprint_first")

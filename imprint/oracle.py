@@ -203,4 +203,226 @@ SELECT h, count(*) AS n_files, min(id) AS first_id FROM fp_docs GROUP BY h HAVIN
         + groups_sql(FP_DOCS, "fp_docs", 5)
         + ") GROUP BY group_no"
     )
+    q.update(organise_oracles())
+    return q
+
+
+# ---------------------------------------------------------------- organise plan
+
+_SPLIT_RE = r"^(\.*[^.].*)(\.[^.]*)$"
+_IMAGE_RE = r"\.(png|jpg|jpeg|gif|bmp|heic|heif|webp|tiff)$"
+_EXIF_RE = r"^(\d{4}):(\d{1,2}):(\d{1,2})\s+(\d{1,2}):(\d{1,2}):(\d{1,2})$"
+_NAME_RES = [
+    r"(\d{4})[_\-\.](\d{2})[_\-\.](\d{2})[_\-\s](\d{2}):(\d{2}):(\d{2})",
+    r"(\d{4})[_\-\.](\d{2})[_\-\.](\d{2})[_\-](\d{2})[_\-](\d{2})[_\-](\d{2})",
+    r"(\d{4})[_\-\.](\d{2})[_\-\.](\d{2})",
+    r"(\d{4})(\d{2})(\d{2})[_\-]?(\d{2})[_\-]?(\d{2})[_\-]?(\d{2})",
+    r"(\d{4})(\d{2})(\d{2})",
+    r"(\d{2})[_\-\.](\d{2})[_\-\.](\d{4})[_\-\s](\d{2}):(\d{2}):(\d{2})",
+]
+
+
+def _base(x: str) -> str:
+    return f"(CASE WHEN regexp_matches({x}, '{_SPLIT_RE}') THEN regexp_extract({x}, '{_SPLIT_RE}', 1) ELSE {x} END)"
+
+
+def _ext(x: str) -> str:
+    return f"(CASE WHEN regexp_matches({x}, '{_SPLIT_RE}') THEN regexp_extract({x}, '{_SPLIT_RE}', 2) ELSE '' END)"
+
+
+def _counter(x: str, n: str) -> str:
+    return f"(CASE WHEN {n} = 0 THEN {x} ELSE {_base(x)} || printf('_%03d', {n}) || {_ext(x)} END)"
+
+
+def _mk_ts(y, mo, d, h, mi, s) -> str:
+    return (
+        f"(CASE WHEN ({y}) >= 1 AND ({s}) <= 59 THEN "
+        f"try(make_timestamp(({y})::BIGINT, ({mo})::BIGINT, ({d})::BIGINT, ({h})::BIGINT, ({mi})::BIGINT, ({s})::DOUBLE)) END)"
+    )
+
+
+def _grp(x: str, pat: str, k: int) -> str:
+    return f"TRY_CAST(regexp_extract({x}, '{pat}', {k}) AS INTEGER)"
+
+
+def _exif_time_sql() -> str:
+    s = "COALESCE(NULLIF(exif_original, ''), exif_datetime)"
+    g = [_grp(s, _EXIF_RE, k) for k in range(1, 7)]
+    return f"(CASE WHEN regexp_matches({s}, '{_EXIF_RE}') THEN {_mk_ts(*g)} END)"
+
+
+def _name_time_sql(stem: str) -> str:
+    parts = []
+    for pat in _NAME_RES:
+        n = pat.count("(")
+        g = [_grp(stem, pat, k) for k in range(1, n + 1)]
+        if n == 3:
+            ts = f"(CASE WHEN {g[0]} > 31 THEN {_mk_ts(g[0], g[1], g[2], '12', '0', '0')} END)"
+        else:
+            ts = f"(CASE WHEN {g[0]} > 31 THEN {_mk_ts(*g)} ELSE {_mk_ts(g[2], g[1], g[0], g[3], g[4], g[5])} END)"
+        parts.append(f"(CASE WHEN regexp_matches({stem}, '{pat}') THEN {ts} END)")
+    return "COALESCE(" + ", ".join(parts) + ")"
+
+
+def human_size_sql(x: str) -> str:
+    return (
+        f"(CASE WHEN {x} IS NULL THEN 'unknown' WHEN {x} < 1024 THEN CAST({x} AS VARCHAR) || ' B' "
+        f"WHEN {x} < 1048576 THEN printf('%.1f KB', {x} / 1024.0) ELSE printf('%.1f MB', {x} / 1048576.0) END)"
+    )
+
+
+def organise_sql(
+    rename: bool,
+    convert: bool,
+    target_format: str = "jpg",
+    date_format: str = "%Y%m%d_%H%M%S",
+    short_side: int | None = None,
+    long_side: int | None = None,
+    dry_run: bool = False,
+) -> str:
+    conv = bool(convert or short_side or long_side)
+    fmt = target_format.lower()
+    if rename:
+        new_ext = f"'.{fmt}'" if conv else "ext"
+        t0 = f"strftime(capture_time, '{date_format}') || {new_ext}"
+    else:
+        t0 = f"base || '.{fmt}'" if conv else "name"
+    side = short_side or long_side
+    if side:
+        aspect = "(CAST(w AS DOUBLE) / CAST(h AS DOUBLE))"
+        width_key = "(w < h)" if short_side else "(w > h)"
+        kw = f"({width_key} AND w > {side})"
+        kh = f"(NOT {width_key} AND h > {side})"
+        nw = f"(CASE WHEN {kw} THEN {side} WHEN {kh} THEN CAST(trunc({side} * {aspect}) AS INTEGER) ELSE w END)"
+        nh = f"(CASE WHEN {kw} THEN CAST(trunc({side} / {aspect}) AS INTEGER) WHEN {kh} THEN {side} ELSE h END)"
+    else:
+        nw, nh = "w", "h"
+    src_fmt = f"lower(regexp_replace(ext, '^\\.', ''))"
+    fmt_same = f"({src_fmt} IN ('jpg', 'jpeg'))" if fmt in ("jpg", "jpeg") else f"({src_fmt} = '{fmt}')"
+    dims_same = f"({nw} = w AND {nh} = h)"
+    keep = (
+        f"({fmt_same} AND {dims_same} AND original_size > 0 AND "
+        f"CAST(original_size - enc AS DOUBLE) / CAST(original_size AS DOUBLE) < 0.10)"
+    )
+    decodable = "(w IS NOT NULL AND w > 0 AND h IS NOT NULL AND h > 0)"
+    unchanged = "(t1 = name)" if not conv else "FALSE"
+    if dry_run:
+        status = f"CASE WHEN t1 IS NULL THEN 'ERROR' WHEN {unchanged} THEN 'NO_CHANGE' ELSE 'DRY_RUN' END"
+    elif conv:
+        status = f"CASE WHEN t1 IS NULL OR NOT {decodable} THEN 'ERROR' WHEN {keep} THEN 'COPIED' ELSE 'CONVERTED' END"
+    else:
+        status = f"CASE WHEN t1 IS NULL THEN 'ERROR' WHEN {unchanged} THEN 'NO_CHANGE' ELSE 'RENAMED' END"
+    conv_lit = "TRUE" if conv else "FALSE"
+    sized = f"(status IN ('CONVERTED', 'COPIED') OR (status = 'DRY_RUN' AND {conv_lit} AND {decodable}))"
+    ctes = [
+        MEDIA_FILES,
+        EXISTING_NAMES,
+        f"""files AS (SELECT *, {_base('name')} AS base, {_ext('name')} AS ext FROM media
+                 WHERE regexp_matches(lower(name), '{_IMAGE_RE}'))""",
+        f"""ct AS (SELECT *, {_exif_time_sql()} AS ex_t, {_name_time_sql('base')} AS nm_t FROM files)""",
+        f"""ct2 AS (SELECT *, COALESCE(ex_t, nm_t, mtime) AS capture_time,
+                 CASE WHEN ex_t IS NOT NULL THEN 'exif' WHEN nm_t IS NOT NULL THEN 'name'
+                      WHEN mtime IS NOT NULL THEN 'mtime' END AS time_source FROM ct)""",
+        f"""p0 AS (SELECT event_id, name, base, ext, size_bytes AS original_size, CAST(width AS INTEGER) AS w,
+                 CAST(height AS INTEGER) AS h, encoded_size AS enc, capture_time, time_source, {t0} AS t0 FROM ct2)""",
+        f"""p1 AS (SELECT *, {_counter('t0', 'c')} AS t1 FROM (
+                 SELECT *, CASE WHEN t0 IS NOT NULL THEN
+                   row_number() OVER (PARTITION BY t0 ORDER BY name, event_id) - 1 END AS c FROM p0))""",
+        f"""p2 AS (SELECT *, {status} AS status FROM p1)""",
+        f"""p3 AS (SELECT *,
+                 CASE WHEN {sized} THEN w ELSE 0 END AS orig_w,
+                 CASE WHEN {sized} THEN h ELSE 0 END AS orig_h,
+                 CASE WHEN status = 'COPIED' THEN w WHEN {sized} THEN {nw} ELSE 0 END AS new_w,
+                 CASE WHEN status = 'COPIED' THEN h WHEN {sized} THEN {nh} ELSE 0 END AS new_h,
+                 CASE WHEN status = 'CONVERTED' THEN enc WHEN status = 'DRY_RUN' AND {sized} THEN enc
+                      ELSE original_size END AS new_size FROM p2)""",
+    ]
+    if dry_run:
+        ctes.append("p4 AS (SELECT *, COALESCE(t1, name) AS new_filename FROM p3)")
+    else:
+        taken = "SELECT name FROM existing_names" + ("" if conv else " UNION SELECT name FROM media")
+        sb, se = _base("r"), _ext("r")
+        slot_re = r"^(.*)_([0-9]{3,18})$"
+        ctes += [
+            f"taken AS ({taken})",
+            "claims AS (SELECT event_id AS key, t1 AS target, name FROM p3 WHERE status IN ('RENAMED', 'CONVERTED', 'COPIED'))",
+            "ck AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY name, key) - 1 AS k FROM claims)",
+            "reserved AS (SELECT name AS r FROM taken UNION SELECT target FROM claims)",
+            f"""slot0 AS (SELECT r, {sb} AS rb, {se} AS re FROM reserved)""",
+            f"""slot1 AS (SELECT regexp_extract(rb, '{slot_re}', 1) || re AS target,
+                   TRY_CAST(regexp_extract(rb, '{slot_re}', 2) AS BIGINT) AS j, regexp_extract(rb, '{slot_re}', 2) AS digits
+                   FROM slot0 WHERE regexp_matches(rb, '{slot_re}'))""",
+            """excl AS (SELECT DISTINCT target, j FROM (
+                   SELECT target, j FROM slot1 WHERE j IS NOT NULL AND j >= 1 AND printf('%03d', j) = digits
+                   UNION ALL SELECT name, 0 FROM taken)
+                 WHERE target IN (SELECT target FROM claims))""",
+            "exn AS (SELECT target, j, j - (row_number() OVER (PARTITION BY target ORDER BY j) - 1) AS pos FROM excl)",
+            """merged AS (SELECT target, k AS pos, 1 AS typ, CAST(NULL AS BIGINT) AS j, key FROM ck
+                 UNION ALL SELECT target, pos, 0, j, CAST(NULL AS BIGINT) FROM exn)""",
+            f"""fin AS (SELECT key, {_counter('target', 'rn - 1')} AS final_name FROM (
+                 SELECT *, row_number() OVER (PARTITION BY target ORDER BY pos, typ, j, key) AS rn FROM merged)
+                 WHERE typ = 1)""",
+            """p4 AS (SELECT p3.*, CASE WHEN status IN ('RENAMED', 'CONVERTED', 'COPIED') THEN fin.final_name
+                        ELSE COALESCE(t1, name) END AS new_filename
+                 FROM p3 LEFT JOIN fin ON fin.key = p3.event_id)""",
+        ]
+    body = f"""
+SELECT event_id, name AS filename, new_filename, status, original_size, new_size, orig_w, orig_h, new_w, new_h,
+  {'capture_time' if rename else 'CAST(NULL AS TIMESTAMP)'} AS capture_time,
+  {'time_source' if rename else 'CAST(NULL AS VARCHAR)'} AS time_source,
+  {human_size_sql('original_size')} AS original_size_str, {human_size_sql('new_size')} AS new_size_str,
+  CASE WHEN orig_w <> new_w OR orig_h <> new_h THEN printf('%dx%d -> %dx%d', orig_w, orig_h, new_w, new_h) END AS dims_note
+FROM p4"""
+    return with_(*ctes) + body
+
+
+def status_histogram_sql(plan_sql: str) -> str:
+    return f"""
+SELECT status, count(*) AS n,
+  CAST(list_position(['RENAMED', 'CONVERTED', 'COPIED', 'DRY_RUN', 'NO_CHANGE', 'ERROR', 'ERROR_EXISTS'], status) AS INTEGER) AS ord
+FROM ({plan_sql}) GROUP BY status"""
+
+
+def size_totals_sql(plan_sql: str) -> str:
+    sized = "status IN ('RENAMED', 'CONVERTED', 'COPIED', 'DRY_RUN')"
+    return f"""
+WITH t AS (
+  SELECT CAST(COALESCE(sum(CASE WHEN {sized} THEN original_size END), 0) AS BIGINT) AS total_original,
+         CAST(COALESCE(sum(CASE WHEN {sized} THEN new_size END), 0) AS BIGINT) AS total_new
+  FROM ({plan_sql}))
+SELECT total_original, total_new, total_original - total_new AS saved_bytes,
+  CASE WHEN total_original > 0 AND total_original - total_new <> 0
+       THEN round(CAST(total_original - total_new AS DOUBLE) / CAST(total_original AS DOUBLE) * 100.0, 4) END AS saved_pct,
+  {human_size_sql('total_original')} AS total_original_str, {human_size_sql('total_new')} AS total_new_str,
+  {human_size_sql('total_original - total_new')} AS saved_str
+FROM t"""
+
+
+ORGANISE_CASES = {
+    "organise_rename_inplace": dict(rename=True, convert=False),
+    "organise_dry_run_rename": dict(rename=True, convert=False, dry_run=True),
+    "organise_convert_jpg_rename": dict(rename=True, convert=True, target_format="jpg", date_format="%Y-%m-%d_%H-%M"),
+    "organise_long_side_keep_names": dict(rename=False, convert=False, long_side=1600, target_format="png"),
+    "organise_short_side_dry_run": dict(rename=True, convert=True, short_side=1000, dry_run=True),
+}
+
+
+def organise_oracles() -> dict[str, str]:
+    q = {name: organise_sql(**kw) for name, kw in ORGANISE_CASES.items()}
+    q["capture_time_media"] = with_(
+        MEDIA_FILES,
+        f"""sp AS (SELECT *, {_base('name')} AS base FROM media)""",
+        f"""ct AS (SELECT event_id, name, {_exif_time_sql()} AS exif_time, {_name_time_sql('base')} AS name_time, mtime FROM sp)""",
+    ) + """
+SELECT event_id, name, exif_time, name_time, COALESCE(exif_time, name_time, mtime) AS capture_time,
+  CASE WHEN exif_time IS NOT NULL THEN 'exif' WHEN name_time IS NOT NULL THEN 'name'
+       WHEN mtime IS NOT NULL THEN 'mtime' END AS time_source
+FROM ct"""
+    q["listing_media"] = with_(MEDIA_FILES) + f"""
+SELECT event_id, path, name, {_base('name')} AS base, {_ext('name')} AS ext,
+  regexp_matches(lower(name), '{_IMAGE_RE}') AS is_image
+FROM media"""
+    for name in ("organise_rename_inplace", "organise_convert_jpg_rename"):
+        q[f"status_histogram_{name.removeprefix('organise_')}"] = status_histogram_sql(q[name])
+        q[f"size_totals_{name.removeprefix('organise_')}"] = size_totals_sql(q[name])
     return q

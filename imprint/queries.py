@@ -15,6 +15,11 @@ from imprint.functions.bits import from_hex, to_hex
 from imprint.operators import fingerprint as fpr
 from imprint.operators.grouping import duplicate_groups, exact_duplicates, group_sizes, hash_stats
 from imprint.operators.hamming import closest_non_duplicates, neighbours, similar_pairs
+from imprint.oracle import ORGANISE_CASES
+from imprint.functions import capture_time as ctm
+from imprint.functions.naming import is_image_name, split_ext
+from imprint.plans.organise import OrganiseOptions, organise_plan
+from imprint.plans.summary import size_totals, status_histogram
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -115,6 +120,44 @@ def exact_duplicates_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(fp_docs(spark, sf_dir)).select("h", "n_files", F.col("first_key").alias("first_id"))
 
 
+# ---------------------------------------------------------------- organise side
+
+
+def listing_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every listed file with its base name, extension and image flag."""
+    mf = fixtures.media_files(spark, sf_dir)
+    base, ext = split_ext("name")
+    return mf.select("event_id", "path", "name", base.alias("base"), ext.alias("ext"), is_image_name("name").alias("is_image"))
+
+
+def capture_time_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXIF time, file-name time and the chosen capture time with its source."""
+    mf = fixtures.media_files(spark, sf_dir)
+    return ctm.with_capture_time(mf).select(
+        "event_id", "name", "exif_time", "name_time", "capture_time", "time_source"
+    )
+
+
+def _organise(kw: dict) -> Query:
+    opts = OrganiseOptions(**kw)
+
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        listing = fixtures.media_files(spark, sf_dir)
+        taken = fixtures.existing_names(spark, sf_dir)
+        return organise_plan(listing, opts, taken=taken, key="event_id")
+
+    q.__doc__ = f"P3-P5: organise plan with {kw}."
+    return q
+
+
+def _summary(plan_q: Query, fn) -> Query:
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(plan_q(spark, sf_dir))
+
+    q.__doc__ = f"A6-A8: {fn.__name__} of a plan."
+    return q
+
+
 def registry() -> dict[str, Query]:
     q: dict[str, Query] = {
         "fp_embed_median": fp_embed,
@@ -136,4 +179,12 @@ def registry() -> dict[str, Query]:
     for t in (18, 20, 22):
         q[f"dup_groups_embed_t{t}"] = groups_query(fp_embed, t)
     q["group_sizes_docs_t5"] = group_sizes_docs_t5
+    q["listing_media"] = listing_media
+    q["capture_time_media"] = capture_time_media
+    for name, kw in ORGANISE_CASES.items():
+        q[name] = _organise(kw)
+    for name in ("organise_rename_inplace", "organise_convert_jpg_rename"):
+        short = name.removeprefix("organise_")
+        q[f"status_histogram_{short}"] = _summary(q[name], status_histogram)
+        q[f"size_totals_{short}"] = _summary(q[name], size_totals)
     return q

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "imprint") -> SparkSession:
     """A local session configured like the cluster jobs expect (UTC, AQE on, UI off)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *paths])
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
