@@ -112,9 +112,38 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File listing for embedding-backed images: ``(id, path, name)`` with ``img/<id>.png``."""
-    return embedding_vectors(spark, sf_dir).select(
-        "id",
-        F.concat(F.lit("img/"), F.col("id").cast("string"), F.lit(".png")).alias("path"),
-        F.concat(F.col("id").cast("string"), F.lit(".png")).alias("name"),
+    """File listing for embedding-backed images: ``(id, path)``.
+
+    Most files are ``img/<id>.png``; every 11th is already group-prefixed and every 13th lives
+    in another folder, so the rename plan meets all its cases.
+    """
+    i = F.col("id")
+    path = (
+        F.when(i % 13 == 0, F.concat(F.lit("other/"), i.cast("string"), F.lit(".png")))
+        .when(i % 11 == 0, F.concat(F.lit("img/group-09-"), i.cast("string"), F.lit(".png")))
+        .otherwise(F.concat(F.lit("img/"), i.cast("string"), F.lit(".png")))
+    )
+    return embedding_vectors(spark, sf_dir).select("id", path.alias("path"))
+
+
+def embedding_dir_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshot of the ``img`` folder: its files plus some pre-existing ``group-NN-`` names."""
+    f = embedding_files(spark, sf_dir)
+    own = f.where(F.col("path").startswith("img/")).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"))
+    i = F.col("id")
+    extra = f.where(i % 7 == 0).select(
+        F.concat(F.lit("group-0"), (i % 9 + 1).cast("string"), F.lit("-"), i.cast("string"), F.lit(".png")).alias("name")
+    )
+    return own.unionByName(extra).distinct()
+
+
+def undo_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder listing with group-prefixed names: ``(event_id, name)``."""
+    mf = media_files(spark, sf_dir)
+    i = F.col("event_id")
+    name = (
+        F.when(i % 5 == 0, F.concat(F.lit("group-"), F.lpad((i % 23).cast("string"), 2, "0"), F.lit("-"), F.col("name")))
+        .when(i % 5 == 1, F.concat(F.lit("group-x-"), F.col("name")))
+        .otherwise(F.col("name"))
     )
+    return mf.select("event_id", name.alias("name"))

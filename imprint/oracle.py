@@ -125,10 +125,10 @@ SELECT a.h AS h_a, b.h AS h_b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS dist
 FROM hs a JOIN hs b ON a.h < b.h AND bit_count(xor(a.h, b.h)) <= {t}"""
 
 
-def groups_sql(fp_cte: str, fp_name: str, t: int) -> str:
+def groups_sql(fp_cte: str, fp_name: str, t: int, key: str = "id") -> str:
     """G1 by a sequential walk: a recursive CTE carrying the list of seeds so far."""
     return with_(fp_cte) + f"""
-, hs AS (SELECT h, min(id) AS first_id, count(*) AS n_files FROM {fp_name} GROUP BY h),
+, hs AS (SELECT h, min({key}) AS first_id, count(*) AS n_files FROM {fp_name} GROUP BY h),
 ord AS (SELECT h, first_id, n_files, row_number() OVER (ORDER BY first_id, h) AS k FROM hs),
 walk AS (
   WITH RECURSIVE w(k, seeds) AS (
@@ -147,7 +147,7 @@ grp AS (
   SELECT b.seed, os.k FROM balls b JOIN ord os ON os.h = b.seed
   GROUP BY b.seed, os.k HAVING count(*) > 1 OR sum(b.n_files) > 1),
 numbered AS (SELECT seed, row_number() OVER (ORDER BY k) AS group_no FROM grp)
-SELECT n.group_no, b.seed AS seed_h, f.id, b.h, b.distance
+SELECT n.group_no, b.seed AS seed_h, f.{key}, b.h, b.distance
 FROM numbered n JOIN balls b ON b.seed = n.seed JOIN {fp_name} f ON f.h = b.h"""
 
 
@@ -204,6 +204,7 @@ SELECT h, count(*) AS n_files, min(id) AS first_id FROM fp_docs GROUP BY h HAVIN
         + ") GROUP BY group_no"
     )
     q.update(organise_oracles())
+    q.update(plan_oracles())
     return q
 
 
@@ -265,6 +266,7 @@ def _name_time_sql(stem: str) -> str:
 
 
 def human_size_sql(x: str) -> str:
+    x = f"({x})"
     return (
         f"(CASE WHEN {x} IS NULL THEN 'unknown' WHEN {x} < 1024 THEN CAST({x} AS VARCHAR) || ' B' "
         f"WHEN {x} < 1048576 THEN printf('%.1f KB', {x} / 1024.0) ELSE printf('%.1f MB', {x} / 1048576.0) END)"
@@ -426,3 +428,78 @@ FROM media"""
         q[f"status_histogram_{name.removeprefix('organise_')}"] = status_histogram_sql(q[name])
         q[f"size_totals_{name.removeprefix('organise_')}"] = size_totals_sql(q[name])
     return q
+
+
+# ---------------------------------------------------------------- index, rename, undo
+
+EMBED_FILES = """
+efiles AS (
+  SELECT vec_id AS id,
+    CASE WHEN vec_id % 13 = 0 THEN 'other/' || CAST(vec_id AS VARCHAR) || '.png'
+         WHEN vec_id % 11 = 0 THEN 'img/group-09-' || CAST(vec_id AS VARCHAR) || '.png'
+         ELSE 'img/' || CAST(vec_id AS VARCHAR) || '.png' END AS path
+  FROM embeddings),
+dirnames AS (
+  SELECT DISTINCT name FROM (
+    SELECT regexp_extract(path, '([^/]*)$', 1) AS name FROM efiles WHERE starts_with(path, 'img/')
+    UNION ALL
+    SELECT 'group-0' || CAST(id % 9 + 1 AS VARCHAR) || '-' || CAST(id AS VARCHAR) || '.png' FROM efiles WHERE id % 7 = 0))"""
+
+
+def rename_plan_sql(t: int) -> str:
+    fp = FP_EMBED + "," + EMBED_FILES + """,
+fp_paths AS (SELECT e.path, f.h FROM efiles e JOIN fp_embed f USING (id))"""
+    groups = groups_sql(fp, "fp_paths", t, key="path")
+    return f"""
+WITH groups AS ({groups}),
+{EMBED_FILES.strip()},
+g AS (SELECT DISTINCT group_no, path FROM groups),
+g1 AS (SELECT group_no, path, regexp_extract(path, '([^/]*)$', 1) AS name,
+         regexp_replace(regexp_extract(path, '^(.*)/[^/]*$', 1), '/+$', '') AS dir FROM g),
+g2 AS (SELECT *, printf('group-%02d-', group_no) || name AS new_name FROM g1),
+g3 AS (SELECT g2.*, t.name IS NOT NULL AS taken FROM g2 LEFT JOIN dirnames t ON t.name = g2.new_name),
+w AS (SELECT path, min(group_no) AS winner FROM g3
+      WHERE dir = 'img' AND NOT starts_with(name, 'group-') AND NOT taken GROUP BY path)
+SELECT group_no, g3.path, name, new_name,
+  CASE WHEN dir <> 'img' THEN 'skipped_elsewhere' WHEN starts_with(name, 'group-') THEN 'skipped_prefixed'
+       WHEN taken THEN 'conflict' WHEN group_no <> winner THEN 'error' ELSE 'renamed' END AS outcome
+FROM g3 LEFT JOIN w USING (path)"""
+
+
+UNDO_SQL = with_(MEDIA_FILES) + r""",
+lst AS (
+  SELECT event_id,
+    CASE WHEN event_id % 5 = 0 THEN 'group-' || lpad(CAST(event_id % 23 AS VARCHAR), 2, '0') || '-' || name
+         WHEN event_id % 5 = 1 THEN 'group-x-' || name ELSE name END AS name
+  FROM media),
+cand AS (
+  SELECT event_id, name,
+    CASE WHEN regexp_matches(name, '^group-\d+-(.+)$') THEN regexp_extract(name, '^group-\d+-(.+)$', 1) END AS new_name
+  FROM lst WHERE starts_with(name, 'group-')),
+c2 AS (SELECT cand.*, t.name IS NOT NULL AS taken FROM cand LEFT JOIN (SELECT DISTINCT name FROM lst) t ON t.name = cand.new_name),
+rk AS (SELECT event_id, row_number() OVER (PARTITION BY new_name ORDER BY name, event_id) AS rnk
+       FROM c2 WHERE new_name IS NOT NULL AND NOT taken)
+SELECT c2.event_id, name, new_name,
+  CASE WHEN new_name IS NULL THEN 'error' WHEN taken THEN 'conflict' WHEN rnk > 1 THEN 'conflict' ELSE 'renamed' END AS outcome
+FROM c2 LEFT JOIN rk USING (event_id)"""
+
+
+INDEX_CHANGES_SQL = with_(MEDIA_FILES, MEDIA_PRIOR) + """
+SELECT COALESCE(c.path, o.path) AS path, c.mtime, o.mtime AS old_mtime,
+  CASE WHEN o.path IS NULL THEN 'new' WHEN c.path IS NULL THEN 'deleted'
+       WHEN c.mtime IS NOT DISTINCT FROM o.mtime THEN 'unchanged' ELSE 'changed' END AS action
+FROM (SELECT DISTINCT ON (path) path, mtime FROM media) c
+FULL OUTER JOIN (SELECT DISTINCT ON (path) path, mtime FROM media_prior) o ON c.path = o.path"""
+
+
+def plan_oracles() -> dict[str, str]:
+    q = {
+        "index_changes_media": INDEX_CHANGES_SQL,
+        "index_run_counts_media": f"""
+SELECT {", ".join(f"CAST(count_if(action = '{a}') AS BIGINT) AS n_{a}" for a in ("new", "changed", "unchanged", "deleted"))}
+FROM ({INDEX_CHANGES_SQL})""",
+        "rename_plan_embed_t20": rename_plan_sql(20),
+        "undo_plan_media": UNDO_SQL,
+    }
+    q["rename_counts_embed_t20"] = f"SELECT outcome, count(*) AS n FROM ({q['rename_plan_embed_t20']}) GROUP BY outcome"
+    return q

@@ -20,6 +20,8 @@ from imprint.functions import capture_time as ctm
 from imprint.functions.naming import is_image_name, split_ext
 from imprint.plans.organise import OrganiseOptions, organise_plan
 from imprint.plans.summary import size_totals, status_histogram
+from imprint.operators.index import index_changes, run_counts
+from imprint.plans.group_rename import outcome_counts, rename_plan, undo_plan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -158,6 +160,46 @@ def _summary(plan_q: Query, fn) -> Query:
     return q
 
 
+# ---------------------------------------------------------------- index, rename and undo plans
+
+
+def index_changes_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reconcile the current listing with an older index state."""
+    return index_changes(fixtures.media_files(spark, sf_dir), fixtures.media_prior(spark, sf_dir))
+
+
+def index_run_counts_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: new / changed / unchanged / deleted counts of one index run."""
+    return run_counts(index_changes_media(spark, sf_dir))
+
+
+def _embed_groups_by_path(spark: SparkSession, sf_dir: str, t: int) -> DataFrame:
+    files = fixtures.embedding_files(spark, sf_dir).join(fp_embed(spark, sf_dir), "id")
+    return duplicate_groups(files, t, key_col="path", hash_col="h")
+
+
+def rename_plan_embed(t: int) -> Query:
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        groups = _embed_groups_by_path(spark, sf_dir, t)
+        return rename_plan(groups, "img", fixtures.embedding_dir_names(spark, sf_dir))
+
+    q.__doc__ = f"P1/W3/J7: group-prefix rename plan for duplicate groups at threshold {t}."
+    return q
+
+
+def rename_counts_embed(t: int) -> Query:
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return outcome_counts(rename_plan_embed(t)(spark, sf_dir))
+
+    q.__doc__ = f"A9: outcomes of the rename plan at threshold {t}."
+    return q
+
+
+def undo_plan_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Undo plan over a listing with group-prefixed names."""
+    return undo_plan(fixtures.undo_listing(spark, sf_dir), key="event_id")
+
+
 def registry() -> dict[str, Query]:
     q: dict[str, Query] = {
         "fp_embed_median": fp_embed,
@@ -187,4 +229,9 @@ def registry() -> dict[str, Query]:
         short = name.removeprefix("organise_")
         q[f"status_histogram_{short}"] = _summary(q[name], status_histogram)
         q[f"size_totals_{short}"] = _summary(q[name], size_totals)
+    q["index_changes_media"] = index_changes_media
+    q["index_run_counts_media"] = index_run_counts_media
+    q["rename_plan_embed_t20"] = rename_plan_embed(20)
+    q["rename_counts_embed_t20"] = rename_counts_embed(20)
+    q["undo_plan_media"] = undo_plan_media
     return q
