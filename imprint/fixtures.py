@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from imprint.session import cut_lineage, read_table
+from imprint.session import cut_lineage, read_table, spread
 
 # Extensions assigned to media rows by event_id % 5, in this order.
 MEDIA_EXTENSIONS = [".jpg", ".JPG", ".png", ".heic", ".txt"]
@@ -22,7 +22,7 @@ def media_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     Written once as a table (as a real listing would be a plain scan), so the derivation is not
     re-evaluated inside every expression that reads ``name``.
     """
-    return cut_lineage(_media_files(spark, sf_dir), "media-files")
+    return cut_lineage(spread(_media_files(spark, sf_dir)), "media-files")
 
 
 def _media_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,7 @@ def existing_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embedding_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(id, vec)`` from ``embeddings``."""
-    return read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return spread(read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")))
 
 
 def grid8(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ def grid9x8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def embedding_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ because ``make_timestamp`` would accept them.  ``\\d`` and ``\\s`` are ASCII-onl
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,29 +46,35 @@ def exif_time(original: Column | str, fallback: Column | str) -> Column:
     return F.when(s.rlike(EXIF_LAYOUT), _ts(*g))
 
 
+def _widths(pattern: str) -> list[int]:
+    """Digit counts of the groups of a pattern, read from its ``\\d{n}`` parts."""
+    return [int(n) for n in re.findall(r"\\d\{(\d)\}", pattern)]
+
+
 def name_time_from_stem(df: DataFrame, stem: str, out: str = "name_time") -> DataFrame:
     """First of the six patterns that yields a valid date, on the name without extension.
 
     A pattern whose leftmost match is not a valid date passes to the next pattern.  A first
     group above 31 is a year; otherwise six groups are read day, month, year, time.  Each
-    regex group is extracted once into its own column, so no expression is repeated.
+    pattern runs once per row: the digits of its leftmost match are kept and sliced by the
+    group widths (separators are single non-digit characters).
     """
-    tmp: list[str] = []
+    tmp = []
     for i, pat in enumerate(NAME_PATTERNS):
-        n_groups = pat.count("(")
-        cols = [f"_p{i}_g{k}" for k in range(n_groups)]
-        df = df.withColumn(f"_p{i}", F.col(stem).rlike(pat))
-        for k, c in enumerate(cols):
-            df = df.withColumn(c, F.when(F.col(f"_p{i}"), F.regexp_extract(stem, pat, k + 1).try_cast("int")))
-        tmp += [f"_p{i}", *cols]
+        df = df.withColumn(f"_m{i}", F.regexp_replace(F.regexp_extract(stem, pat, 0), "[^0-9]", ""))
+        tmp.append(f"_m{i}")
     cands = []
     for i, pat in enumerate(NAME_PATTERNS):
-        g = [F.col(f"_p{i}_g{k}") for k in range(pat.count("("))]
+        m = F.col(f"_m{i}")
+        g, pos = [], 1
+        for w in _widths(pat):
+            g.append(F.substring(m, pos, w).try_cast("int"))
+            pos += w
         if len(g) == 3:
             ts = F.when(g[0] > 31, _ts(g[0], g[1], g[2], F.lit(NOON), F.lit(0), F.lit(0)))
         else:
             ts = F.when(g[0] > 31, _ts(*g)).otherwise(_ts(g[2], g[1], g[0], g[3], g[4], g[5]))
-        cands.append(ts)
+        cands.append(F.when(m != "", ts))
     return df.withColumn(out, F.coalesce(*cands)).drop(*tmp)
 
 

@@ -173,6 +173,8 @@ def similarity_join(
         n_probe = probe.count() if n_probe is None else n_probe
         n_index = index.count() if n_index is None else n_index
         plan = choose_band_plan(threshold, max(n_probe, 1), max(n_index, 1))
+    if plan.keys_per_row > MAX_KEYS_PER_ROW:
+        raise ValueError(f"band plan needs {plan.keys_per_row} probe keys per row; use more bands")
     irows = _index_rows(index, index_hash, plan)
     prows = _probe_rows(probe, probe_hash, plan)
     keys = ["_band", "_key"]

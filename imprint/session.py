@@ -73,3 +73,14 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a scan that has fewer partitions than the cluster has cores.
+
+    A small input stored as one row group arrives as one task; CPU-heavy row work (hashing,
+    parsing) would then run on one core.  Large inputs already have many partitions and pass
+    through untouched, so this never adds a shuffle at scale.
+    """
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
