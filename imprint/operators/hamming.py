@@ -32,6 +32,8 @@ MAX_KEYS_PER_ROW = 4096  # flip masks per probe row we accept when choosing the
 HOT_KEY_MIN_ROWS = 20_000  # an index key with more rows than this is salted
 MAX_HOT_KEYS = 20_000  # bound on the broadcast hot-key table
 TARGET_ROWS_PER_SALT = 20_000
+MAX_SALTS = 4096  # tasks one hot key is split into
+SAMPLE_PER_HOT_KEY = 100  # sampled rows expected per hot key at the threshold
 
 
 @dataclass(frozen=True)
@@ -126,14 +128,26 @@ def _first_band_ok(x: Column, band: Column, plan: BandPlan) -> Column:
 
 
 def _salt_hot_keys(index: DataFrame, probe: DataFrame, n_index_rows: int, h_index: str):
-    """Split hot (band, key) groups of the index side over salts; replicate their probe rows."""
+    """Split hot (band, key) groups of the index side over salts; replicate their probe rows.
+
+    Hot keys are found on a Bernoulli sample of about ``SAMPLE_PER_HOT_KEY * MAX_HOT_KEYS``
+    index rows (no shuffle of the whole index side).  Salting only changes parallelism: every
+    probe row meets every salt of its key, so the join stays exact whatever the sample says.
+    """
     hot_min = max(HOT_KEY_MIN_ROWS, math.ceil(n_index_rows / MAX_HOT_KEYS))
-    # at most n_index_rows / hot_min <= MAX_HOT_KEYS rows: a proven bound for the broadcast
+    fraction = min(1.0, SAMPLE_PER_HOT_KEY * MAX_HOT_KEYS / max(n_index_rows, 1))
+    sample = index if fraction >= 1.0 else index.sample(fraction=fraction, seed=17)
+    # a key kept here has >= hot_min * fraction sampled rows, so there are at most
+    # n_index_rows / hot_min <= MAX_HOT_KEYS of them: a proven bound for the broadcast
     hot = (
-        index.groupBy("_band", "_key")
+        sample.groupBy("_band", "_key")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > hot_min)
-        .select("_band", "_key", F.ceil(F.col("_n") / TARGET_ROWS_PER_SALT).cast("int").alias("_salts"))
+        .where(F.col("_n") > hot_min * fraction)
+        .select(
+            "_band",
+            "_key",
+            F.least(F.ceil(F.col("_n") / fraction / TARGET_ROWS_PER_SALT), F.lit(MAX_SALTS)).cast("int").alias("_salts"),
+        )
     )
     hot_b = F.broadcast(hot)
     index = (
