@@ -38,6 +38,12 @@ def is_image_name(name: Column | str) -> Column:
     return F.lower(_col(name)).rlike(IMAGE_NAME)
 
 
+def norm_path(path: Column | str) -> Column:
+    """One spelling per file: ``scheme:///x`` (empty authority) becomes ``scheme:/x``, as the
+    ``binaryFile`` listing spells it; the ``image`` source reports the long form."""
+    return F.regexp_replace(_col(path), r"^([A-Za-z][A-Za-z0-9+.\-]*):///", "$1:/")
+
+
 def basename(path: Column | str) -> Column:
     return F.regexp_extract(_col(path), r"([^/]*)$", 1)
 

@@ -209,8 +209,9 @@ def simhash_numpy(hashes: np.ndarray) -> int:
     """Charikar SimHash of one document's token hashes: bit set when more tokens have it than not."""
     if len(hashes) == 0:
         return 0
-    bits = (hashes.astype(np.int64).view(np.uint64)[:, None] >> np.arange(N_BITS, dtype=np.uint64)) & np.uint64(1)
-    ones = bits.sum(axis=0, dtype=np.int64)
+    # little-endian bytes, bits unpacked least significant first: column k is bit k
+    raw = np.ascontiguousarray(hashes.astype("<i8")).view(np.uint8).reshape(-1, 8)
+    ones = np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(pack_flags_numpy((2 * ones > len(hashes))[None, :])[0])
 
 

@@ -65,25 +65,28 @@ def leader_seeds(pairs: DataFrame, nodes: DataFrame, max_rounds: int | None = No
     undecided = cut_lineage(
         active.select(F.col("src").alias("h")).union(active.select(F.col("dst").alias("h"))).distinct(), "g1-nodes"
     )
-    seeds: DataFrame | None = None
+    seed_parts: list[DataFrame] = []
     rounds = 0
     while not active.isEmpty():
         rounds += 1
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError(f"grouping did not converge in {max_rounds} rounds")
+        # both inputs are written tables, so this anti join is cheap to evaluate again later
         new_seeds = undecided.join(active.select(F.col("dst").alias("h")), "h", "left_anti")
-        new_seeds = cut_lineage(new_seeds, "g1-seeds")
         covered = active.join(new_seeds.select(F.col("h").alias("src")), "src", "left_semi").select(
             F.col("dst").alias("h")
         )
         decided = new_seeds.unionByName(covered)
-        active = active.join(decided.select(F.col("h").alias("src")), "src", "left_anti").join(
+        next_active = active.join(decided.select(F.col("h").alias("src")), "src", "left_anti").join(
             decided.select(F.col("h").alias("dst")), "dst", "left_anti"
         )
-        undecided = undecided.join(decided, "h", "left_anti")
-        active = cut_lineage(active, "g1-edges")
-        undecided = cut_lineage(undecided, "g1-nodes")
-        seeds = new_seeds if seeds is None else cut_lineage(seeds.unionByName(new_seeds), "g1-seedset")
+        next_undecided = undecided.join(decided, "h", "left_anti")
+        seed_parts.append(new_seeds)
+        active = cut_lineage(next_active, "g1-edges")
+        undecided = cut_lineage(next_undecided, "g1-nodes")
+    seeds = None
+    for part in seed_parts:
+        seeds = part if seeds is None else seeds.unionByName(part)
     # with no edge left, every remaining undecided hash has no undecided earlier neighbour
     return undecided if seeds is None else seeds.unionByName(undecided)
 
@@ -99,7 +102,10 @@ def duplicate_groups(
 
     ``group_no`` counts from 1 in seed order; files of a hash in two balls appear in both groups.
     """
-    files = files.select(F.col(key_col).alias("_key"), F.col(hash_col).alias("h")).where(F.col("h").isNotNull())
+    # fingerprints are costly (decode, hashing) and read twice below: write the narrow table once
+    files = cut_lineage(
+        files.select(F.col(key_col).alias("_key"), F.col(hash_col).alias("h")).where(F.col("h").isNotNull()), "g1-files"
+    )
     nodes = cut_lineage(hash_table(files, "_key", "h"), "g1-hashes")
     pairs = cut_lineage(similar_pairs(nodes, threshold, "h", plan=plan), "g1-pairs")  # G1a
     seeds = leader_seeds(pairs, nodes)

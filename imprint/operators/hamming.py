@@ -194,8 +194,9 @@ def similarity_join(
     keys = ["_band", "_key"]
     if salt_hot_keys:
         n_index = index.count() if n_index is None else n_index
-        irows, prows = _salt_hot_keys(irows, prows, n_index * plan.bands, index_hash)
-        keys.append("_salt")
+        if n_index > HOT_KEY_MIN_ROWS:  # below that no key can be hot: skip the sampling job
+            irows, prows = _salt_hot_keys(irows, prows, n_index * plan.bands, index_hash)
+            keys.append("_salt")
     cand = prows.join(irows, keys, "inner")
     x = F.col(probe_hash).bitwiseXOR(F.col(index_hash))
     dist = hamming(probe_hash, index_hash)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from imprint._ship import ship_with_tasks
+from imprint.functions.naming import norm_path
 from imprint.operators.fingerprint import fingerprint
 
 ship_with_tasks(__name__)
@@ -36,7 +37,7 @@ def decode(spark: SparkSession, directory: str, modified_after: str | None = Non
         r = r.option("modifiedAfter", modified_after)
     img = r.load(directory)
     return img.select(
-        F.col("image.origin").alias("path"),
+        norm_path(F.col("image.origin")).alias("path"),
         F.col("image.width").alias("width"),
         F.col("image.height").alias("height"),
         F.col("image.nChannels").alias("channels"),

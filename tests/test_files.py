@@ -83,3 +83,40 @@ def test_exif_headers(spark):
     df = spark.createDataFrame([("x.jpg", jpeg), ("y.jpg", b"\xff\xd8\xff\xe1\x00")], "path string, content binary")
     got = {r.path: (r.exif_original, r.exif_datetime) for r in exif_from_content(df).collect()}
     assert got == {"x.jpg": ("2023:07:08 09:10:11", "2024:01:02 03:04:05"), "y.jpg": (None, None)}
+
+
+def test_hash_only_changed_files(spark, tmp_path):
+    import os
+    import time
+
+    from pyspark.sql import functions as F
+
+    from imprint.operators.index import index_changes, to_hash, update_index
+    from imprint.sources.images import hash_changed
+    from imprint.sources.listing import list_images
+
+    d = tmp_path / "lib"
+    d.mkdir()
+    for i in range(3):
+        (d / f"p{i}.png").write_bytes(png_bytes(pattern(10 + i)))
+    old_t = time.time() - 3600
+    for i in range(3):
+        os.utime(d / f"p{i}.png", (old_t, old_t))
+    listing = list_images(spark, str(d))
+    first = hash_changed(spark, str(d), to_hash(index_changes(listing, spark.createDataFrame([], "path string, mtime timestamp_ntz"))))
+    index = update_index(spark.createDataFrame([], "path string, mtime timestamp_ntz, h long"),
+                         index_changes(listing, spark.createDataFrame([], "path string, mtime timestamp_ntz")), first)
+    index = spark.createDataFrame(index.collect(), "path string, mtime timestamp_ntz, h long")
+    assert index.count() == 3
+    (d / "p1.png").write_bytes(png_bytes(pattern(99)))  # modified now
+    (d / "p3.png").write_bytes(png_bytes(pattern(13)))  # new
+    os.remove(d / "p2.png")  # deleted
+    listing = list_images(spark, str(d))
+    ch = index_changes(listing, index)
+    wanted = to_hash(ch)
+    hashed = hash_changed(spark, str(d), wanted)
+    assert {r.path.rsplit("/", 1)[1] for r in hashed.collect()} == {"p1.png", "p3.png"}
+    new = {r.path.rsplit("/", 1)[1]: r.h for r in update_index(index, ch, hashed).collect()}
+    old = {r.path.rsplit("/", 1)[1]: r.h for r in index.collect()}
+    assert set(new) == {"p0.png", "p1.png", "p3.png"}
+    assert new["p0.png"] == old["p0.png"] and new["p1.png"] != old["p1.png"]
