@@ -203,6 +203,11 @@ SELECT h, count(*) AS n_files, min(id) AS first_id FROM fp_docs GROUP BY h HAVIN
         + groups_sql(FP_DOCS, "fp_docs", 5)
         + ") GROUP BY group_no"
     )
+    q["pair_labels_embed_t22"] = f"""
+SELECT *, CASE WHEN distance = 0 THEN 'exact' WHEN distance BETWEEN 1 AND 5 THEN 'very similar'
+  WHEN distance BETWEEN 6 AND 10 THEN 'similar' WHEN distance BETWEEN 11 AND 15 THEN 'recognisable'
+  WHEN distance BETWEEN 16 AND 64 THEN 'different' END AS label
+FROM ({pairs_sql(FP_EMBED, "fp_embed", 22)})"""
     q.update(organise_oracles())
     q.update(plan_oracles())
     return q

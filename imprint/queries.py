@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imprint import fixtures
-from imprint.functions.bits import from_hex, to_hex
+from imprint.functions.bits import from_hex, similarity_label, to_hex
 from imprint.operators import fingerprint as fpr
 from imprint.operators.grouping import duplicate_groups, exact_duplicates, group_sizes, hash_stats
 from imprint.operators.hamming import closest_non_duplicates, neighbours, similar_pairs
@@ -107,6 +107,11 @@ def groups_query(source: Query, t: int) -> Query:
     return q
 
 
+def pair_labels_embed_t22(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J5+C18: pairs within 22 with the threshold-guide wording of their distance."""
+    return similar_pairs(fp_embed(spark, sf_dir), 22).withColumn("label", similarity_label("distance"))
+
+
 def group_sizes_docs_t5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4: size of every duplicate group of documents at threshold 5."""
     return group_sizes(duplicate_groups(fp_docs(spark, sf_dir), 5))
@@ -221,6 +226,7 @@ def registry() -> dict[str, Query]:
     for t in (18, 20, 22):
         q[f"dup_groups_embed_t{t}"] = groups_query(fp_embed, t)
     q["group_sizes_docs_t5"] = group_sizes_docs_t5
+    q["pair_labels_embed_t22"] = pair_labels_embed_t22
     q["listing_media"] = listing_media
     q["capture_time_media"] = capture_time_media
     for name, kw in ORGANISE_CASES.items():
