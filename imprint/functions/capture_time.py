@@ -70,10 +70,14 @@ def name_time_from_stem(df: DataFrame, stem: str, out: str = "name_time") -> Dat
         for w in _widths(pat):
             g.append(F.substring(m, pos, w).try_cast("int"))
             pos += w
+        year_first = g[0] > 31
         if len(g) == 3:
-            ts = F.when(g[0] > 31, _ts(g[0], g[1], g[2], F.lit(NOON), F.lit(0), F.lit(0)))
+            ts = F.when(year_first, _ts(g[0], g[1], g[2], F.lit(NOON), F.lit(0), F.lit(0)))
         else:
-            ts = F.when(g[0] > 31, _ts(*g)).otherwise(_ts(g[2], g[1], g[0], g[3], g[4], g[5]))
+            # one constructor call per pattern: the group order is picked by the first group
+            y = F.when(year_first, g[0]).otherwise(g[2])
+            d = F.when(year_first, g[2]).otherwise(g[0])
+            ts = _ts(y, g[1], d, g[3], g[4], g[5])
         cands.append(F.when(m != "", ts))
     return df.withColumn(out, F.coalesce(*cands)).drop(*tmp)
 

@@ -135,7 +135,9 @@ def organise_plan(
     conv = opts.converting
     files = listing.where(is_image_name("name"))  # S1/F1
     if opts.rename:
-        files = with_capture_time(files)
+        # stage boundary: the parsed times are a narrow table; fusing the parsers into the
+        # numbering stage overflows the 64 KB generated-method limit
+        files = cut_lineage(with_capture_time(files), "capture-time")
     base, ext = split_ext("name")
     ct, src = F.col("capture_time"), F.col("time_source")
     if opts.rename:
