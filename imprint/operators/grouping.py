@@ -137,3 +137,11 @@ def group_sizes(groups: DataFrame, key_col: str = "id") -> DataFrame:
     return groups.groupBy("group_no").agg(
         F.count(F.lit(1)).alias("n_files"), F.countDistinct("h").alias("n_hashes")
     )
+
+
+def group_listing(groups: DataFrame, key_col: str = "id") -> DataFrame:
+    """Groups in listing order - group number, then distance to the seed, then file key.
+
+    A global sort is a presentation step; plans and counts use the unordered table.
+    """
+    return groups.orderBy("group_no", "distance", key_col)

@@ -507,4 +507,5 @@ FROM ({INDEX_CHANGES_SQL})""",
         "undo_plan_media": UNDO_SQL,
     }
     q["rename_counts_embed_t20"] = f"SELECT outcome, count(*) AS n FROM ({q['rename_plan_embed_t20']}) GROUP BY outcome"
+    q["undo_counts_media"] = f"SELECT outcome, count(*) AS n FROM ({UNDO_SQL}) GROUP BY outcome"
     return q

@@ -205,6 +205,11 @@ def undo_plan_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return undo_plan(fixtures.undo_listing(spark, sf_dir), key="event_id")
 
 
+def undo_counts_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of the undo plan."""
+    return outcome_counts(undo_plan_media(spark, sf_dir))
+
+
 def registry() -> dict[str, Query]:
     q: dict[str, Query] = {
         "fp_embed_median": fp_embed,
@@ -240,4 +245,5 @@ def registry() -> dict[str, Query]:
     q["rename_plan_embed_t20"] = rename_plan_embed(20)
     q["rename_counts_embed_t20"] = rename_counts_embed(20)
     q["undo_plan_media"] = undo_plan_media
+    q["undo_counts_media"] = undo_counts_media
     return q
