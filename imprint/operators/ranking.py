@@ -30,12 +30,12 @@ def number_rows(
 
     ``order`` must make rows unique within a group for a deterministic answer.
     """
-    spark = df.sparkSession
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in partition_by] + [F.col(c) if isinstance(c, str) else c for c in order]
     mid = "_imprint_mid"
+    # without an explicit count AQE may merge neighbouring range partitions (order is kept)
+    ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
     sorted_df = (
-        df.repartitionByRange(parts, *keys)
+        ranged
         .sortWithinPartitions(*keys)
         .withColumn(mid, F.monotonically_increasing_id())
         .withColumn("_imprint_pid", F.shiftright(F.col(mid), _LOCAL_BITS))
