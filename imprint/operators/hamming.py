@@ -234,6 +234,28 @@ def similar_pairs(
     return pairs.where(F.col("h_a") < F.col("h_b")).select("h_a", "h_b", "distance")
 
 
+def join_stats(hashes: DataFrame, threshold: int, hash_col: str = "h") -> dict:
+    """Sizes of the J5 self-join on distinct hashes: band plan, probe rows, equi-join candidates
+    (before the distance and first-band filters) and result pairs.  For reports, not queries."""
+    distinct = cut_lineage(
+        hashes.select(F.col(hash_col).alias("h")).where(F.col("h").isNotNull()).distinct(), "stats-hashes"
+    )
+    n = distinct.count()
+    plan = choose_band_plan(threshold, max(n, 1), max(n, 1))
+    probe = _probe_rows(distinct.withColumnRenamed("h", "h_a"), "h_a", plan)
+    index = _index_rows(distinct.withColumnRenamed("h", "h_b"), "h_b", plan)
+    cand = probe.join(index, ["_band", "_key"]).where(F.col("h_a") < F.col("h_b"))
+    return {
+        "hashes": n,
+        "bands": plan.bands,
+        "radius": plan.radius,
+        "probe_rows": probe.count(),
+        "candidates": cand.count(),
+        "pairs": similar_pairs(distinct, threshold, plan=plan, salt_hot_keys=False).count(),
+        "all_pairs": n * (n - 1) // 2,
+    }
+
+
 def range_search(index: DataFrame, query_hash: Column, threshold: int, hash_col: str = "h") -> DataFrame:
     """Rows of ``index`` within ``threshold`` of one query hash, with ``distance``.
 
