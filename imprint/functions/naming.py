@@ -3,8 +3,6 @@ C6, C7, C15, C16)."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,7 +129,3 @@ def strip_group_prefix(name: Column | str) -> Column:
     """The name without its ``group-<n>-`` prefix, NULL when it does not parse."""
     n = _col(name)
     return F.when(n.rlike(GROUP_PREFIX_RE), F.regexp_extract(n, GROUP_PREFIX_RE, 1))
-
-
-def literal_regex(s: str) -> str:
-    return re.escape(s)

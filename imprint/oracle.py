@@ -151,9 +151,6 @@ SELECT n.group_no, b.seed AS seed_h, f.{key}, b.h, b.distance
 FROM numbered n JOIN balls b ON b.seed = n.seed JOIN {fp_name} f ON f.h = b.h"""
 
 
-QUERY_EMBED_ID = "(SELECT min(id) FROM fp_embed)"
-
-
 def neighbours_sql(t: int) -> str:
     return with_(FP_EMBED) + f"""
 , files AS (SELECT id, 'img/' || CAST(id AS VARCHAR) || '.png' AS path, h FROM fp_embed),
