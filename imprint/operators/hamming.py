@@ -9,9 +9,14 @@ kept only at the *first* band that satisfies the bound, so there is no ``distinc
 distance filter removes the rest.  No false negatives, no sampling.
 
 ``m`` is chosen by a cost model (probe rows + expected candidates).  A band value shared by
-very many hashes (blank image areas) is salted: its index rows are split over several salts and
-the probe rows for that key are replicated per salt, so one hot key is many tasks.  The hot-key
-table is bounded by construction (``<= index rows / hot threshold``) before it is broadcast.
+very many hashes (blank image areas) would make its key quadratic and one task.  Such hot keys
+are found on a bounded sample and joined again on *sub-bands of the other bits*: two hashes
+that meet on band ``j`` differ by at most the probe's flips there, so the remaining distance
+lives outside band ``j`` and the pigeonhole applies again.  The sub-join is keyed by
+``(band, key, sub-band, sub-value)``, which spreads the hot key over many tasks and cuts its
+candidates by ``2**width`` per sub-band; a first-sub-band rule keeps one copy of each pair.  The
+hot-key table is bounded by construction (``<= index rows / hot threshold``) before it is
+broadcast.
 """
 
 from __future__ import annotations
@@ -29,10 +34,8 @@ from imprint.session import cut_lineage
 
 N_BITS = 64
 MAX_KEYS_PER_ROW = 4096  # flip masks per probe row we accept when choosing the band plan
-HOT_KEY_MIN_ROWS = 20_000  # an index key with more rows than this is salted
+HOT_KEY_MIN_ROWS = 20_000  # an index key with more rows than this is re-banded
 MAX_HOT_KEYS = 20_000  # bound on the broadcast hot-key table
-TARGET_ROWS_PER_SALT = 20_000
-MAX_SALTS = 4096  # tasks one hot key is split into
 SAMPLE_PER_HOT_KEY = 100  # sampled rows expected per hot key at the threshold
 
 
@@ -127,40 +130,96 @@ def _first_band_ok(x: Column, band: Column, plan: BandPlan) -> Column:
     return reduce(lambda a, b: a & b, conds, F.lit(True))
 
 
-def _salt_hot_keys(index: DataFrame, probe: DataFrame, n_index_rows: int, h_index: str):
-    """Split hot (band, key) groups of the index side over salts; replicate their probe rows.
+def _hot_keys(index: DataFrame, n_index_rows: int) -> DataFrame:
+    """Index keys ``(band, key)`` holding more than the hot threshold of rows.
 
-    Hot keys are found on a Bernoulli sample of about ``SAMPLE_PER_HOT_KEY * MAX_HOT_KEYS``
-    index rows (no shuffle of the whole index side).  Salting only changes parallelism: every
-    probe row meets every salt of its key, so the join stays exact whatever the sample says.
+    Found on a Bernoulli sample of about ``SAMPLE_PER_HOT_KEY * MAX_HOT_KEYS`` index rows (no
+    shuffle of the whole index side).  A key kept here has at least ``hot_min * fraction``
+    sampled rows, so there are at most ``n_index_rows / hot_min <= MAX_HOT_KEYS`` of them: a
+    proven bound for the broadcast.  Which keys are called hot never changes the result.
     """
     hot_min = max(HOT_KEY_MIN_ROWS, math.ceil(n_index_rows / MAX_HOT_KEYS))
     fraction = min(1.0, SAMPLE_PER_HOT_KEY * MAX_HOT_KEYS / max(n_index_rows, 1))
     sample = index if fraction >= 1.0 else index.sample(fraction=fraction, seed=17)
-    # a key kept here has >= hot_min * fraction sampled rows, so there are at most
-    # n_index_rows / hot_min <= MAX_HOT_KEYS of them: a proven bound for the broadcast
-    hot = (
+    return (
         sample.groupBy("_band", "_key")
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > hot_min * fraction)
-        .select(
-            "_band",
-            "_key",
-            F.least(F.ceil(F.col("_n") / fraction / TARGET_ROWS_PER_SALT), F.lit(MAX_SALTS)).cast("int").alias("_salts"),
-        )
-    )
-    hot_b = F.broadcast(hot)
-    index = (
-        index.join(hot_b, ["_band", "_key"], "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(F.col(h_index)), F.coalesce(F.col("_salts"), F.lit(1))).cast("int"))
-        .drop("_salts")
-    )
-    probe = (
-        probe.join(hot_b, ["_band", "_key"], "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
-        .drop("_salts")
+        .select("_band", "_key", (F.col("_n") / fraction).alias("_est"))
     )
-    return index, probe
+
+
+def _sub_bands(plan: BandPlan, threshold: int, rows: int) -> tuple[list[list[int]], list[int]]:
+    """For each band ``j``: masks splitting the bits *outside* band ``j`` into sub-bands, and the
+    sub-radius.  Pairs that meet on a hot key of band ``j`` agree on band ``j`` up to the probe's
+    flips, so the rest of the distance lives outside it and the pigeonhole applies again there."""
+    masks, radii = [], []
+    for off, w in zip(plan.offsets, plan.widths, strict=True):
+        rest = [b for b in range(N_BITS) if not off <= b < off + w]
+        if not rest:  # the band is the whole hash: a hot key is one repeated value, join as is
+            masks.append([0])
+            radii.append(0)
+            continue
+        best, best_cost = None, math.inf
+        for m2 in range(1, len(rest) + 1):
+            r2 = threshold // m2
+            base, extra = divmod(len(rest), m2)
+            widths = [base + (1 if i < extra else 0) for i in range(m2)]
+            keys = sum(sum(math.comb(x, k) for k in range(r2 + 1)) for x in widths)
+            if keys > MAX_KEYS_PER_ROW:
+                continue
+            cand = sum(sum(math.comb(x, k) for k in range(r2 + 1)) * rows * rows / 2.0**x for x in widths)
+            cost = rows * keys + rows * m2 + cand
+            if cost < best_cost:
+                best, best_cost = (widths, r2), cost
+        widths, r2 = best
+        groups, i = [], 0
+        for x in widths:
+            groups.append(sum(1 << b for b in rest[i : i + x]))
+            i += x
+        masks.append([_signed(g) for g in groups])
+        radii.append(r2)
+    return masks, radii
+
+
+def _signed(u: int) -> int:
+    u &= (1 << N_BITS) - 1
+    return u - (1 << N_BITS) if u >= 1 << (N_BITS - 1) else u
+
+
+def _bits_of(mask: int) -> list[int]:
+    return [b for b in range(N_BITS) if (mask >> b) & 1]
+
+
+def _hot_join(prows: DataFrame, irows: DataFrame, plan: BandPlan, threshold: int, rows: int, hp: str, hi: str):
+    """Candidates of hot keys, joined again on sub-bands of the other bits (exact, one copy)."""
+    masks, radii = _sub_bands(plan, threshold, rows)
+    flip_s, flip_m = [], []
+    for j, ms in enumerate(masks):
+        fs, fm = [], []
+        for sidx, m in enumerate(ms):
+            bits = _bits_of(m)
+            for k in range(radii[j] + 1):
+                for combo in combinations(bits, k):
+                    fs.append(sidx)
+                    fm.append(_signed(sum(1 << b for b in combo)))
+        flip_s.append(fs)
+        flip_m.append(fm)
+    band1 = F.col("_band") + 1
+    sub_masks = F.lit(masks).cast("array<array<bigint>>")
+    p = prows.select("*", F.posexplode(F.element_at(F.lit(flip_m).cast("array<array<bigint>>"), band1)).alias("_e", "_flip"))
+    p = p.withColumn("_s", F.element_at(F.element_at(F.lit(flip_s), band1), F.col("_e") + 1))
+    p = p.withColumn(
+        "_key2", F.col(hp).bitwiseAND(F.element_at(F.element_at(sub_masks, band1), F.col("_s") + 1)).bitwiseXOR(F.col("_flip"))
+    ).drop("_e", "_flip")
+    i = irows.select("*", F.posexplode(F.element_at(sub_masks, band1)).alias("_s", "_smask"))
+    i = i.withColumn("_key2", F.col(hi).bitwiseAND(F.col("_smask"))).drop("_smask")
+    cand = p.join(i, ["_band", "_key", "_s", "_key2"], "inner")
+    x = F.col(hp).bitwiseXOR(F.col(hi))
+    r2 = F.element_at(F.lit(radii), band1)
+    earlier = F.slice(F.element_at(sub_masks, band1), 1, F.col("_s"))
+    first_sub = F.forall(earlier, lambda m: F.bit_count(x.bitwiseAND(m)) > r2)
+    return cand.where(hamming(hp, hi) <= threshold).where(first_sub).drop("_s", "_key2")
 
 
 def similarity_join(
@@ -170,7 +229,7 @@ def similarity_join(
     probe_hash: str = "h",
     index_hash: str = "h",
     plan: BandPlan | None = None,
-    salt_hot_keys: bool = True,
+    split_hot_keys: bool = True,
     n_probe: int | None = None,
     n_index: int | None = None,
 ) -> DataFrame:
@@ -192,12 +251,27 @@ def similarity_join(
     irows = _index_rows(index, index_hash, plan)
     prows = _probe_rows(probe, probe_hash, plan)
     keys = ["_band", "_key"]
-    if salt_hot_keys:
+    cand = None
+    if split_hot_keys:
         n_index = index.count() if n_index is None else n_index
         if n_index > HOT_KEY_MIN_ROWS:  # below that no key can be hot: skip the sampling job
-            irows, prows = _salt_hot_keys(irows, prows, n_index * plan.bands, index_hash)
-            keys.append("_salt")
-    cand = prows.join(irows, keys, "inner")
+            hot = F.broadcast(_hot_keys(irows, n_index * plan.bands))
+            est = max(HOT_KEY_MIN_ROWS, math.ceil(n_index * plan.bands / MAX_HOT_KEYS))
+            hot_cand = _hot_join(
+                prows.join(hot.select(*keys), keys, "left_semi"),
+                irows.join(hot.select(*keys), keys, "left_semi"),
+                plan,
+                threshold,
+                est,
+                probe_hash,
+                index_hash,
+            )
+            cold = prows.join(hot.select(*keys), keys, "left_anti").join(
+                irows.join(hot.select(*keys), keys, "left_anti"), keys, "inner"
+            )
+            cand = cold.unionByName(hot_cand)
+    if cand is None:
+        cand = prows.join(irows, keys, "inner")
     x = F.col(probe_hash).bitwiseXOR(F.col(index_hash))
     dist = hamming(probe_hash, index_hash)
     return (
@@ -209,7 +283,7 @@ def similarity_join(
 
 
 def similar_pairs(
-    hashes: DataFrame, threshold: int, hash_col: str = "h", plan: BandPlan | None = None, salt_hot_keys: bool = True
+    hashes: DataFrame, threshold: int, hash_col: str = "h", plan: BandPlan | None = None, split_hot_keys: bool = True
 ) -> DataFrame:
     """Pairs ``(h_a, h_b, distance)`` of *distinct* hashes within ``threshold``, ``h_a < h_b``.
 
@@ -227,7 +301,7 @@ def similar_pairs(
         probe_hash="h_a",
         index_hash="h_b",
         plan=plan,
-        salt_hot_keys=salt_hot_keys,
+        split_hot_keys=split_hot_keys,
         n_probe=n,
         n_index=n,
     )
@@ -251,7 +325,7 @@ def join_stats(hashes: DataFrame, threshold: int, hash_col: str = "h") -> dict:
         "radius": plan.radius,
         "probe_rows": probe.count(),
         "candidates": cand.count(),
-        "pairs": similar_pairs(distinct, threshold, plan=plan, salt_hot_keys=False).count(),
+        "pairs": similar_pairs(distinct, threshold, plan=plan, split_hot_keys=False).count(),
         "all_pairs": n * (n - 1) // 2,
     }
 

@@ -83,7 +83,7 @@ def test_pairs_every_band_plan(spark):
     df = spark.createDataFrame([(h,) for h in hs], "h long")
     want = brute_pairs(hs, 10)
     for m in (4, 5, 6, 11):
-        got = {tuple(r) for r in similar_pairs(df, 10, plan=band_plan(10, m), salt_hot_keys=False).collect()}
+        got = {tuple(r) for r in similar_pairs(df, 10, plan=band_plan(10, m), split_hot_keys=False).collect()}
         assert got == want, m
 
 
@@ -94,15 +94,18 @@ def test_pairs_all_pairs_threshold_64(spark):
     assert {tuple(r) for r in similar_pairs(df, 64).collect()} == brute_pairs(hs, 64)
 
 
-def test_hot_keys_are_salted(spark, monkeypatch):
+@pytest.mark.parametrize("t", [0, 3, 6, 12])
+def test_hot_keys_are_rebanded(spark, monkeypatch, t):
     import imprint.operators.hamming as hm
 
     monkeypatch.setattr(hm, "HOT_KEY_MIN_ROWS", 5)
-    monkeypatch.setattr(hm, "TARGET_ROWS_PER_SALT", 4)
-    rng = random.Random(9)
+    rng = random.Random(9 + t)
     hs = [signed(rng.getrandbits(20)) for _ in range(80)]  # high bands all zero: hot keys
+    centre = rng.getrandbits(20)
+    hs += [_flip(centre, rng.sample(range(20), rng.randint(0, 4))) for _ in range(30)]  # near copies
+    hs += [signed(rng.getrandbits(64)) for _ in range(40)]
     df = spark.createDataFrame([(h,) for h in hs], "h long")
-    assert {tuple(r) for r in similar_pairs(df, 6).collect()} == brute_pairs(hs, 6)
+    assert {tuple(r) for r in similar_pairs(df, t).collect()} == brute_pairs(hs, t)
 
 
 def test_band_plan_choice():
