@@ -170,9 +170,14 @@ def _phash_udf(grid: pd.Series) -> pd.Series:
     return res.astype("Int64")
 
 
+# Marked non-deterministic only so the optimizer never copies the UDF into a pushed-down filter
+# (``h IS NOT NULL`` below a projection would run the Python code twice); results are pure.
+_phash_once = _phash_udf.asNondeterministic()
+
+
 def phash(grid: Column | str) -> Column:
     """H1 perceptual hash of a square grid (8x8 or the usual 32x32 luma grid)."""
-    return _phash_udf(_as_double_array(_col(grid)))
+    return _phash_once(_as_double_array(_col(grid)))
 
 
 # H5: hash selection by name.  Unknown names raise instead of silently falling back.
@@ -221,6 +226,9 @@ def _simhash_udf(hashes: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="Int64")
 
 
+_simhash_once = _simhash_udf.asNondeterministic()  # see _phash_once
+
+
 def simhash(text: Column | str) -> Column:
     """H9: 64-bit SimHash of a text (token hashing in the JVM, bit votes over Arrow batches)."""
-    return _simhash_udf(token_hashes(text))
+    return _simhash_once(token_hashes(text))

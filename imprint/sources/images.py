@@ -74,7 +74,8 @@ def _grid_udf(gw: int, gh: int):
                 out.append(luma_grid_numpy(bytes(d), int(w), int(h), int(c), gw, gh))
         return pd.Series(out, dtype=object)
 
-    return grid
+    # non-deterministic only to keep the optimizer from evaluating it twice (see fingerprint)
+    return grid.asNondeterministic()
 
 
 def luma_grid(decoded: DataFrame, method: str = "phash", out: str = "grid") -> DataFrame:
