@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from imprint.functions.capture_time import with_capture_time
@@ -90,7 +90,9 @@ def _slots(names: DataFrame, col: str) -> DataFrame:
 
 def next_free_names(claims: DataFrame, taken: DataFrame, key: str) -> DataFrame:
     """``claims(key, target, name)`` -> ``(key, final_name)``, unique and not in ``taken(name)``."""
-    c = number_rows(claims, ["name", key], partition_by=["target"], out="_k").withColumn("_k", F.col("_k") - 1)
+    # After W1 a name is claimed at most twice: as a target itself (counter 0) and as the one
+    # parent it parses back to (counter >= 1); so a plain window cannot meet a hot group here.
+    c = claims.withColumn("_k", F.row_number().over(Window.partitionBy("target").orderBy("name", key)) - 1)
     targets = c.select("target").distinct()
     reserved = taken.select(F.col("name").alias("r")).union(claims.select(F.col("target").alias("r"))).distinct()
     excl = (
