@@ -107,7 +107,7 @@ def duplicate_groups(
         files.select(F.col(key_col).alias("_key"), F.col(hash_col).alias("h")).where(F.col("h").isNotNull()), "g1-files"
     )
     nodes = cut_lineage(hash_table(files, "_key", "h"), "g1-hashes")
-    pairs = cut_lineage(similar_pairs(nodes, threshold, "h", plan=plan), "g1-pairs")  # G1a
+    pairs = cut_lineage(similar_pairs(nodes, threshold, "h", plan=plan, distinct_input=True), "g1-pairs")  # G1a
     seeds = leader_seeds(pairs, nodes)
     lonely = nodes.where(F.col("n_files") > 1).select("h").join(seeds, "h", "left_anti").join(
         pairs.select(F.col("h_a").alias("h")).union(pairs.select(F.col("h_b").alias("h"))), "h", "left_anti"

@@ -283,16 +283,24 @@ def similarity_join(
 
 
 def similar_pairs(
-    hashes: DataFrame, threshold: int, hash_col: str = "h", plan: BandPlan | None = None, split_hot_keys: bool = True
+    hashes: DataFrame,
+    threshold: int,
+    hash_col: str = "h",
+    plan: BandPlan | None = None,
+    split_hot_keys: bool = True,
+    distinct_input: bool = False,
 ) -> DataFrame:
     """Pairs ``(h_a, h_b, distance)`` of *distinct* hashes within ``threshold``, ``h_a < h_b``.
 
     Exact copies are removed first (partial aggregation before the shuffle), so a hash shared
     by a third of all files is one row here.
     """
-    distinct = hashes.select(F.col(hash_col).alias("h")).where(F.col("h").isNotNull()).distinct()
-    # both join sides, the size estimate and the hot-key scan read this one materialised table
-    distinct = cut_lineage(distinct, "distinct-hashes")
+    if distinct_input:  # caller passes a written table of distinct, non-null hashes
+        distinct = hashes.select(F.col(hash_col).alias("h"))
+    else:
+        distinct = hashes.select(F.col(hash_col).alias("h")).where(F.col("h").isNotNull()).distinct()
+        # both join sides, the size estimate and the hot-key scan read this one materialised table
+        distinct = cut_lineage(distinct, "distinct-hashes")
     n = distinct.count()
     pairs = similarity_join(
         distinct.withColumnRenamed("h", "h_a"),
