@@ -7,18 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from imprint.llm import langid, packing, repetition, simhash
+from imprint.llm import distinct_bpe, fixtures, langid, packing, repetition, revisits, sharding, simhash, sql, topk
 from imprint.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit record with its outcome, response and merged headers."""
+    out = revisits.resolve_revisits(fixtures.archive_records(spark, sf_dir))
+    out = out.withColumn("captured", F.date_format("captured", "yyyy-MM-dd HH:mm:ss"))
+    return out.withColumn("headers", revisits.header_lines(F.col("headers")))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of the ids and the decoded text of every document."""
+    out = distinct_bpe.encode(read_table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by compression, learned from the training rows only."""
     docs = read_table(spark, sf_dir, "documents")
@@ -32,11 +47,25 @@ def op7_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judged(repetition.repetition_metrics(read_table(spark, sf_dir, "documents")))
 
 
+def op8_branch_and_bound_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer inner products of every 50th vector."""
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op9_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces with their sequence and offset."""
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op10_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot under the row law."""
+    out = sharding.assign_shards(read_table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline from documents to packed sequences."""
     import corpus_pipeline
@@ -45,14 +74,19 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Query]:
-    return {
-        "op4_simhash_near_dedup": op4_simhash_near_dedup,
-        "op6_language_id": op6_language_id,
-        "op7_repetition_rules": op7_repetition_rules,
-        "op9_differencing_packing": op9_differencing_packing,
-        "pipeline": pipeline,
-    }
+    named = (
+        op1_revisit_resolution,
+        op4_simhash_near_dedup,
+        op5_distinct_word_bpe,
+        op6_language_id,
+        op7_repetition_rules,
+        op8_branch_and_bound_topk,
+        op9_differencing_packing,
+        op10_label_propagation_shards,
+        pipeline,
+    )
+    return {q.__name__: q for q in named}
 
 
 def oracle_queries() -> dict[str, str]:
-    return {}
+    return {"op1_revisit_resolution": sql.OP1, "op8_branch_and_bound_topk": sql.OP8}

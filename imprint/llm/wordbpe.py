@@ -78,10 +78,13 @@ def _byte_letters() -> list[str]:
 
 
 def worker_table(kind: str, path: str) -> types.SimpleNamespace:
-    """The encoder and word table that tasks of one Python worker share."""
+    """The encoder, word table and id-to-piece table that tasks of one Python worker share."""
     shared = sys.modules.setdefault("_imprint_worker_tables", types.ModuleType("_imprint_worker_tables"))
     found = shared.__dict__.get((kind, path))
     if found is None:
-        found = types.SimpleNamespace(encoder=WordEncoder(path), words={})
+        encoder = WordEncoder(path)
+        size = encoder.tokenizer.get_vocab_size(with_added_tokens=True)
+        pieces = [encoder.tokenizer.id_to_token(i) for i in range(size)]
+        found = types.SimpleNamespace(encoder=encoder, words={}, pieces=pieces)
         shared.__dict__[(kind, path)] = found
     return found
