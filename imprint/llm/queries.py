@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from imprint.llm import distinct_bpe, fixtures, langid, packing, repetition, revisits, sharding, simhash, sql, topk
+from imprint.llm import distinct_bpe, fixtures, html_text, knn_quality, langid, packing, repetition, revisits, sharding, simhash, sql, topk
 from imprint.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,19 @@ def op1_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("headers", revisits.header_lines(F.col("headers")))
 
 
+def op2_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by its nearest labelled documents."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = knn_quality.fit(docs, labels, knn_quality.learn_from())
+    out = knn_quality.score(docs, model)
+    return out.select("doc_id", (~knn_quality.learn_from()).alias("held_out"), "score", "predicted")
+
+
+def op3_flat_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -76,6 +89,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry() -> dict[str, Query]:
     named = (
         op1_revisit_resolution,
+        op2_neighbour_quality,
+        op3_flat_block_text,
         op4_simhash_near_dedup,
         op5_distinct_word_bpe,
         op6_language_id,
