@@ -5,7 +5,7 @@ shards; then every hub's rows ask to move to the shard, among those with room, t
 holds most of the hub, and requests are admitted up to each shard's free quota.  A round is a
 few joins over one row per (hub, shard); rounds repeat until no request is admitted.  Rows without
 links then fill what is free, so shard sizes differ by one row at most, and a hub is cut only
-where no shard can hold it.
+where no shard that holds some of it has room for the rest.
 
 Admission: hubs that ask for more than 1/FINE of a quota are ranked one by one (there are at most
 FINE * shards of them, since their rows sum to the table); all others are admitted by hash bucket.
