@@ -7,7 +7,7 @@ identical inputs.  Session time zone must be UTC.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imprint.session import cut_lineage, read_table, spread
@@ -53,10 +53,12 @@ def _media_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 4 == 0, ex).when(i % 4 == 1, F.lit("0000:00:00 00:00:00")).alias("exif_original"),
         F.when(i % 6 == 0, ex).alias("exif_datetime"),
         F.date_trunc("second", ts).cast("timestamp_ntz").alias("mtime"),
-        (F.lit(400) + (i * 37) % 3600).cast("bigint").alias("width"),
+        F.when(i % 23 != 0, (F.lit(400) + (i * 37) % 3600).cast("bigint")).alias("width"),
         (F.lit(300) + (i * 53) % 2700).cast("bigint").alias("height"),
         size.alias("size_bytes"),
-        F.expr("(cast(round(value * 10000) as bigint) * (50 + event_id % 60)) div 100").alias("encoded_size"),
+        F.expr(
+            "case when event_id % 31 <> 0 then (cast(round(value * 10000) as bigint) * (50 + event_id % 60)) div 100 end"
+        ).alias("encoded_size"),
     ).withColumn("path", F.concat(F.lit("d"), i.cast("string"), F.lit("/"), F.col("name")))
 
 
@@ -96,6 +98,17 @@ def grid8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_vectors(spark, sf_dir).select("id", F.transform("vec", lambda x: x.cast("double")).alias("grid"))
 
 
+def grid_tiled(spark: SparkSession, sf_dir: str, side: int) -> DataFrame:
+    """``(id, grid)`` of ``side x side`` cells: cell (r, c) is value ``(r*5 + c*3 + r*c) % 64``."""
+    cells = F.sequence(F.lit(0), F.lit(side * side - 1))
+
+    def cell(k: Column) -> Column:
+        r, c = F.floor(k / side), k % side
+        return F.element_at(F.col("grid"), ((r * 5 + c * 3 + r * c) % 64 + 1).cast("int"))
+
+    return grid8(spark, sf_dir).select("id", F.transform(cells, cell).alias("grid"))
+
+
 def grid9x8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(id, grid)`` 8 rows x 9 columns for dHash: cell (r, c) is value ``(r*9+c) % 64``."""
     g = grid8(spark, sf_dir)
@@ -126,6 +139,35 @@ def embedding_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_vectors(spark, sf_dir).select("id", path.alias("path"))
 
 
+def index_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index ``(path, mtime, h)`` of ``media_prior``; ``h`` stands for any old hash."""
+    return media_prior(spark, sf_dir).select("path", "mtime", (F.col("event_id") * 3).alias("h"))
+
+
+def hashed_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What hashing returns for every listed file: ``(path, mtime, h, ok)``, every 10th failed."""
+    i = F.col("event_id")
+    ok = i % 10 != 0
+    return media_files(spark, sf_dir).select("path", "mtime", F.when(ok, i * 7).alias("h"), ok.alias("ok"))
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id, path)`` of a folder ``doc`` with a file per document; every 12th is elsewhere."""
+    i = F.col("doc_id")
+    folder = F.when(i % 12 == 0, F.lit("old/")).otherwise(F.lit("doc/"))
+    return read_table(spark, sf_dir, "documents").select(
+        i.alias("id"), F.concat(folder, F.lpad(i.cast("string"), 12, "0"), F.lit(".jpg")).alias("path")
+    )
+
+
+def document_dir_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in the ``doc`` folder, with some ``group-01-`` names already there."""
+    f = document_files(spark, sf_dir).where(F.col("path").startswith("doc/"))
+    own = f.select("id", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"))
+    taken = own.where(F.col("id") % 5 == 0).select(F.concat(F.lit("group-01-"), F.col("name")).alias("name"))
+    return own.select("name").unionByName(taken).distinct()
+
+
 def embedding_dir_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshot of the ``img`` folder: its files plus some pre-existing ``group-NN-`` names."""
     f = embedding_files(spark, sf_dir)

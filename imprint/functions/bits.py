@@ -11,12 +11,7 @@ from pyspark.sql import functions as F
 
 HASH_BITS = 64
 
-# The threshold guide of the reference tool (distance -> wording).
-#   0      exact match only
-#   1-5    very similar (resized, slight compression)
-#   6-10   similar content, moderate changes
-#   11-15  recognisably similar
-#   16+    increasingly different
+# Lowest distance, highest distance, wording.
 SIMILARITY_LABELS = (
     (0, 0, "exact"),
     (1, 5, "very similar"),

@@ -42,6 +42,19 @@ def norm_path(path: Column | str) -> Column:
     return F.regexp_replace(_col(path), r"^([A-Za-z][A-Za-z0-9+.\-]*):///", "$1:/")
 
 
+def decoded_origin(origin: Column | str) -> Column:
+    """The plain path of an ``image`` source origin, which is a percent-encoded URI ('+' is itself)."""
+    o = _col(origin)
+    return norm_path(F.coalesce(F.try_url_decode(F.replace(o, F.lit("+"), F.lit("%2B"))), o))
+
+
+def local_path(path: Column | str) -> Column:
+    """A path without the scheme of local files and without repeated or last slashes, so that a
+    folder given by hand and a listed file's folder compare equal."""
+    bare = F.regexp_replace(_col(path), r"^file:(//)?(?=/)", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"(?<!:)/{2,}", "/"), r"(?<=.)/+$", "")
+
+
 def basename(path: Column | str) -> Column:
     return F.regexp_extract(_col(path), r"([^/]*)$", 1)
 

@@ -45,11 +45,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def pack_bits(flags: Column) -> Column:
-    """``array<boolean>`` of up to 64 flags -> bigint with bit k set when flags[k] (H6 packing)."""
+    """``array<boolean>`` of 64 flags -> bigint with bit k set when flags[k] (H6 packing)."""
     powers = F.lit(_POWERS).cast("array<bigint>")
     zero = F.lit(0).cast("long")
-    terms = F.zip_with(F.slice(flags, 1, N_BITS), powers, lambda f, p: F.when(f, p).otherwise(zero))
-    return F.aggregate(F.filter(terms, lambda t: t.isNotNull()), zero, lambda acc, t: acc.bitwiseOR(t))
+    terms = F.zip_with(flags, powers, lambda f, p: F.when(f, p).otherwise(zero))
+    return F.aggregate(terms, zero, lambda acc, t: acc.bitwiseOR(t))
+
+
+def _sized(values: Column, n: int, body: Callable[[Column], Column]) -> Column:
+    """``body`` of an array of exactly ``n`` values; NULL stays NULL, any other length raises."""
+
+    def checked(a: Column) -> Column:
+        wrong = F.raise_error(F.concat(F.lit(f"a fingerprint needs {n} values, not "), F.size(a).cast("string")))
+        return F.when(a.isNull(), F.lit(None).cast("long")).when(F.size(a) == n, body(a)).otherwise(wrong.cast("long"))
+
+    return let(values, checked)
 
 
 def _as_double_array(c: Column) -> Column:
@@ -69,15 +79,16 @@ def _median(values: Column) -> Column:
 
 
 def median_fingerprint(vec: Column | str) -> Column:
-    """H8: bit k set when ``vec[k]`` is above the median of the first 64 values."""
-    v = F.slice(_as_double_array(_col(vec)), 1, N_BITS)
-    return let(v, lambda a: let(_median(a), lambda med: pack_bits(F.transform(a, lambda x: x > med))))
+    """H8: bit k set when ``vec[k]`` is above the median of the 64 values."""
+    v = _as_double_array(_col(vec))
+    return _sized(v, N_BITS, lambda a: let(_median(a), lambda med: pack_bits(F.transform(a, lambda x: x > med))))
 
 
 def ahash(grid: Column | str) -> Column:
     """H2 average hash of an 8x8 grid: cell above the grid mean."""
-    return let(
+    return _sized(
         _as_double_array(_col(grid)),
+        N_BITS,
         lambda g: let(
             F.aggregate(g, F.lit(0.0), lambda a, x: a + x) / F.size(g),
             lambda mean: pack_bits(F.transform(g, lambda x: x > mean)),
@@ -99,7 +110,7 @@ def dhash(grid9x8: Column | str) -> Column:
 
         return pack_bits(F.transform(F.sequence(F.lit(0), F.lit(N_BITS - 1)), flag))
 
-    return let(_as_double_array(_col(grid9x8)), flags)
+    return _sized(_as_double_array(_col(grid9x8)), HASH_SIDE * w, flags)
 
 
 def whash(grid: Column | str, side: int = HASH_SIDE) -> Column:
@@ -130,7 +141,7 @@ def whash(grid: Column | str, side: int = HASH_SIDE) -> Column:
         )
         return F.aggregate(cells, F.lit(0.0), lambda a, x: a + x) / float(b * b)
 
-    return let(_as_double_array(_col(grid)), body)
+    return _sized(_as_double_array(_col(grid)), side * side, body)
 
 
 def _dct_matrix(n: int) -> np.ndarray:
@@ -210,20 +221,38 @@ def token_hashes(text: Column | str) -> Column:
     return F.transform(toks, lambda t: F.conv(F.substring(F.md5(t), 1, 16), 16, -10).cast("bigint"))
 
 
-def simhash_numpy(hashes: np.ndarray) -> int:
-    """Charikar SimHash of one document's token hashes: bit set when more tokens have it than not."""
-    if len(hashes) == 0:
-        return 0
+def simhash_numpy(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Charikar SimHash of consecutive runs of token hashes: a bit is set when more tokens of the
+    run have it than not; an empty run gives 0."""
+    out = np.zeros(len(sizes), dtype=np.int64)
+    full = np.flatnonzero(sizes)
+    if not len(full):
+        return out
     # little-endian bytes, bits unpacked least significant first: column k is bit k
     raw = np.ascontiguousarray(hashes.astype("<i8")).view(np.uint8).reshape(-1, 8)
-    ones = np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(pack_flags_numpy((2 * ones > len(hashes))[None, :])[0])
+    bits = np.unpackbits(raw, axis=1, bitorder="little")
+    starts = (np.cumsum(sizes) - sizes)[full]
+    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+    out[full] = pack_flags_numpy(2 * ones > sizes[full][:, None])
+    return out
+
+
+SIMHASH_RUN = 1 << 18  # token hashes unpacked at a time (64 bytes each), or one document's
 
 
 @F.pandas_udf(T.LongType())
 def _simhash_udf(hashes: pd.Series) -> pd.Series:
-    out = [None if h is None else simhash_numpy(np.asarray(h, dtype=np.int64)) for h in hashes]
-    return pd.Series(out, dtype="Int64")
+    valid = hashes.notna().to_numpy()
+    arrays = [np.asarray(h, dtype=np.int64) for h in hashes[valid]]
+    sizes = np.array([len(a) for a in arrays], dtype=np.int64)
+    found, at = [np.zeros(0, dtype=np.int64)], 0
+    while at < len(arrays):
+        upto = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), SIMHASH_RUN)))
+        found.append(simhash_numpy(np.concatenate(arrays[at:upto]), sizes[at:upto]))
+        at = upto
+    out = pd.Series(pd.array([None] * len(hashes), dtype="Int64"))
+    out[valid] = np.concatenate(found)
+    return out
 
 
 _simhash_once = _simhash_udf.asNondeterministic()  # see _phash_once

@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from imprint.functions.bits import hamming, shru
+from imprint.functions.naming import basename
+from imprint.operators.ranking import number_rows
 from imprint.session import cut_lineage
 
 N_BITS = 64
@@ -348,6 +350,13 @@ def range_search(index: DataFrame, query_hash: Column, threshold: int, hash_col:
     return index.withColumn("distance", dist).where(F.col("distance") <= threshold)
 
 
+def _without_query(hits: DataFrame, query_name: Column | None, name_col: str) -> DataFrame:
+    """without the rows whose base name is the query's (NULL names stay)."""
+    if query_name is None:
+        return hits
+    return hits.where(~F.coalesce(basename(name_col) == basename(query_name), F.lit(False)))
+
+
 def neighbours(
     files: DataFrame,
     query_hash: Column,
@@ -358,12 +367,11 @@ def neighbours(
 ) -> DataFrame:
     """E2 part 1 (J4, J6, F2, T1): files within ``threshold`` of the query, nearest first.
 
-    Rows whose ``name_col`` equals ``query_name`` are excluded (the query itself).
+    Files with the query's base name are left out.  Rows are sorted by distance, then name; the
+    column ``rank`` counts them from 1.
     """
-    hits = range_search(files, query_hash, threshold, hash_col)
-    if query_name is not None:
-        hits = hits.where(F.col(name_col) != query_name)
-    return hits
+    hits = _without_query(range_search(files, query_hash, threshold, hash_col), query_name, name_col)
+    return number_rows(hits, ["distance", name_col], out="rank").orderBy("rank")
 
 
 def closest_non_duplicates(
@@ -381,6 +389,5 @@ def closest_non_duplicates(
     feature here (a top-k report).
     """
     hits = range_search(files, query_hash, N_BITS, hash_col).where(F.col("distance") > threshold)
-    if query_name is not None:
-        hits = hits.where(F.col(name_col) != query_name)
+    hits = _without_query(hits, query_name, name_col)
     return hits.orderBy(F.col("distance"), F.col(name_col)).limit(k)

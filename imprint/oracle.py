@@ -25,10 +25,10 @@ media_files AS (
          WHEN event_id % 4 = 1 THEN '0000:00:00 00:00:00' END AS exif_original,
     CASE WHEN event_id % 6 = 0 THEN strftime(ts, '%Y:%m:%d %H:%M:%S') END AS exif_datetime,
     CAST(date_trunc('second', ts) AS TIMESTAMP) AS mtime,
-    CAST(400 + (event_id * 37) % 3600 AS BIGINT) AS width,
+    CASE WHEN event_id % 23 <> 0 THEN CAST(400 + (event_id * 37) % 3600 AS BIGINT) END AS width,
     CAST(300 + (event_id * 53) % 2700 AS BIGINT) AS height,
     CAST(round(value * 10000) AS BIGINT) AS size_bytes,
-    CAST(round(value * 10000) AS BIGINT) * (50 + event_id % 60) // 100 AS encoded_size
+    CASE WHEN event_id % 31 <> 0 THEN CAST(round(value * 10000) AS BIGINT) * (50 + event_id % 60) // 100 END AS encoded_size
   FROM events
 ),
 media AS (SELECT *, 'd' || CAST(event_id AS VARCHAR) || '/' || name AS path FROM media_files)"""
@@ -86,9 +86,44 @@ fp_docs AS (
   SELECT d.doc_id AS id, COALESCE({_fold('p.s')}, CAST(0 AS BIGINT)) AS h
   FROM documents d LEFT JOIN doc_packed p ON p.id = d.doc_id)"""
 
+FP_BLANK = """
+fp_blank AS (SELECT id, h & CAST(4294967295 AS BIGINT) AS h FROM fp_docs)"""
+
 GRID8 = """
 grid8 AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS g FROM embeddings)"""
 
+
+
+def grid_tiled(side: int) -> str:
+    cell = f"((k // {side}) * 5 + (k % {side}) * 3 + (k // {side}) * (k % {side})) % 64"
+    return f"""
+tiled AS (SELECT id, list_transform(range({side * side}), lambda k: g[{cell} + 1]) AS g FROM grid8)"""
+
+
+FP_GRID_WHASH16 = f"""
+w16_cells AS (
+  SELECT id, (k // 32) * 8 + (k % 16) // 2 AS b, k, g[k + 1] AS x FROM tiled, range(256) t(k)),
+w16_sums AS (SELECT id, b, list(x ORDER BY k) AS xs FROM w16_cells GROUP BY id, b),
+w16_blocks AS (SELECT id, b, (xs[1] + xs[2] + xs[3] + xs[4]) / 4.0 AS x FROM w16_sums),
+w16_med AS (SELECT id, median(x) AS med FROM w16_blocks GROUP BY id),
+fp AS (
+  SELECT b.id, {_fold('sum(CASE WHEN b.x > m.med THEN (1::HUGEINT << b.b) ELSE 0::HUGEINT END)')} AS h
+  FROM w16_blocks b JOIN w16_med m USING (id) GROUP BY b.id)"""
+
+FP_GRID_PHASH32 = f"""
+cells AS (SELECT id, k, g[k + 1] AS x FROM tiled, range(1024) t(k)),
+basis AS (SELECT a.u, b.r, 2 * cos(pi() * a.u * (2 * b.r + 1) / 64.0) AS c FROM range(8) a(u), range(32) b(r)),
+half AS (
+  SELECT id, bu.u, k % 32 AS c, sum(x * bu.c) AS y
+  FROM cells JOIN basis bu ON bu.r = k // 32 GROUP BY id, bu.u, k % 32),
+coef AS (
+  SELECT id, h.u * 8 + bv.u AS j, sum(h.y * bv.c) AS cf
+  FROM half h JOIN basis bv ON bv.r = h.c GROUP BY id, h.u, bv.u),
+coef_med AS (SELECT id, median(cf) AS med FROM coef GROUP BY id),
+fp AS (
+  SELECT c.id, {_fold('sum(CASE WHEN c.cf > m.med THEN (1::HUGEINT << c.j) ELSE 0::HUGEINT END)')} AS h
+  FROM coef c JOIN coef_med m USING (id) GROUP BY c.id)"""
+
 FP_GRID_AHASH = f"""
 ah AS (SELECT id, g, list_reduce(g, lambda a, b: a + b) / len(g) AS mean FROM grid8),
 fp AS (SELECT id, {_pack('g[i + 1] > mean')} AS h FROM ah)"""
@@ -154,9 +189,12 @@ FROM numbered n JOIN balls b ON b.seed = n.seed JOIN {fp_name} f ON f.h = b.h"""
 def neighbours_sql(t: int) -> str:
     return with_(FP_EMBED) + f"""
 , files AS (SELECT id, 'img/' || CAST(id AS VARCHAR) || '.png' AS path, h FROM fp_embed),
-q AS (SELECT h AS qh, path AS qpath FROM files WHERE id = (SELECT min(id) FROM files))
-SELECT f.id, f.path, CAST(bit_count(xor(f.h, q.qh)) AS INTEGER) AS distance
-FROM files f, q WHERE bit_count(xor(f.h, q.qh)) <= {t} AND f.path <> q.qpath"""
+q AS (SELECT h AS qh, path AS qpath FROM files WHERE id = (SELECT min(id) FROM files)),
+hits AS (
+  SELECT f.id, f.path, CAST(bit_count(xor(f.h, q.qh)) AS INTEGER) AS distance
+  FROM files f, q WHERE bit_count(xor(f.h, q.qh)) <= {t}
+    AND regexp_extract(f.path, '([^/]*)$', 1) <> regexp_extract(q.qpath, '([^/]*)$', 1))
+SELECT id, path, distance, row_number() OVER (ORDER BY distance, path) AS rank FROM hits"""
 
 
 def closest_sql(t: int, k: int = 10) -> str:
@@ -179,20 +217,25 @@ def oracle_queries() -> dict[str, str]:
         ("phash", FP_GRID_PHASH),
     ):
         q[f"fp_grid_{name}"] = with_(GRID8, cte) + "SELECT id, h FROM fp"
+    q["fp_grid16_whash"] = with_(GRID8, grid_tiled(16), FP_GRID_WHASH16) + "SELECT id, h FROM fp"
+    q["fp_grid32_phash"] = with_(GRID8, grid_tiled(32), FP_GRID_PHASH32) + "SELECT id, h FROM fp"
     q["hash_hex_roundtrip"] = with_(FP_EMBED) + f"""
 SELECT id, h, lpad(lower(hex(h)), 16, '0') AS h_hex,
        {_fold("CAST(CAST('0x' || lpad(lower(hex(h)), 16, '0') AS UBIGINT) AS HUGEINT)")} AS h_back
 FROM fp_embed"""
     for t in (18, 20, 22):
         q[f"hamming_pairs_embed_t{t}"] = pairs_sql(FP_EMBED, "fp_embed", t)
-    q["hamming_pairs_docs_t5"] = pairs_sql(FP_DOCS, "fp_docs", 5)
+    for t in (3, 5, 8):
+        q[f"hamming_pairs_docs_t{t}"] = pairs_sql(FP_DOCS, "fp_docs", t)
+    q["hamming_pairs_blank_docs_t5"] = pairs_sql(FP_DOCS + "," + FP_BLANK, "fp_blank", 5)
     q["neighbours_embed_t20"] = neighbours_sql(20)
     q["closest_non_duplicates_embed_t20"] = closest_sql(20)
     q["hash_stats_docs"] = with_(FP_DOCS) + """
 SELECT count(*) AS n_files, count(DISTINCT h) AS n_hashes FROM fp_docs"""
     q["exact_duplicates_docs"] = with_(FP_DOCS) + """
 SELECT h, count(*) AS n_files, min(id) AS first_id FROM fp_docs GROUP BY h HAVING count(*) > 1"""
-    q["dup_groups_docs_t5"] = groups_sql(FP_DOCS, "fp_docs", 5)
+    for t in (5, 8):
+        q[f"dup_groups_docs_t{t}"] = groups_sql(FP_DOCS, "fp_docs", t)
     for t in (18, 20, 22):
         q[f"dup_groups_embed_t{t}"] = groups_sql(FP_EMBED, "fp_embed", t)
     q["group_sizes_docs_t5"] = (
@@ -214,6 +257,7 @@ FROM ({pairs_sql(FP_EMBED, "fp_embed", 22)})"""
 
 _SPLIT_RE = r"^(\.*[^.].*)(\.[^.]*)$"
 _IMAGE_RE = r"\.(png|jpg|jpeg|gif|bmp|heic|heif|webp|tiff)$"
+# The date patterns of names and EXIF strings.
 _EXIF_RE = r"^(\d{4}):(\d{1,2}):(\d{1,2})\s+(\d{1,2}):(\d{1,2}):(\d{1,2})$"
 _NAME_RES = [
     r"(\d{4})[_\-\.](\d{2})[_\-\.](\d{2})[_\-\s](\d{2}):(\d{2}):(\d{2})",
@@ -313,7 +357,7 @@ def organise_sql(
     if dry_run:
         status = f"CASE WHEN t1 IS NULL THEN 'ERROR' WHEN {unchanged} THEN 'NO_CHANGE' ELSE 'DRY_RUN' END"
     elif conv:
-        status = f"CASE WHEN t1 IS NULL OR NOT {decodable} THEN 'ERROR' WHEN {keep} THEN 'COPIED' ELSE 'CONVERTED' END"
+        status = f"CASE WHEN t1 IS NULL OR NOT {decodable} OR {nw} < 1 OR {nh} < 1 THEN 'ERROR' WHEN {keep} THEN 'COPIED' ELSE 'CONVERTED' END"
     else:
         status = f"CASE WHEN t1 IS NULL THEN 'ERROR' WHEN {unchanged} THEN 'NO_CHANGE' ELSE 'RENAMED' END"
     conv_lit = "TRUE" if conv else "FALSE"
@@ -381,6 +425,7 @@ FROM p4"""
 
 
 def status_histogram_sql(plan_sql: str) -> str:
+    # The order of statuses in the listing.
     return f"""
 SELECT status, count(*) AS n,
   CAST(list_position(['RENAMED', 'CONVERTED', 'COPIED', 'DRY_RUN', 'NO_CHANGE', 'ERROR', 'ERROR_EXISTS'], status) AS INTEGER) AS ord
@@ -388,17 +433,19 @@ FROM ({plan_sql}) GROUP BY status"""
 
 
 def size_totals_sql(plan_sql: str) -> str:
-    sized = "status IN ('RENAMED', 'CONVERTED', 'COPIED', 'DRY_RUN')"
+    listed = "status IN ('RENAMED', 'CONVERTED', 'COPIED', 'DRY_RUN')"
+    sized = f"{listed} AND original_size IS NOT NULL AND new_size IS NOT NULL"
     return f"""
 WITH t AS (
   SELECT CAST(COALESCE(sum(CASE WHEN {sized} THEN original_size END), 0) AS BIGINT) AS total_original,
-         CAST(COALESCE(sum(CASE WHEN {sized} THEN new_size END), 0) AS BIGINT) AS total_new
+         CAST(COALESCE(sum(CASE WHEN {sized} THEN new_size END), 0) AS BIGINT) AS total_new,
+         CAST(count_if({listed} AND (original_size IS NULL OR new_size IS NULL)) AS BIGINT) AS n_unknown
   FROM ({plan_sql}))
 SELECT total_original, total_new, total_original - total_new AS saved_bytes,
   CASE WHEN total_original > 0 AND total_original - total_new <> 0
        THEN round(CAST(total_original - total_new AS DOUBLE) / CAST(total_original AS DOUBLE) * 100.0, 4) END AS saved_pct,
   {human_size_sql('total_original')} AS total_original_str, {human_size_sql('total_new')} AS total_new_str,
-  {human_size_sql('total_original - total_new')} AS saved_str
+  {human_size_sql('total_original - total_new')} AS saved_str, n_unknown
 FROM t"""
 
 
@@ -448,22 +495,43 @@ dirnames AS (
     SELECT 'group-0' || CAST(id % 9 + 1 AS VARCHAR) || '-' || CAST(id AS VARCHAR) || '.png' FROM efiles WHERE id % 7 = 0))"""
 
 
+DOCUMENT_FILES = """
+dfiles AS (
+  SELECT doc_id AS id,
+    CASE WHEN doc_id % 12 = 0 THEN 'old/' ELSE 'doc/' END || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.jpg' AS path
+  FROM documents),
+dirnames AS (
+  SELECT DISTINCT name FROM (
+    SELECT regexp_extract(path, '([^/]*)$', 1) AS name FROM dfiles WHERE starts_with(path, 'doc/')
+    UNION ALL
+    SELECT 'group-01-' || regexp_extract(path, '([^/]*)$', 1) FROM dfiles WHERE starts_with(path, 'doc/') AND id % 5 = 0))"""
+
+
+def rename_plan_docs_sql(t: int) -> str:
+    fp = FP_DOCS + "," + DOCUMENT_FILES + """,
+fp_paths AS (SELECT e.path, f.h FROM dfiles e JOIN fp_docs f USING (id))"""
+    return _rename_sql(groups_sql(fp, "fp_paths", t, key="path"), DOCUMENT_FILES, "doc")
+
+
 def rename_plan_sql(t: int) -> str:
     fp = FP_EMBED + "," + EMBED_FILES + """,
 fp_paths AS (SELECT e.path, f.h FROM efiles e JOIN fp_embed f USING (id))"""
-    groups = groups_sql(fp, "fp_paths", t, key="path")
+    return _rename_sql(groups_sql(fp, "fp_paths", t, key="path"), EMBED_FILES, "img")
+
+
+def _rename_sql(groups: str, files: str, folder: str) -> str:
     return f"""
 WITH groups AS ({groups}),
-{EMBED_FILES.strip()},
+{files.strip()},
 g AS (SELECT DISTINCT group_no, path FROM groups),
 g1 AS (SELECT group_no, path, regexp_extract(path, '([^/]*)$', 1) AS name,
          regexp_replace(regexp_extract(path, '^(.*)/[^/]*$', 1), '/+$', '') AS dir FROM g),
 g2 AS (SELECT *, printf('group-%02d-', group_no) || name AS new_name FROM g1),
 g3 AS (SELECT g2.*, t.name IS NOT NULL AS taken FROM g2 LEFT JOIN dirnames t ON t.name = g2.new_name),
 w AS (SELECT path, min(group_no) AS winner FROM g3
-      WHERE dir = 'img' AND NOT starts_with(name, 'group-') AND NOT taken GROUP BY path)
+      WHERE dir = '{folder}' AND NOT starts_with(name, 'group-') AND NOT taken GROUP BY path)
 SELECT group_no, g3.path, name, new_name,
-  CASE WHEN dir <> 'img' THEN 'skipped_elsewhere' WHEN starts_with(name, 'group-') THEN 'skipped_prefixed'
+  CASE WHEN dir <> '{folder}' THEN 'skipped_elsewhere' WHEN starts_with(name, 'group-') THEN 'skipped_prefixed'
        WHEN taken THEN 'conflict' WHEN group_no <> winner THEN 'error' ELSE 'renamed' END AS outcome
 FROM g3 LEFT JOIN w USING (path)"""
 
@@ -494,6 +562,23 @@ FROM (SELECT DISTINCT ON (path) path, mtime FROM media) c
 FULL OUTER JOIN (SELECT DISTINCT ON (path) path, mtime FROM media_prior) o ON c.path = o.path"""
 
 
+INDEX_UPSERT_SQL = f"""
+WITH {INDEX_CHANGES_SQL.split("SELECT COALESCE(c.path")[0].strip().removeprefix("WITH ")},
+now AS (SELECT path, mtime, CASE WHEN event_id % 10 <> 0 THEN event_id * 7 END AS h, event_id % 10 <> 0 AS ok FROM media),
+same AS (
+  SELECT p.path, p.mtime, CAST(p.event_id * 3 AS BIGINT) AS h FROM media_prior p
+  WHERE EXISTS (SELECT 1 FROM media m WHERE m.path = p.path AND m.mtime IS NOT DISTINCT FROM p.mtime))
+SELECT path, mtime, h FROM same
+UNION ALL
+SELECT path, mtime, CAST(h AS BIGINT) AS h FROM now WHERE ok AND path NOT IN (SELECT path FROM same)"""
+
+INDEX_FAILED_SQL = f"""
+WITH {INDEX_CHANGES_SQL.split("SELECT COALESCE(c.path")[0].strip().removeprefix("WITH ")}
+SELECT CAST(count(*) AS BIGINT) AS n_failed FROM media m
+WHERE event_id % 10 = 0
+  AND NOT EXISTS (SELECT 1 FROM media_prior p WHERE p.path = m.path AND p.mtime IS NOT DISTINCT FROM m.mtime)"""
+
+
 def plan_oracles() -> dict[str, str]:
     q = {
         "index_changes_media": INDEX_CHANGES_SQL,
@@ -501,6 +586,9 @@ def plan_oracles() -> dict[str, str]:
 SELECT {", ".join(f"CAST(count_if(action = '{a}') AS BIGINT) AS n_{a}" for a in ("new", "changed", "unchanged", "deleted"))}
 FROM ({INDEX_CHANGES_SQL})""",
         "rename_plan_embed_t20": rename_plan_sql(20),
+        "rename_plan_docs_t5": rename_plan_docs_sql(5),
+        "index_upsert_media": INDEX_UPSERT_SQL,
+        "index_failed_media": INDEX_FAILED_SQL,
         "undo_plan_media": UNDO_SQL,
     }
     q["rename_counts_embed_t20"] = f"SELECT outcome, count(*) AS n FROM ({q['rename_plan_embed_t20']}) GROUP BY outcome"

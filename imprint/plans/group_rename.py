@@ -17,7 +17,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from imprint.functions.naming import GROUP_PREFIX, basename, dirname, group_prefixed, strip_group_prefix
+from imprint.functions.naming import (
+    GROUP_PREFIX,
+    basename,
+    dirname,
+    group_prefixed,
+    local_path,
+    strip_group_prefix,
+)
 from imprint.operators.ranking import number_rows
 
 
@@ -27,20 +34,20 @@ def rename_plan(groups: DataFrame, directory: str, existing: DataFrame, path_col
 
     ``groups`` has ``group_no`` and ``path_col``; ``existing`` has ``name`` (directory snapshot).
     """
-    base_dir = directory.rstrip("/")  # F4 with a normalised directory
+    base_dir = local_path(F.lit(directory))  # F4 with both folders in one spelling
     g = groups.select("group_no", F.col(path_col).alias("path")).distinct()
-    g = g.withColumn("name", basename("path")).withColumn("_dir", dirname("path"))
+    g = g.withColumn("name", basename("path")).withColumn("_dir", local_path(dirname("path")))
     g = g.withColumn("new_name", group_prefixed("name", "group_no"))
     taken = existing.select(F.col("name").alias("new_name")).distinct().withColumn("_taken", F.lit(True))
     g = g.join(taken, "new_name", "left")
-    movable = (F.col("_dir") == F.lit(base_dir)) & ~F.col("name").startswith(GROUP_PREFIX)
+    movable = (F.col("_dir") == base_dir) & ~F.col("name").startswith(GROUP_PREFIX)
     # The first group (in group order) whose target is free moves the file
     winner = (
         g.where(movable & F.col("_taken").isNull()).groupBy("path").agg(F.min("group_no").alias("_winner"))
     )
     g = g.join(winner, "path", "left")
     outcome = (
-        F.when(F.col("_dir") != F.lit(base_dir), "skipped_elsewhere")
+        F.when(F.col("_dir") != base_dir, "skipped_elsewhere")
         .when(F.col("name").startswith(GROUP_PREFIX), "skipped_prefixed")
         .when(F.col("_taken").isNotNull(), "conflict")
         .when(F.col("group_no") != F.col("_winner"), "error")

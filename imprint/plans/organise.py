@@ -168,6 +168,7 @@ def organise_plan(
     df = df.withColumn("_t1", with_counter("_t0", F.col("_c") - 1))
     decodable = F.col("_w").isNotNull() & (F.col("_w") > 0) & F.col("_h").isNotNull() & (F.col("_h") > 0)
     nw, nh = resized_dims("_w", "_h", opts.short_side, opts.long_side)
+    shrinks_to_none = decodable & ((nw < 1) | (nh < 1))  # a side of no pixels: the resize fails
     dims_same = (nw == F.col("_w")) & (nh == F.col("_h"))
     fmt_same = same_format(source_format(F.col("_fmt"), F.col("name")), opts.target_format)
     keep = keep_original(F.col("original_size"), F.col("_enc"), fmt_same, dims_same)
@@ -177,7 +178,7 @@ def organise_plan(
         status = F.when(no_time, "ERROR").when(unchanged, "NO_CHANGE").otherwise("DRY_RUN")
     elif conv:
         status = (
-            F.when(no_time | ~decodable, "ERROR")
+            F.when(no_time | ~decodable | shrinks_to_none, "ERROR")
             .when(keep, "COPIED")
             .otherwise("CONVERTED")
         )

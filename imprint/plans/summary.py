@@ -17,11 +17,14 @@ def status_histogram(plan: DataFrame) -> DataFrame:
 def size_totals(plan: DataFrame) -> DataFrame:
     """Totals over RENAMED, CONVERTED, COPIED and DRY_RUN rows, saved bytes and percent.
 
+    Rows whose old or new size is unknown are counted in ``n_unknown`` and left out of the totals.
     ``saved_pct`` is NULL unless the original total is positive and the totals differ; a
     negative value means the files grew.
     """
-    sized = F.col("status").isin(*SIZED_STATUSES)
+    listed = F.col("status").isin(*SIZED_STATUSES)
+    sized = listed & F.col("original_size").isNotNull() & F.col("new_size").isNotNull()
     t = plan.agg(
+        F.count_if(listed & ~sized).cast("bigint").alias("n_unknown"),
         F.coalesce(F.sum(F.when(sized, F.col("original_size"))), F.lit(0)).cast("bigint").alias("total_original"),
         F.coalesce(F.sum(F.when(sized, F.col("new_size"))), F.lit(0)).cast("bigint").alias("total_new"),
     )
@@ -38,4 +41,5 @@ def size_totals(plan: DataFrame) -> DataFrame:
         human_size("total_original").alias("total_original_str"),
         human_size("total_new").alias("total_new_str"),
         human_size(saved).alias("saved_str"),
+        "n_unknown",
     )

@@ -20,7 +20,7 @@ from imprint.functions import capture_time as ctm
 from imprint.functions.naming import is_image_name, split_ext
 from imprint.plans.organise import OrganiseOptions, organise_plan
 from imprint.plans.summary import size_totals, status_histogram
-from imprint.operators.index import index_changes, run_counts
+from imprint.operators.index import failed_count, index_changes, run_counts, to_hash, update_index
 from imprint.plans.group_rename import outcome_counts, rename_plan, undo_plan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,22 @@ def _grid_query(method: str) -> Query:
     return q
 
 
+def fp_grid16_whash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H4: wavelet hash of a 16x16 grid (2x2 block means)."""
+    g = fixtures.grid_tiled(spark, sf_dir, 16)
+    return g.select("id", fpr.whash("grid", 16).alias("h"))
+
+
+def fp_grid32_phash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H1: perceptual hash of a 32x32 grid (low 8x8 block of its DCT)."""
+    return fpr.fingerprint(fixtures.grid_tiled(spark, sf_dir, 32), "grid", "phash", "h").select("id", "h")
+
+
+def fp_blank_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document hashes whose upper half is blank, as in pictures with large empty areas."""
+    return fp_docs(spark, sf_dir).select("id", F.col("h").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).alias("h"))
+
+
 def hash_hex_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H6: hash -> 16 hex digits -> hash."""
     f = fp_embed(spark, sf_dir)
@@ -75,7 +91,7 @@ def neighbours_embed(t: int) -> Query:
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
         files = _embed_files(spark, sf_dir)
         qh, qpath = _first_file(files)
-        return neighbours(files, qh, t, query_name=qpath).select("id", "path", "distance")
+        return neighbours(files, qh, t, query_name=qpath).select("id", "path", "distance", "rank")
 
     q.__doc__ = f"J4+T1+F2: files within {t} of one query file, the query itself excluded."
     return q
@@ -200,6 +216,28 @@ def rename_counts_embed(t: int) -> Query:
     return q
 
 
+def rename_plan_docs_t5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group-prefix rename plan for the near-duplicate documents at threshold 5."""
+    files = fixtures.document_files(spark, sf_dir).join(fp_docs(spark, sf_dir), "id")
+    groups = duplicate_groups(files, 5, key_col="path", hash_col="h")
+    return rename_plan(groups, "doc/", fixtures.document_dir_names(spark, sf_dir))
+
+
+def _fresh_hashes(spark: SparkSession, sf_dir: str, changes: DataFrame) -> DataFrame:
+    return fixtures.hashed_now(spark, sf_dir).join(to_hash(changes).select("path"), "path", "left_semi")
+
+
+def index_upsert_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next index state: unchanged rows and the fresh hashes that succeeded."""
+    changes = index_changes_media(spark, sf_dir)
+    return update_index(fixtures.index_before(spark, sf_dir), changes, _fresh_hashes(spark, sf_dir, changes))
+
+
+def index_failed_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: changed files that could not be hashed in this run."""
+    return failed_count(_fresh_hashes(spark, sf_dir, index_changes_media(spark, sf_dir)))
+
+
 def undo_plan_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Undo plan over a listing with group-prefixed names."""
     return undo_plan(fixtures.undo_listing(spark, sf_dir), key="event_id")
@@ -218,16 +256,21 @@ def registry() -> dict[str, Query]:
         "fp_grid_dhash": _grid_query("dhash"),
         "fp_grid_whash": _grid_query("whash"),
         "fp_grid_phash": _grid_query("phash"),
+        "fp_grid16_whash": fp_grid16_whash,
+        "fp_grid32_phash": fp_grid32_phash,
         "hash_hex_roundtrip": hash_hex_roundtrip,
     }
     for t in (18, 20, 22):
         q[f"hamming_pairs_embed_t{t}"] = pairs_query(fp_embed, t)
-    q["hamming_pairs_docs_t5"] = pairs_query(fp_docs, 5)
+    for t in (3, 5, 8):
+        q[f"hamming_pairs_docs_t{t}"] = pairs_query(fp_docs, t)
+    q["hamming_pairs_blank_docs_t5"] = pairs_query(fp_blank_docs, 5)
     q["neighbours_embed_t20"] = neighbours_embed(20)
     q["closest_non_duplicates_embed_t20"] = closest_embed(20)
     q["hash_stats_docs"] = hash_stats_docs
     q["exact_duplicates_docs"] = exact_duplicates_docs
-    q["dup_groups_docs_t5"] = groups_query(fp_docs, 5)
+    for t in (5, 8):
+        q[f"dup_groups_docs_t{t}"] = groups_query(fp_docs, t)
     for t in (18, 20, 22):
         q[f"dup_groups_embed_t{t}"] = groups_query(fp_embed, t)
     q["group_sizes_docs_t5"] = group_sizes_docs_t5
@@ -244,6 +287,9 @@ def registry() -> dict[str, Query]:
     q["index_run_counts_media"] = index_run_counts_media
     q["rename_plan_embed_t20"] = rename_plan_embed(20)
     q["rename_counts_embed_t20"] = rename_counts_embed(20)
+    q["rename_plan_docs_t5"] = rename_plan_docs_t5
+    q["index_upsert_media"] = index_upsert_media
+    q["index_failed_media"] = index_failed_media
     q["undo_plan_media"] = undo_plan_media
     q["undo_counts_media"] = undo_counts_media
     return q

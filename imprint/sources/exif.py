@@ -1,7 +1,7 @@
 """EXIF capture-time tags from file headers.
 
 ``binaryFile`` rows are parsed in NumPy/struct code over Arrow batches (``mapInPandas``): JPEG
-APP1 ``Exif`` segments, PNG ``eXIf`` chunks and bare TIFF headers.  From IFD0 it reads DateTime
+APP1 ``Exif`` segments, PNG ``eXIf`` and WebP ``EXIF`` chunks, and bare TIFF headers.  From IFD0 it reads DateTime
 (tag 306) and from the Exif sub-IFD DateTimeOriginal (36867).  Anything unreadable gives NULLs;
 a file never fails the job.  The strings then go through :func:`capture_time.exif_time`.
 """
@@ -85,10 +85,17 @@ def exif_block(content: bytes) -> bytes | None:
             kind = content[i + 4 : i + 8]
             if kind == b"eXIf":
                 return content[i + 8 : i + 8 + length]
-            if kind == b"IDAT":
-                break
             i += 12 + length
         return None
+    if content[:4] == b"RIFF" and content[8:12] == b"WEBP":
+        i = 12
+        while i + 8 <= len(content):
+            kind = content[i : i + 4]
+            (length,) = struct.unpack_from("<I", content, i + 4)
+            if kind == b"EXIF":
+                return content[i + 8 : i + 8 + length].removeprefix(b"Exif\x00\x00")
+            i += 8 + length + length % 2
+        return None
     if content[:4] in (b"II*\x00", b"MM\x00*"):
         return content
     return None

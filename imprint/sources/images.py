@@ -5,9 +5,9 @@ BGR order).  A file that cannot be decoded is kept as a row with ``ok = false``
 never dropped silently.  Grey conversion and area-average resampling run in NumPy over Arrow
 batches; the grid then feeds the fingerprint builders.
 
-Only files that need hashing are decoded: the listing's oldest changed mtime bounds the scan
-with ``modifiedAfter`` (one scalar to the driver), and a semi join keeps exactly the wanted
-paths.
+The scan for changed files is bounded by the oldest and newest wanted mtime (``modifiedAfter``,
+``modifiedBefore``; two scalars to the driver); files between them are decoded, and a semi join
+keeps exactly the wanted paths before they are hashed.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from imprint._ship import ship_with_tasks
-from imprint.functions.naming import norm_path
+from imprint.functions.naming import decoded_origin
 from imprint.operators.fingerprint import fingerprint
 
 ship_with_tasks(__name__)
@@ -30,14 +30,18 @@ GRID_SIZE = {"phash": (32, 32), "ahash": (8, 8), "dhash": (9, 8), "whash": (64,
 LUMA = (0.299, 0.587, 0.114)
 
 
-def decode(spark: SparkSession, directory: str, modified_after: str | None = None) -> DataFrame:
+def decode(
+    spark: SparkSession, directory: str, modified_after: str | None = None, modified_before: str | None = None
+) -> DataFrame:
     """S3: ``(path, width, height, channels, data, ok)`` for every file the image source sees."""
     r = spark.read.format("image").option("dropInvalid", "false")
     if modified_after:
         r = r.option("modifiedAfter", modified_after)
+    if modified_before:
+        r = r.option("modifiedBefore", modified_before)
     img = r.load(directory)
     return img.select(
-        norm_path(F.col("image.origin")).alias("path"),
+        decoded_origin("image.origin").alias("path"),
         F.col("image.width").alias("width"),
         F.col("image.height").alias("height"),
         F.col("image.nChannels").alias("channels"),
@@ -47,20 +51,22 @@ def decode(spark: SparkSession, directory: str, modified_after: str | None = Non
 
 
 def luma_grid_numpy(data: bytes, width: int, height: int, channels: int, gw: int, gh: int) -> np.ndarray:
-    """Grey (BGR -> luma) and area-average resample to ``gh`` rows x ``gw`` columns."""
-    px = np.frombuffer(data, dtype=np.uint8).astype(np.float64).reshape(height, width, channels)
-    if channels >= 3:
-        b, g, r = px[..., 0], px[..., 1], px[..., 2]
-        grey = LUMA[0] * r + LUMA[1] * g + LUMA[2] * b
-    else:
-        grey = px[..., 0]
+    """Grey (BGR -> luma) and area-average resample to ``gh`` rows x ``gw`` columns.
+
+    Each band of rows is summed in integers, so only ``width x channels`` numbers are held
+    besides the image itself.
+    """
+    px = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
     rows = np.minimum((np.arange(gh) * height) // gh, height - 1)
     cols = np.minimum((np.arange(gw) * width) // gw, width - 1)
-    row_sums = np.add.reduceat(grey, rows, axis=0)
-    row_counts = np.diff(np.append(rows, height)).clip(min=1)
-    cell = np.add.reduceat(row_sums, cols, axis=1)
+    row_ends = np.maximum(np.append(rows[1:], height), rows + 1)
     col_counts = np.diff(np.append(cols, width)).clip(min=1)
-    return (cell / row_counts[:, None] / col_counts[None, :]).reshape(-1)
+    out = np.empty((gh, gw))
+    for k, (a, b) in enumerate(zip(rows, row_ends, strict=True)):
+        band = px[a:b].sum(axis=0, dtype=np.int64)
+        grey = band[:, :3] @ np.array(LUMA[::-1]) if channels >= 3 else band[:, 0]
+        out[k] = np.add.reduceat(grey, cols) / (b - a) / col_counts
+    return out.reshape(-1)
 
 
 def _grid_udf(gw: int, gh: int):
@@ -98,16 +104,17 @@ def hash_files(decoded: DataFrame, method: str = "phash") -> DataFrame:
 
 
 def hash_changed(spark: SparkSession, directory: str, wanted: DataFrame, method: str = "phash") -> DataFrame:
-    """Decode and hash only ``wanted(path, mtime)`` files: ``(path, mtime, h, ok)``.
+    """Hash only the ``wanted(path, mtime)`` files: ``(path, mtime, h, ok)``.
 
-    The scan is bounded below by the oldest wanted mtime; the semi join makes it exact.
+    The scan is bounded by the wanted mtimes; the semi join makes it exact.
     """
-    oldest = wanted.agg(F.min("mtime")).first()[0]  # one scalar
+    oldest, newest = wanted.agg(F.min("mtime"), F.max("mtime")).first()  # two scalars
     if oldest is None:
         return spark.createDataFrame([], "path string, mtime timestamp_ntz, h bigint, ok boolean")
-    bound = (pd.Timestamp(oldest) - pd.Timedelta(seconds=1)).strftime("%Y-%m-%dT%H:%M:%S")
-    decoded = decode(spark, directory, modified_after=bound).join(wanted.select("path"), "path", "left_semi")
-    hashed = hash_files(decoded, method)
+    after, before = pd.Timestamp(oldest) - pd.Timedelta(seconds=1), pd.Timestamp(newest) + pd.Timedelta(seconds=1)
+    shape = "%Y-%m-%dT%H:%M:%S"
+    decoded = decode(spark, directory, after.strftime(shape), before.strftime(shape))
+    hashed = hash_files(decoded.join(wanted.select("path"), "path", "left_semi"), method)
     # a wanted file the image source did not return at all (e.g. HEIC) is a failed row
     return wanted.select("path", "mtime").join(hashed, "path", "left").select(
         "path", "mtime", "h", F.coalesce(F.col("ok"), F.lit(False)).alias("ok")

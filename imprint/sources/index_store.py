@@ -1,13 +1,17 @@
-"""Versioned fingerprint index on shared storage.
+"""Versioned index on shared storage.
 
-Layout under ``base``: ``v=<n>/`` parquet directories and a ``_CURRENT`` file naming the live
-version.  A write goes to a fresh version directory and only then moves the pointer, so a
-reader never sees a half-written index and a path being read is never overwritten.  Each row
-records the hash method and format version (the index says which hash made it).
+Layout under ``base``: one parquet folder per write with a name of its own, and pointer files
+``_CURRENT.<n>`` that each name a folder; the highest ``n`` is live.  A write fills a new folder
+and only then renames a pointer into place, under a number that no file has: a reader never
+sees a half-written index or a missing pointer, and what a crash left behind (a folder without a
+pointer) stands in nobody's way.  Each row records the hash method and format version.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,41 +35,54 @@ def _fs(spark: SparkSession, base: str):
     return path.getFileSystem(conf), jvm
 
 
-def _current(spark: SparkSession, base: str) -> int | None:
+POINTER = "_CURRENT."
+
+
+def _current(spark: SparkSession, base: str) -> tuple[int, str | None]:
+    """(number, folder) of the live pointer; (0, None) if there is none."""
     fs, jvm = _fs(spark, base)
-    ptr = jvm.org.apache.hadoop.fs.Path(f"{base}/_CURRENT")
-    if not fs.exists(ptr):
-        return None
-    stream = fs.open(ptr)
+    root = jvm.org.apache.hadoop.fs.Path(base)
+    if not fs.exists(root):
+        return 0, None
+    names = [f.getPath().getName() for f in fs.listStatus(root)]
+    numbers = [int(n.removeprefix(POINTER)) for n in names if n.startswith(POINTER) and n.removeprefix(POINTER).isdigit()]
+    if not numbers:
+        return 0, None
+    stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{base}/{POINTER}{max(numbers)}"))
     try:
-        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        return max(numbers), jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
     finally:
         stream.close()
-    text = text.strip()
-    return int(text) if text.isdigit() else None
 
 
 def read_index(spark: SparkSession, base: str, hash_func: str = "phash") -> DataFrame:
-    """The live index, or an empty one when there is none, it is unreadable, or it was made
-    by another hash method or format (then the caller rebuilds)."""
+    """The live index, or an empty one when there is none, its files are missing or corrupt,
+    or it was made by another hash method or format (then the caller rebuilds).  Any other
+    failure, such as a denied permission, is raised."""
     empty = spark.createDataFrame([], INDEX_SCHEMA)
+    _, folder = _current(spark, base)
+    if not folder:
+        return empty
     try:
-        v = _current(spark, base)
-        if v is None:
-            return empty
-        df = spark.read.schema(INDEX_SCHEMA).parquet(f"{base}/v={v}")
-    except Exception:  # missing or corrupt: the safe fallback is an empty index
+        df = spark.read.schema(INDEX_SCHEMA).parquet(f"{base}/{folder}")
+        df.count()  # reads the footers of all files
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty
+    except PySparkException as e:
+        if not (e.getCondition() or "").startswith(("FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER")):
+            raise
         return empty
     return df.where((F.col("hash_func") == hash_func) & (F.col("format_version") == FORMAT_VERSION))
 
 
 def write_index(index: DataFrame, base: str, hash_func: str = "phash") -> int:
-    """Write ``(path, mtime, h)`` as the next version and switch the pointer; returns it.
+    """Write ``(path, mtime, h)`` as the next version and point to it; returns its number.
 
     Deletions-only runs are written too (the new version simply has fewer rows).
     """
     spark = index.sparkSession
-    v = (_current(spark, base) or 0) + 1
     out = index.select(
         "path",
         F.col("mtime").cast("timestamp_ntz").alias("mtime"),
@@ -73,19 +90,16 @@ def write_index(index: DataFrame, base: str, hash_func: str = "phash") -> int:
         F.lit(hash_func).alias("hash_func"),
         F.lit(FORMAT_VERSION).alias("format_version"),
     )
-    out.write.mode("errorifexists").parquet(f"{base}/v={v}")
+    folder = f"index-{uuid.uuid4().hex}"
+    out.write.mode("errorifexists").parquet(f"{base}/{folder}")
     fs, jvm = _fs(spark, base)
-    tmp = jvm.org.apache.hadoop.fs.Path(f"{base}/_CURRENT.tmp.{v}")
+    tmp = jvm.org.apache.hadoop.fs.Path(f"{base}/_new-{folder}")
     stream = fs.create(tmp, True)
     try:
-        stream.write(str(v).encode())
+        stream.write(folder.encode())
     finally:
         stream.close()
-    fs.rename(tmp, jvm.org.apache.hadoop.fs.Path(f"{base}/_CURRENT")) or _replace(fs, jvm, base, tmp)
-    return v
-
-
-def _replace(fs, jvm, base: str, tmp) -> bool:
-    dst = jvm.org.apache.hadoop.fs.Path(f"{base}/_CURRENT")
-    fs.delete(dst, False)
-    return fs.rename(tmp, dst)
+    version = _current(spark, base)[0] + 1
+    if not fs.rename(tmp, jvm.org.apache.hadoop.fs.Path(f"{base}/{POINTER}{version}")):
+        raise RuntimeError(f"another writer made version {version} of {base}")
+    return version

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from imprint.functions.naming import norm_path
+from imprint.functions.naming import decoded_origin
 from imprint.sources.images import hash_files
 from imprint.sources.index_store import read_index, write_index
 
@@ -27,7 +27,7 @@ def image_stream(spark: SparkSession, directory: str, max_files_per_trigger: int
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     img = r.load(directory)
     return img.select(
-        norm_path(F.col("image.origin")).alias("path"),
+        decoded_origin("image.origin").alias("path"),
         F.col("image.width").alias("width"),
         F.col("image.height").alias("height"),
         F.col("image.nChannels").alias("channels"),
