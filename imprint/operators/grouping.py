@@ -9,21 +9,31 @@ groups, so groups may overlap; members may be up to twice the threshold apart.
 The seeds are the lexicographically first maximal independent set of the threshold graph.
 Spark computes them with the parallel fix-point of Blelloch, Fineman & Shun (SPAA 2012):
 each round, every undecided hash with no undecided earlier neighbour becomes a seed and its
-later neighbours become covered; decided hashes and their edges leave the working set.  Each
-round is a few equi-joins on the shrinking edge table; its state is written to the shared
+later neighbours become covered; decided hashes and their edges leave the working set.  After a
+few rounds the small components that are left are walked one task each.  Each round is a few
+equi-joins on the shrinking edge table; its state is written to the shared
 checkpoint folder so the lineage stays one round deep, and one emptiness test per round is the
 only thing the driver sees.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from imprint._ship import ship_with_tasks
+from imprint.operators.components import components
 from imprint.operators.hamming import BandPlan, similar_pairs
 from imprint.operators.ranking import number_rows
 from imprint.session import cut_lineage
 
+ship_with_tasks(__name__)
+
+PARALLEL_ROUNDS = 4
+WALK_EDGES = 20_000  # most edges of a component that one task walks
+
 
 def hash_table(files: DataFrame, key_col: str = "id", hash_col: str = "h") -> DataFrame:
     """A2: one row per distinct hash with its first file key and file count (map-side combine)."""
@@ -44,49 +54,65 @@ def hash_stats(files: DataFrame, hash_col: str = "h") -> DataFrame:
     return files.agg(F.count(F.lit(1)).alias("n_files"), F.countDistinct(hash_col).alias("n_hashes"))
 
 
-def _orient(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _orient(pairs: DataFrame) -> DataFrame:
     """Direct every edge from the earlier hash to the later one (order: first_key, h)."""
-    a = nodes.select(F.col("h").alias("h_a"), F.col("first_key").alias("k_a"))
-    b = nodes.select(F.col("h").alias("h_b"), F.col("first_key").alias("k_b"))
-    e = pairs.join(a, "h_a").join(b, "h_b")
-    a_first = (F.col("k_a") < F.col("k_b")) | ((F.col("k_a") == F.col("k_b")) & (F.col("h_a") < F.col("h_b")))
-    return e.select(
-        F.when(a_first, F.col("h_a")).otherwise(F.col("h_b")).alias("src"),
-        F.when(a_first, F.col("h_b")).otherwise(F.col("h_a")).alias("dst"),
-    )
-
-
-def leader_seeds(pairs: DataFrame, nodes: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    a = F.struct(F.col("first_key_a").alias("k"), F.col("h_a").alias("h"))
+    b = F.struct(F.col("first_key_b").alias("k"), F.col("h_b").alias("h"))
+    e = pairs.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
+    return e.select(F.col("src.h").alias("src"), F.col("dst.h").alias("dst"), F.col("src.k").alias("k_src"), F.col("dst.k").alias("k_dst"))
+
+
+def _walk(edges: pd.DataFrame) -> pd.DataFrame:
+    """The seeds of one small component, by the sequential walk itself."""
+    keys = dict(zip(edges["src"], edges["k_src"])) | dict(zip(edges["dst"], edges["k_dst"]))
+    later: dict[int, list[int]] = {}
+    for a, b in zip(edges["src"], edges["dst"]):
+        later.setdefault(a, []).append(b)
+    covered: set[int] = set()
+    seeds = []
+    for h in sorted(keys, key=lambda h: (keys[h], h)):
+        if h not in covered:
+            seeds.append(h)
+            covered.update(later.get(h, ()))
+    return pd.DataFrame({"h": np.array(seeds, dtype=np.int64)})
+
+
+def leader_seeds(pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Seeds among hashes that have at least one edge, as a one-column ``(h)`` table.
 
-    Rounds run until no edge is left; ``max_rounds`` only exists for tests and raises when hit.
+    ``pairs`` carries ``first_key_a`` and ``first_key_b``.  Most edges are settled in the first
+    few parallel rounds.  What is left then are chains (burst pictures), which take a round per
+    two links; so the components of the rest that have at most WALK_EDGES edges are each walked
+    in one task, and only larger ones go on in rounds until no edge is left.  ``max_rounds``
+    raises when hit.
     """
-    active = cut_lineage(_orient(pairs, nodes), "g1-edges")
+    active = cut_lineage(_orient(pairs), "g1-edges")
     undecided = cut_lineage(
         active.select(F.col("src").alias("h")).union(active.select(F.col("dst").alias("h"))).distinct(), "g1-nodes"
     )
-    seed_parts: list[DataFrame] = []
+    seeds = None
     rounds = 0
     while not active.isEmpty():
         rounds += 1
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError(f"grouping did not converge in {max_rounds} rounds")
-        # both inputs are written tables, so this anti join is cheap to evaluate again later
-        new_seeds = undecided.join(active.select(F.col("dst").alias("h")), "h", "left_anti")
-        covered = active.join(new_seeds.select(F.col("h").alias("src")), "src", "left_semi").select(
-            F.col("dst").alias("h")
-        )
-        decided = new_seeds.unionByName(covered)
+        if rounds == PARALLEL_ROUNDS + 1:
+            of = components(active.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+            of = active.join(cut_lineage(of.withColumnRenamed("node", "src"), "g1-parts"), "src")
+            sizes = of.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= WALK_EDGES)
+            small = cut_lineage(of.join(cut_lineage(sizes.select("root"), "g1-small"), "root"), "g1-walk")
+            new_seeds = cut_lineage(small.groupBy("root").applyInPandas(_walk, "h long"), "g1-seeds")
+            decided = small.select(F.col("src").alias("h")).union(small.select(F.col("dst").alias("h"))).distinct()
+        else:
+            new_seeds = cut_lineage(undecided.join(active.select(F.col("dst").alias("h")), "h", "left_anti"), "g1-seeds")
+            covered = active.join(new_seeds.select(F.col("h").alias("src")), "src", "left_semi")
+            decided = new_seeds.unionByName(covered.select(F.col("dst").alias("h")))
         next_active = active.join(decided.select(F.col("h").alias("src")), "src", "left_anti").join(
             decided.select(F.col("h").alias("dst")), "dst", "left_anti"
         )
-        next_undecided = undecided.join(decided, "h", "left_anti")
-        seed_parts.append(new_seeds)
+        seeds = new_seeds if seeds is None else seeds.unionByName(new_seeds)
         active = cut_lineage(next_active, "g1-edges")
-        undecided = cut_lineage(next_undecided, "g1-nodes")
-    seeds = None
-    for part in seed_parts:
-        seeds = part if seeds is None else seeds.unionByName(part)
+        undecided = cut_lineage(undecided.join(decided, "h", "left_anti"), "g1-nodes")
     # with no edge left, every remaining undecided hash has no undecided earlier neighbour
     return undecided if seeds is None else seeds.unionByName(undecided)
 
@@ -107,8 +133,10 @@ def duplicate_groups(
         files.select(F.col(key_col).alias("_key"), F.col(hash_col).alias("h")).where(F.col("h").isNotNull()), "g1-files"
     )
     nodes = cut_lineage(hash_table(files, "_key", "h"), "g1-hashes")
-    pairs = cut_lineage(similar_pairs(nodes, threshold, "h", plan=plan, distinct_input=True), "g1-pairs")  # G1a
-    seeds = leader_seeds(pairs, nodes)
+    found = similar_pairs(nodes, threshold, "h", plan=plan, distinct_input=True, carry="first_key")  # G1a
+    found = cut_lineage(found, "g1-pairs")
+    seeds = leader_seeds(found)
+    pairs = found.select("h_a", "h_b", "distance")
     lonely = nodes.where(F.col("n_files") > 1).select("h").join(seeds, "h", "left_anti").join(
         pairs.select(F.col("h_a").alias("h")).union(pairs.select(F.col("h_b").alias("h"))), "h", "left_anti"
     )

@@ -1,27 +1,29 @@
 """Exact Hamming range search and similarity joins on 64-bit hashes.
 
 A predicate ``bit_count(a ^ b) <= t`` has no equi-key, so Spark would plan it as a nested loop.
-The join here is multi-index hashing (Norouzi, Punjani & Fleet 2012): split the 64 bits into
+The join here is multi-index hashing (Norouzi, Punjani & Fleet 2012): split the bits into
 ``m`` bands; if two hashes are within ``t`` then some band differs in at most ``r = t // m``
 bits (pigeonhole).  The index side emits one row per band, the probe side one row per band and
 per value within ``r`` flips, and the two meet on an equi-join ``(band, value)``.  Each pair is
 kept only at the *first* band that satisfies the bound, so there is no ``distinct``; the exact
 distance filter removes the rest.  No false negatives, no sampling.
 
-``m`` is chosen by a cost model (probe rows + expected candidates).  A band value shared by
-very many hashes (blank image areas) would make its key quadratic and one task.  Such hot keys
-are found on a bounded sample and joined again on *sub-bands of the other bits*: two hashes
-that meet on band ``j`` differ by at most the probe's flips there, so the remaining distance
-lives outside band ``j`` and the pigeonhole applies again.  The sub-join is keyed by
-``(band, key, sub-band, sub-value)``, which spreads the hot key over many tasks and cuts its
-candidates by ``2**width`` per sub-band; a first-sub-band rule keeps one copy of each pair.  The
-hot-key table is bounded by construction (``<= index rows / hot threshold``) before it is
-broadcast.
+The bits need not be contiguous.  One aggregate counts how often each bit is set; bits that are
+the same in all hashes cannot differ and are left out, and the others are dealt to the bands so
+that each band tells hashes apart about equally well (blank image areas give constant or nearly
+constant bits).  ``m`` is chosen by a cost model (probe rows + expected candidates).
+
+A band value that is still shared by very many hashes is found on a bounded sample and joined
+again on *sub-bands of the other bits*: two hashes that meet on a band have the rest of their
+distance outside it, so the pigeonhole applies again there, keyed by ``(band, key, sub-band,
+sub-value)``.  The hot-key table is bounded by construction (``<= index rows / hot threshold``)
+before it is broadcast.  The same plan runs at every size.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
@@ -29,111 +31,146 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from imprint.functions.bits import hamming, shru
+from imprint.functions.bits import hamming
 from imprint.functions.naming import basename
 from imprint.operators.ranking import number_rows
 from imprint.session import cut_lineage
 
 N_BITS = 64
 MAX_KEYS_PER_ROW = 4096  # flip masks per probe row we accept when choosing the band plan
-HOT_KEY_MIN_ROWS = 20_000  # an index key with more rows than this is re-banded
+HOT_KEY_MIN_ROWS = 4096  # an index key with more rows than this is re-banded
 MAX_HOT_KEYS = 20_000  # bound on the broadcast hot-key table
 SAMPLE_PER_HOT_KEY = 100  # sampled rows expected per hot key at the threshold
 
 
+def _signed(u: int) -> int:
+    u &= (1 << N_BITS) - 1
+    return u - (1 << N_BITS) if u >= 1 << (N_BITS - 1) else u
+
+
+def _bits_of(mask: int) -> list[int]:
+    return [b for b in range(N_BITS) if (mask >> b) & 1]
+
+
+def _flips(mask: int, radius: int) -> list[int]:
+    """Every XOR mask of at most ``radius`` bits of ``mask``."""
+    bits = _bits_of(mask)
+    return [sum(1 << b for b in some) for k in range(radius + 1) for some in combinations(bits, k)]
+
+
 @dataclass(frozen=True)
 class BandPlan:
-    bands: int
+    """Bands as bit masks, the radius within a band, and each band's entropy in bits."""
+
     radius: int
-    offsets: tuple[int, ...]
-    widths: tuple[int, ...]
+    masks: tuple[int, ...]
+    entropy: tuple[float, ...]
+
+    @property
+    def bands(self) -> int:
+        return len(self.masks)
+
+    @property
+    def widths(self) -> tuple[int, ...]:
+        return tuple(m.bit_count() for m in self.masks)
+
+    def _keys(self, width: int) -> int:
+        return sum(math.comb(width, k) for k in range(self.radius + 1))
 
     @property
     def keys_per_row(self) -> int:
-        return sum(sum(math.comb(w, k) for k in range(self.radius + 1)) for w in self.widths)
+        return sum(map(self._keys, self.widths))
 
     def expected_candidates(self, n_probe: int, n_index: int) -> float:
-        return sum(
-            sum(math.comb(w, k) for k in range(self.radius + 1)) * n_probe * n_index / 2.0**w for w in self.widths
-        )
-
-    def masks(self) -> list[list[int]]:
-        """Per band, every XOR mask of at most ``radius`` bits inside the band (low-aligned)."""
-        out = []
-        for w in self.widths:
-            ms = [0]
-            for k in range(1, self.radius + 1):
-                ms.extend(sum(1 << b for b in bits) for bits in combinations(range(w), k))
-            out.append(ms)
-        return out
-
-
-def band_plan(threshold: int, bands: int) -> BandPlan:
+        return sum(self._keys(w) * n_probe * n_index / 2.0**e for w, e in zip(self.widths, self.entropy, strict=True))
+
+
+UNIFORM = (1.0,) * N_BITS
+
+
+def _deal(bits: Sequence[int], entropy: Sequence[float], bands: int) -> tuple[tuple[int, ...], tuple[float, ...]]:
+    """Masks and entropies of ``bands`` bands: each bit, richest first, goes to the poorest band."""
+    masks, total = [0] * bands, [0.0] * bands
+    for b in sorted(bits, key=lambda b: (-entropy[b], b)):
+        j = min(range(bands), key=lambda j: (total[j], masks[j].bit_count(), j))
+        masks[j] |= 1 << b
+        total[j] += entropy[b]
+    return tuple(masks), tuple(total)
+
+
+def band_plan(threshold: int, bands: int, entropy: Sequence[float] = UNIFORM) -> BandPlan:
+    """A plan of ``bands`` bands over the bits of positive ``entropy`` (all bits if none has)."""
     if not 0 <= threshold <= N_BITS:
         raise ValueError("threshold must be in 0..64")
-    bands = max(1, min(bands, N_BITS))
-    base, extra = divmod(N_BITS, bands)
-    widths = tuple(base + (1 if j < extra else 0) for j in range(bands))
-    offsets = tuple(sum(widths[:j]) for j in range(bands))
-    return BandPlan(bands, threshold // bands, offsets, widths)
+    live = [b for b in range(N_BITS) if entropy[b] > 0] or list(range(N_BITS))
+    bands = max(1, min(bands, len(live)))
+    masks, total = _deal(live, entropy, bands)
+    return BandPlan(threshold // bands, masks, total)
 
 
-def choose_band_plan(threshold: int, n_probe: int, n_index: int) -> BandPlan:
-    """Cheapest exact plan: probe rows + index rows + expected candidate pairs (uniform bits)."""
+def _cheapest(threshold: int, n_probe: int, n_index: int, bits: list[int], entropy: Sequence[float]) -> BandPlan:
     best, best_cost = None, math.inf
-    for m in range(1, N_BITS + 1):
-        plan = band_plan(threshold, m)
-        kpr = plan.keys_per_row
-        if kpr > MAX_KEYS_PER_ROW:
+    for m in range(1, len(bits) + 1):
+        masks, total = _deal(bits, entropy, m)
+        plan = BandPlan(threshold // m, masks, total)
+        if plan.keys_per_row > MAX_KEYS_PER_ROW:
             continue
-        cost = n_probe * kpr + n_index * m + plan.expected_candidates(n_probe, n_index)
+        cost = n_probe * plan.keys_per_row + n_index * m + plan.expected_candidates(n_probe, n_index)
         if cost < best_cost:
             best, best_cost = plan, cost
     return best
 
 
-def _band_value(h: Column, offset: Column | int, width_mask: Column | int) -> Column:
-    off = offset if isinstance(offset, Column) else F.lit(offset)
-    msk = width_mask if isinstance(width_mask, Column) else F.lit(width_mask).cast("long")
-    return shru(h, off).bitwiseAND(msk)
+def choose_band_plan(threshold: int, n_probe: int, n_index: int, entropy: Sequence[float] = UNIFORM) -> BandPlan:
+    """Cheapest exact plan: probe rows + index rows + expected candidate pairs."""
+    live = [b for b in range(N_BITS) if entropy[b] > 0] or list(range(N_BITS))
+    return _cheapest(threshold, n_probe, n_index, live, entropy)
 
 
-def _width_masks(plan: BandPlan) -> list[int]:
-    return [(1 << w) - 1 if w < 64 else -1 for w in plan.widths]
+def bit_entropy(*sides: tuple[DataFrame, str]) -> tuple[float, ...]:
+    """Collision entropy of every bit over the hashes of all ``sides``; 0 where it never varies.
+
+    One aggregate of 64 counts per side; only these reach the driver.
+    """
+    n, ones = 0, [0] * N_BITS
+    for df, h in sides:
+        got = df.agg(
+            F.count(h).alias("n"), *(F.count_if(F.getbit(h, F.lit(b)) == 1).alias(f"b{b}") for b in range(N_BITS))
+        ).first()
+        n += got["n"]
+        ones = [a + got[f"b{b}"] for b, a in enumerate(ones)]
+    if not n:
+        return UNIFORM
+    shares = [a / n for a in ones]
+    return tuple(0.0 if a in (0, n) else -math.log2(p * p + (1 - p) * (1 - p)) for a, p in zip(ones, shares, strict=True))
 
 
 def _index_rows(df: DataFrame, h: str, plan: BandPlan) -> DataFrame:
-    vals = [_band_value(F.col(h), o, m) for o, m in zip(plan.offsets, _width_masks(plan), strict=True)]
+    vals = [F.col(h).bitwiseAND(F.lit(_signed(m)).cast("long")) for m in plan.masks]
     return df.select("*", F.posexplode(F.array(*vals)).alias("_band", "_key"))
 
 
 def _probe_rows(df: DataFrame, h: str, plan: BandPlan) -> DataFrame:
-    entries = [(j, mk) for j, ms in enumerate(plan.masks()) for mk in ms]
-    bands_arr = F.lit([j for j, _ in entries])
-    masks_arr = F.lit([mk for _, mk in entries]).cast("array<bigint>")
-    offs = F.lit(list(plan.offsets))
-    wmask = F.lit(_width_masks(plan)).cast("array<bigint>")
-    exploded = df.select("*", F.posexplode(masks_arr).alias("_e", "_mask"))
-    band = F.element_at(bands_arr, F.col("_e") + 1)
-    exploded = exploded.withColumn("_band", band)
-    key = _band_value(
-        F.col(h), F.element_at(offs, F.col("_band") + 1), F.element_at(wmask, F.col("_band") + 1)
-    ).bitwiseXOR(F.col("_mask"))
-    return exploded.withColumn("_key", key).drop("_e", "_mask")
+    entries = [(j, _signed(f)) for j, m in enumerate(plan.masks) for f in _flips(m, plan.radius)]
+    bands = F.lit([j for j, _ in entries])
+    masks = F.lit([_signed(m) for m in plan.masks]).cast("array<bigint>")
+    out = df.select("*", F.posexplode(F.lit([f for _, f in entries]).cast("array<bigint>")).alias("_e", "_flip"))
+    out = out.withColumn("_band", F.element_at(bands, F.col("_e") + 1))
+    key = F.col(h).bitwiseAND(F.element_at(masks, F.col("_band") + 1)).bitwiseXOR(F.col("_flip"))
+    return out.withColumn("_key", key).drop("_e", "_flip")
 
 
 def _first_band_ok(x: Column, band: Column, plan: BandPlan) -> Column:
     """True when no band before ``band`` is already within the radius (keeps one copy per pair)."""
     conds = [
-        (band <= j) | (F.bit_count(_band_value(x, o, m)) > plan.radius)
-        for j, (o, m) in enumerate(zip(plan.offsets, _width_masks(plan), strict=True))
-        if j < plan.bands - 1
+        (band <= j) | (F.bit_count(x.bitwiseAND(F.lit(_signed(m)).cast("long"))) > plan.radius)
+        for j, m in enumerate(plan.masks[:-1])
     ]
     return reduce(lambda a, b: a & b, conds, F.lit(True))
 
 
 def _hot_keys(index: DataFrame, n_index_rows: int) -> DataFrame:
-    """Index keys ``(band, key)`` holding more than the hot threshold of rows.
+    """Index keys ``(band, key)`` holding more than the hot threshold of rows, with an estimate.
 
     Found on a Bernoulli sample of about ``SAMPLE_PER_HOT_KEY * MAX_HOT_KEYS`` index rows (no
     shuffle of the whole index side).  A key kept here has at least ``hot_min * fraction``
@@ -151,77 +188,39 @@ def _hot_keys(index: DataFrame, n_index_rows: int) -> DataFrame:
     )
 
 
-def _sub_bands(plan: BandPlan, threshold: int, rows: int) -> tuple[list[list[int]], list[int]]:
-    """For each band ``j``: masks splitting the bits *outside* band ``j`` into sub-bands, and the
-    sub-radius.  Pairs that meet on a hot key of band ``j`` agree on band ``j`` up to the probe's
-    flips, so the rest of the distance lives outside it and the pigeonhole applies again there."""
-    masks, radii = [], []
-    for off, w in zip(plan.offsets, plan.widths, strict=True):
-        rest = [b for b in range(N_BITS) if not off <= b < off + w]
-        if not rest:  # the band is the whole hash: a hot key is one repeated value, join as is
-            masks.append([0])
-            radii.append(0)
-            continue
-        best, best_cost = None, math.inf
-        for m2 in range(1, len(rest) + 1):
-            r2 = threshold // m2
-            base, extra = divmod(len(rest), m2)
-            widths = [base + (1 if i < extra else 0) for i in range(m2)]
-            keys = sum(sum(math.comb(x, k) for k in range(r2 + 1)) for x in widths)
-            if keys > MAX_KEYS_PER_ROW:
-                continue
-            cand = sum(sum(math.comb(x, k) for k in range(r2 + 1)) * rows * rows / 2.0**x for x in widths)
-            cost = rows * keys + rows * m2 + cand
-            if cost < best_cost:
-                best, best_cost = (widths, r2), cost
-        widths, r2 = best
-        groups, i = [], 0
-        for x in widths:
-            groups.append(sum(1 << b for b in rest[i : i + x]))
-            i += x
-        masks.append([_signed(g) for g in groups])
-        radii.append(r2)
-    return masks, radii
-
-
-def _signed(u: int) -> int:
-    u &= (1 << N_BITS) - 1
-    return u - (1 << N_BITS) if u >= 1 << (N_BITS - 1) else u
-
-
-def _bits_of(mask: int) -> list[int]:
-    return [b for b in range(N_BITS) if (mask >> b) & 1]
-
+def _hot_join(
+    prows: DataFrame, irows: DataFrame, plan: BandPlan, threshold: int, rows: int, entropy: Sequence[float], hp: str, hi: str
+) -> DataFrame:
+    """Candidates of hot keys, joined again on sub-bands of the other bits (exact, one copy).
 
-def _hot_join(prows: DataFrame, irows: DataFrame, plan: BandPlan, threshold: int, rows: int, hp: str, hi: str):
-    """Candidates of hot keys, joined again on sub-bands of the other bits (exact, one copy)."""
-    masks, radii = _sub_bands(plan, threshold, rows)
-    flip_s, flip_m = [], []
-    for j, ms in enumerate(masks):
-        fs, fm = [], []
-        for sidx, m in enumerate(ms):
-            bits = _bits_of(m)
-            for k in range(radii[j] + 1):
-                for combo in combinations(bits, k):
-                    fs.append(sidx)
-                    fm.append(_signed(sum(1 << b for b in combo)))
-        flip_s.append(fs)
-        flip_m.append(fm)
+    ``rows`` is the size of the largest hot key, which sets the number of sub-bands.
+    """
+    live = [b for b in range(N_BITS) if any(m >> b & 1 for m in plan.masks)]
+    subs = []
+    for m in plan.masks:
+        rest = [b for b in live if not m >> b & 1]
+        # a band of all bits: its hot key is one repeated value, joined as it is
+        subs.append(_cheapest(threshold, rows, rows, rest, entropy) if rest else BandPlan(0, (0,), (0.0,)))
+    entries = [[(s, _signed(f)) for s, m in enumerate(p.masks) for f in _flips(m, p.radius)] for p in subs]
     band1 = F.col("_band") + 1
-    sub_masks = F.lit(masks).cast("array<array<bigint>>")
-    p = prows.select("*", F.posexplode(F.element_at(F.lit(flip_m).cast("array<array<bigint>>"), band1)).alias("_e", "_flip"))
-    p = p.withColumn("_s", F.element_at(F.element_at(F.lit(flip_s), band1), F.col("_e") + 1))
-    p = p.withColumn(
-        "_key2", F.col(hp).bitwiseAND(F.element_at(F.element_at(sub_masks, band1), F.col("_s") + 1)).bitwiseXOR(F.col("_flip"))
-    ).drop("_e", "_flip")
-    i = irows.select("*", F.posexplode(F.element_at(sub_masks, band1)).alias("_s", "_smask"))
+    masks = F.lit([[_signed(m) for m in p.masks] for p in subs]).cast("array<array<bigint>>")
+    flips = F.lit([[f for _, f in e] for e in entries]).cast("array<array<bigint>>")
+    which = F.lit([[s for s, _ in e] for e in entries]).cast("array<array<int>>")
+    p = prows.select("*", F.posexplode(F.element_at(flips, band1)).alias("_e", "_flip"))
+    p = p.withColumn("_s", F.element_at(F.element_at(which, band1), F.col("_e") + 1))
+    mine = F.element_at(F.element_at(masks, band1), F.col("_s") + 1)
+    p = p.withColumn("_key2", F.col(hp).bitwiseAND(mine).bitwiseXOR(F.col("_flip"))).drop("_e", "_flip")
+    i = irows.select("*", F.posexplode(F.element_at(masks, band1)).alias("_s", "_smask"))
     i = i.withColumn("_key2", F.col(hi).bitwiseAND(F.col("_smask"))).drop("_smask")
-    cand = p.join(i, ["_band", "_key", "_s", "_key2"], "inner")
     x = F.col(hp).bitwiseXOR(F.col(hi))
-    r2 = F.element_at(F.lit(radii), band1)
-    earlier = F.slice(F.element_at(sub_masks, band1), 1, F.col("_s"))
-    first_sub = F.forall(earlier, lambda m: F.bit_count(x.bitwiseAND(m)) > r2)
-    return cand.where(hamming(hp, hi) <= threshold).where(first_sub).drop("_s", "_key2")
+    # no sub-band before this one is within its radius: plain conditions, after the distance
+    first = F.lit(True)
+    for j, sub in enumerate(subs):
+        for s, m in enumerate(sub.masks[:-1]):
+            near = F.bit_count(x.bitwiseAND(F.lit(_signed(m)).cast("long"))) <= sub.radius
+            first &= ~((F.col("_band") == j) & (F.col("_s") > s) & near)
+    cand = p.join(i, ["_band", "_key", "_s", "_key2"], "inner")
+    return cand.where(hamming(hp, hi) <= threshold).where(first).drop("_s", "_key2")
 
 
 def similarity_join(
@@ -234,20 +233,22 @@ def similarity_join(
     split_hot_keys: bool = True,
     n_probe: int | None = None,
     n_index: int | None = None,
+    entropy: Sequence[float] | None = None,
 ) -> DataFrame:
     """All (probe row, index row) pairs with Hamming distance <= threshold, plus ``distance``.
 
     Column names of the two sides must not clash except for the hash columns, which are
-    renamed ``{name}_probe`` / ``{name}_index`` when equal.
+    renamed ``{name}_probe`` / ``{name}_index`` when equal.  Rows without a hash have no pairs.
     """
     if probe_hash == index_hash:
         probe = probe.withColumnRenamed(probe_hash, f"{probe_hash}_probe")
         index = index.withColumnRenamed(index_hash, f"{index_hash}_index")
         probe_hash, index_hash = f"{probe_hash}_probe", f"{index_hash}_index"
+    n_probe = probe.count() if n_probe is None else n_probe
+    n_index = index.count() if n_index is None else n_index
     if plan is None:
-        n_probe = probe.count() if n_probe is None else n_probe
-        n_index = index.count() if n_index is None else n_index
-        plan = choose_band_plan(threshold, max(n_probe, 1), max(n_index, 1))
+        entropy = entropy or bit_entropy((probe, probe_hash), (index, index_hash))
+        plan = choose_band_plan(threshold, max(n_probe, 1), max(n_index, 1), entropy)
     if plan.keys_per_row > MAX_KEYS_PER_ROW:
         raise ValueError(f"band plan needs {plan.keys_per_row} probe keys per row; use more bands")
     irows = _index_rows(index, index_hash, plan)
@@ -255,22 +256,21 @@ def similarity_join(
     keys = ["_band", "_key"]
     cand = None
     if split_hot_keys:
-        n_index = index.count() if n_index is None else n_index
-        if n_index > HOT_KEY_MIN_ROWS:  # below that no key can be hot: skip the sampling job
-            hot = F.broadcast(_hot_keys(irows, n_index * plan.bands))
-            est = max(HOT_KEY_MIN_ROWS, math.ceil(n_index * plan.bands / MAX_HOT_KEYS))
+        found = cut_lineage(_hot_keys(irows, n_index * plan.bands), "hot-keys")
+        largest = found.agg(F.max("_est")).first()[0]  # one scalar
+        if largest is not None:
+            hot = F.broadcast(found.select(*keys))
             hot_cand = _hot_join(
-                prows.join(hot.select(*keys), keys, "left_semi"),
-                irows.join(hot.select(*keys), keys, "left_semi"),
+                prows.join(hot, keys, "left_semi"),
+                irows.join(hot, keys, "left_semi"),
                 plan,
                 threshold,
-                est,
+                math.ceil(largest),
+                entropy or UNIFORM,
                 probe_hash,
                 index_hash,
             )
-            cold = prows.join(hot.select(*keys), keys, "left_anti").join(
-                irows.join(hot.select(*keys), keys, "left_anti"), keys, "inner"
-            )
+            cold = prows.join(hot, keys, "left_anti").join(irows.join(hot, keys, "left_anti"), keys, "inner")
             cand = cold.unionByName(hot_cand)
     if cand is None:
         cand = prows.join(irows, keys, "inner")
@@ -291,22 +291,25 @@ def similar_pairs(
     plan: BandPlan | None = None,
     split_hot_keys: bool = True,
     distinct_input: bool = False,
+    carry: str | None = None,
 ) -> DataFrame:
     """Pairs ``(h_a, h_b, distance)`` of *distinct* hashes within ``threshold``, ``h_a < h_b``.
 
+    ``carry`` names a column of a distinct input that comes along as ``{carry}_a``, ``{carry}_b``.
     Exact copies are removed first (partial aggregation before the shuffle), so a hash shared
     by a third of all files is one row here.
     """
     if distinct_input:  # caller passes a written table of distinct, non-null hashes
-        distinct = hashes.select(F.col(hash_col).alias("h"))
+        distinct = hashes.select(F.col(hash_col).alias("h"), *([carry] if carry else []))
     else:
         distinct = hashes.select(F.col(hash_col).alias("h")).where(F.col("h").isNotNull()).distinct()
         # both join sides, the size estimate and the hot-key scan read this one materialised table
         distinct = cut_lineage(distinct, "distinct-hashes")
     n = distinct.count()
+    names = distinct.columns
     pairs = similarity_join(
-        distinct.withColumnRenamed("h", "h_a"),
-        distinct.withColumnRenamed("h", "h_b"),
+        distinct.select(*(F.col(c).alias(f"{c}_a") for c in names)),
+        distinct.select(*(F.col(c).alias(f"{c}_b") for c in names)),
         threshold,
         probe_hash="h_a",
         index_hash="h_b",
@@ -314,8 +317,10 @@ def similar_pairs(
         split_hot_keys=split_hot_keys,
         n_probe=n,
         n_index=n,
+        entropy=None if plan else bit_entropy((distinct, "h")),
     )
-    return pairs.where(F.col("h_a") < F.col("h_b")).select("h_a", "h_b", "distance")
+    kept = [f"{c}_{side}" for c in names if c != "h" for side in "ab"]
+    return pairs.where(F.col("h_a") < F.col("h_b")).select("h_a", "h_b", "distance", *kept)
 
 
 def join_stats(hashes: DataFrame, threshold: int, hash_col: str = "h") -> dict:
@@ -325,7 +330,7 @@ def join_stats(hashes: DataFrame, threshold: int, hash_col: str = "h") -> dict:
         hashes.select(F.col(hash_col).alias("h")).where(F.col("h").isNotNull()).distinct(), "stats-hashes"
     )
     n = distinct.count()
-    plan = choose_band_plan(threshold, max(n, 1), max(n, 1))
+    plan = choose_band_plan(threshold, max(n, 1), max(n, 1), bit_entropy((distinct, "h")))
     probe = _probe_rows(distinct.withColumnRenamed("h", "h_a"), "h_a", plan)
     index = _index_rows(distinct.withColumnRenamed("h", "h_b"), "h_b", plan)
     cand = probe.join(index, ["_band", "_key"]).where(F.col("h_a") < F.col("h_b"))

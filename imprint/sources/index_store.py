@@ -9,9 +9,11 @@ pointer) stands in nobody's way.  Each row records the hash method and format ve
 
 from __future__ import annotations
 
+import re
 import uuid
 
-from pyspark.errors import AnalysisException, PySparkException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +38,8 @@ def _fs(spark: SparkSession, base: str):
 
 
 POINTER = "_CURRENT."
+_LOST = re.compile("PATH_NOT_FOUND|FAILED_READ_FILE|CANNOT_READ_FILE_FOOTER")
+_DENIED = re.compile("AccessControlException|AccessDenied|Permission denied")
 
 
 def _current(spark: SparkSession, base: str) -> tuple[int, str | None]:
@@ -66,12 +70,8 @@ def read_index(spark: SparkSession, base: str, hash_func: str = "phash") -> Data
     try:
         df = spark.read.schema(INDEX_SCHEMA).parquet(f"{base}/{folder}")
         df.count()  # reads the footers of all files
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return empty
-    except PySparkException as e:
-        if not (e.getCondition() or "").startswith(("FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER")):
+    except (PySparkException, Py4JJavaError) as e:
+        if not _LOST.search(str(e)) or _DENIED.search(str(e)):
             raise
         return empty
     return df.where((F.col("hash_func") == hash_func) & (F.col("format_version") == FORMAT_VERSION))
