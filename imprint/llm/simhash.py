@@ -14,8 +14,7 @@ rotation before the full Hamming distance is taken, and is kept only at its firs
 Skew: equal fingerprints are one node.  Keys of up to SMALL_KEY fingerprints are joined; larger
 ones are dealt into blocks of about BLOCK rows, every pair of blocks is one bounded Arrow group,
 and it returns a spanning forest of its links instead of all of them, which keeps every
-component.  Components come from alternating large-star and small-star joins; each round is
-written to the shared checkpoint folder.
+component.  Components come from the library's star joins, written round by round.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; rows
 with a null id get their group's smallest non-null id (null if there is none); repeated rows
@@ -35,6 +34,7 @@ from pyspark.sql import functions as F
 
 from imprint._ship import ship_with_tasks
 from imprint.llm.common import stage
+from imprint.operators.components import components
 
 ship_with_tasks(__name__)
 
@@ -208,32 +208,7 @@ def links(
     return pairs.select("a", "b").unionByName(trees).distinct()
 
 
-# ---------------------------------------------------------------- components
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the undirected ``edges`` (a, b); root is the smallest node.
-
-    Large-star and small-star in turn until the edges are stars and stay the same.
-    """
-    e = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges")
-    before = None
-    for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        far = both.filter("v > u").join(stage(low, "cc-low"), "u")
-        big = stage(far.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
-        low = stage(big.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
-        star = big.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stage(star.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc-small")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            roots = e.select(F.col("v").alias("node")).distinct()
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                roots.select("node", F.col("node").alias("root"))
-            )
-        before = now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+# ---------------------------------------------------------------- groups
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, distance: int) -> tuple[DataFrame, DataFrame]:

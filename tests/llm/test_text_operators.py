@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 from imprint.llm import distinct_bpe, knn_quality, langid, packing, repetition, sharding, simhash, wordbpe
 from imprint.llm.queries import registry
+from imprint.operators.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "wörter und mehr " * 20000 + "x" * 100000
@@ -146,7 +147,7 @@ def test_links_connect_what_all_pairs_connect(spark, small, block):
     edges = simhash.links(nodes, small=small, block=block)
     for a, b in edges.collect():
         assert bin((a ^ b) & (2**64 - 1)).count("1") <= 3
-    found = {r.node: r.root for r in simhash.components(edges).collect()}
+    found = {r.node: r.root for r in components(edges).collect()}
     ids = brute_components(fps)
     low = collections.defaultdict(list)
     for s, c in zip(signed, ids):
@@ -174,7 +175,7 @@ def test_one_per_group_with_only_null_and_repeated_ids(spark):
 
 def test_long_chain_of_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
-    assert {tuple(r) for r in simhash.components(edges).collect()} == {(i, 0) for i in range(201)}
+    assert {tuple(r) for r in components(edges).collect()} == {(i, 0) for i in range(201)}
 
 
 # ---------------------------------------------------------------- 5 and 9
