@@ -30,7 +30,7 @@ from imprint.llm.common import positions_within, row_positions, stage
 
 SHARDS = 8
 FINE = 64
-BUCKETS = 1024
+BUCKETS = 256
 MAX_ROUNDS = 40
 
 
