@@ -1,7 +1,7 @@
 """Packing documents into fixed-length sequences by multiway differencing (operator 9).
 
-Every document becomes its ids and an end id.  Whole windows are cut off first; the rest is cut
-into near-equal pieces of at most PIECE ids.  The pieces are dealt into groups of about GROUP
+Every document becomes its ids and an end id.  Whole windows are cut off first, then pieces of
+PIECE ids (a quarter of a window) and what is left.  The pieces are dealt into groups of about GROUP
 rows, and each group is divided into near-equal windows by Karmarkar-Karp differencing: the two
 partial partitions with the largest imbalance are merged, the fullest window of one onto the
 emptiest of the other, until one partition is left.  If its fullest window exceeds the capacity,
@@ -101,12 +101,7 @@ def cuts(n: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int
     """(start, length) of the pieces of a document of ``n`` ids: whole windows, then the rest."""
     whole = n // capacity
     out = [(i * capacity, capacity) for i in range(whole)]
-    rest = n - whole * capacity
-    parts = -(-rest // piece)
-    for p in range(parts):
-        a, b = rest * p // parts, rest * (p + 1) // parts
-        out.append((whole * capacity + a, b - a))
-    return out
+    return out + [(at, min(piece, n - at)) for at in range(whole * capacity, n, piece)]
 
 
 def pieces(
