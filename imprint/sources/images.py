@@ -91,8 +91,9 @@ def luma_grid(decoded: DataFrame, method: str = "phash", out: str = "grid") -> D
     return decoded.withColumn(out, udf("data", "width", "height", "channels"))
 
 
-def hash_files(decoded: DataFrame, method: str = "phash") -> DataFrame:
-    """S3+H7+H1-H5: ``(path, h, ok)``; ``h`` is NULL where the file could not be decoded."""
+def hash_files(decoded: DataFrame, method: str = "phash", keep: tuple[str, ...] = ()) -> DataFrame:
+    """S3+H7+H1-H5: ``(path, h, ok)`` and the columns ``keep``; ``h`` is NULL where the file could
+    not be decoded."""
     g = luma_grid(decoded, method)
     if method == "whash":
         from imprint.operators.fingerprint import whash
@@ -100,7 +101,7 @@ def hash_files(decoded: DataFrame, method: str = "phash") -> DataFrame:
         g = g.withColumn("h", whash("grid", side=GRID_SIZE["whash"][0]))
     else:
         g = fingerprint(g, "grid", method, "h")
-    return g.select("path", F.when(F.col("ok"), F.col("h")).alias("h"), (F.col("ok") & F.col("h").isNotNull()).alias("ok"))
+    return g.select("path", F.when(F.col("ok"), F.col("h")).alias("h"), (F.col("ok") & F.col("h").isNotNull()).alias("ok"), *keep)
 
 
 def hash_changed(spark: SparkSession, directory: str, wanted: DataFrame, method: str = "phash") -> DataFrame:

@@ -1,7 +1,9 @@
 """Versioned index on shared storage.
 
 Layout under ``base``: one parquet folder per write with a name of its own, and pointer files
-``_CURRENT.<n>`` that each name a folder; the highest ``n`` is live.  A write fills a new folder
+``_CURRENT.<n>`` that each name the folders of a version, oldest first; the highest ``n`` is
+live.  A path's row in a later folder replaces earlier ones, and a row without a hash removes it,
+so a stream appends small folders and ``compact_index`` makes them one again.  A write fills a new folder
 and only then renames a pointer into place, under a number that no file has: a reader never
 sees a half-written index or a missing pointer, and what a crash left behind (a folder without a
 pointer) stands in nobody's way.  Each row records the hash method and format version.
@@ -11,6 +13,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -42,19 +45,19 @@ _LOST = re.compile("PATH_NOT_FOUND|FAILED_READ_FILE|CANNOT_READ_FILE_FOOTER")
 _DENIED = re.compile("AccessControlException|AccessDenied|Permission denied")
 
 
-def _current(spark: SparkSession, base: str) -> tuple[int, str | None]:
-    """(number, folder) of the live pointer; (0, None) if there is none."""
+def _current(spark: SparkSession, base: str) -> tuple[int, list[str]]:
+    """(number, folders) of the live pointer; (0, []) if there is none."""
     fs, jvm = _fs(spark, base)
     root = jvm.org.apache.hadoop.fs.Path(base)
     if not fs.exists(root):
-        return 0, None
+        return 0, []
     names = [f.getPath().getName() for f in fs.listStatus(root)]
     numbers = [int(n.removeprefix(POINTER)) for n in names if n.startswith(POINTER) and n.removeprefix(POINTER).isdigit()]
     if not numbers:
-        return 0, None
+        return 0, []
     stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{base}/{POINTER}{max(numbers)}"))
     try:
-        return max(numbers), jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+        return max(numbers), jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
     finally:
         stream.close()
 
@@ -64,24 +67,29 @@ def read_index(spark: SparkSession, base: str, hash_func: str = "phash") -> Data
     or it was made by another hash method or format (then the caller rebuilds).  Any other
     failure, such as a denied permission, is raised."""
     empty = spark.createDataFrame([], INDEX_SCHEMA)
-    _, folder = _current(spark, base)
-    if not folder:
+    _, folders = _current(spark, base)
+    if not folders:
         return empty
     try:
-        df = spark.read.schema(INDEX_SCHEMA).parquet(f"{base}/{folder}")
-        df.count()  # reads the footers of all files
+        parts = [spark.read.schema(INDEX_SCHEMA).parquet(f"{base}/{f}") for f in folders]
+        for part in parts:
+            part.count()  # reads the footers of all files
     except (PySparkException, Py4JJavaError) as e:
         if not _LOST.search(str(e)) or _DENIED.search(str(e)):
             raise
         return empty
-    return df.where((F.col("hash_func") == hash_func) & (F.col("format_version") == FORMAT_VERSION))
-
-
-def write_index(index: DataFrame, base: str, hash_func: str = "phash") -> int:
-    """Write ``(path, mtime, h)`` as the next version and point to it; returns its number.
-
-    Deletions-only runs are written too (the new version simply has fewer rows).
-    """
+    df = parts[0]
+    if len(parts) > 1:
+        rows = [p.select(F.struct(*INDEX_SCHEMA.names).alias("row"), F.lit(n).alias("n")) for n, p in enumerate(parts)]
+        every = reduce(DataFrame.unionByName, rows)
+        df = every.groupBy("row.path").agg(F.max_by("row", "n").alias("row")).select("row.*")
+    good = (F.col("hash_func") == hash_func) & (F.col("format_version") == FORMAT_VERSION)
+    return df.where(good & F.col("h").isNotNull())
+
+
+def _publish(index: DataFrame, base: str, hash_func: str, after: bool) -> int:
+    """Write ``(path, mtime, h)`` to a folder of its own and point to it, alone or ``after`` the
+    folders of the live version; returns the new version's number."""
     spark = index.sparkSession
     out = index.select(
         "path",
@@ -93,13 +101,33 @@ def write_index(index: DataFrame, base: str, hash_func: str = "phash") -> int:
     folder = f"index-{uuid.uuid4().hex}"
     out.write.mode("errorifexists").parquet(f"{base}/{folder}")
     fs, jvm = _fs(spark, base)
+    version, folders = _current(spark, base)
+    version += 1
     tmp = jvm.org.apache.hadoop.fs.Path(f"{base}/_new-{folder}")
     stream = fs.create(tmp, True)
     try:
-        stream.write(folder.encode())
+        stream.write("\n".join([*(folders if after else []), folder]).encode())
     finally:
         stream.close()
-    version = _current(spark, base)[0] + 1
     if not fs.rename(tmp, jvm.org.apache.hadoop.fs.Path(f"{base}/{POINTER}{version}")):
         raise RuntimeError(f"another writer made version {version} of {base}")
     return version
+
+
+def write_index(index: DataFrame, base: str, hash_func: str = "phash") -> int:
+    """Write ``(path, mtime, h)`` as the next version; returns its number.
+
+    Deletions-only runs are written too (the new version simply has fewer rows).
+    """
+    return _publish(index, base, hash_func, after=False)
+
+
+def append_index(changed: DataFrame, base: str, hash_func: str = "phash") -> int:
+    """Write only ``changed(path, mtime, h)`` rows, one per path, as a new version on top of the
+    live one; a NULL hash removes the path."""
+    return _publish(changed, base, hash_func, after=True)
+
+
+def compact_index(spark: SparkSession, base: str, hash_func: str = "phash") -> int:
+    """Rewrite the live version as one folder."""
+    return write_index(read_index(spark, base, hash_func), base, hash_func)

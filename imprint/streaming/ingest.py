@@ -1,9 +1,9 @@
 """Incremental fingerprint ingest with Structured Streaming (optional re-aim of the index build).
 
 New image files arriving in a folder are decoded by the ``image`` file source as a stream; each
-micro-batch is hashed (grey + resample in Arrow batches, bits in the JVM or NumPy) and upserted
-into the versioned index with ``foreachBatch``: rows of the batch replace rows of the same path,
-everything else is kept, and the result becomes the next index version.  The file source
+micro-batch is hashed (grey + resample in Arrow batches, bits in the JVM or NumPy) and appended
+to the versioned index with ``foreachBatch``: rows of the batch replace rows of the same path when
+the index is read, and everything else stays as it is.  The file source
 remembers which paths it has seen in its checkpoint, so a file is hashed once; modified or
 deleted files are the batch reconciliation's job (:mod:`imprint.operators.index`).
 """
@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from imprint.functions.naming import decoded_origin
 from imprint.sources.images import hash_files
-from imprint.sources.index_store import read_index, write_index
+from imprint.sources.index_store import append_index, compact_index
 
 
 def image_stream(spark: SparkSession, directory: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -37,14 +37,19 @@ def image_stream(spark: SparkSession, directory: str, max_files_per_trigger: int
     )
 
 
+COMPACT_EVERY = 50  # versions of a stream between two rewrites of the whole index
+
+
 def upsert_batch(batch: DataFrame, index_base: str, method: str = "phash") -> int:
-    """Hash one micro-batch and write ``old index - batch paths + batch hashes`` as a new version."""
-    spark = batch.sparkSession
-    hashed = hash_files(batch, method).join(batch.select("path", "mtime"), "path")
-    fresh = hashed.where(F.col("ok")).select("path", "mtime", "h")
-    old = read_index(spark, index_base, method).select("path", "mtime", "h")
-    merged = old.join(batch.select("path"), "path", "left_anti").unionByName(fresh)
-    return write_index(merged, index_base, method)
+    """Hash one micro-batch and append its rows to the index; returns the new version.
+
+    Only the batch is written: a file that could not be decoded removes its path's row.  Every
+    COMPACT_EVERY-th version the appended folders become one.
+    """
+    hashed = hash_files(batch, method, keep=("mtime",))
+    fresh = hashed.groupBy("path").agg(F.max_by(F.struct("mtime", "h"), "mtime").alias("r"))
+    version = append_index(fresh.select("path", "r.mtime", "r.h"), index_base, method)
+    return compact_index(batch.sparkSession, index_base, method) if version % COMPACT_EVERY == 0 else version
 
 
 def start_ingest(

@@ -5,7 +5,7 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     rows = df.collect()
     assert df.columns == ["group_no", "seed_h", "id", "h", "distance"]
-    assert len(rows) >= 0
+    assert rows and all(r.distance <= 5 for r in rows)
 
 
 def test_every_query_has_an_oracle_or_is_listed():

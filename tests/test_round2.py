@@ -17,7 +17,7 @@ from imprint.plans.jobs import find_similar, organise_folder, refresh_index, ren
 from imprint.plans.organise import OrganiseOptions, next_free_names, organise_plan
 from imprint.plans.summary import size_totals
 from imprint.sources.exif import read_exif
-from imprint.sources.index_store import read_index, write_index
+from imprint.sources.index_store import append_index, compact_index, read_index, write_index
 
 
 def png(path, seed, side=48):
@@ -106,6 +106,18 @@ def test_index_survives_crashes_and_corruption(spark, tmp_path):
     assert read_index(spark, base, "ahash").count() == 0
 
 
+def test_index_appends_and_compacts(spark, tmp_path):
+    base = str(tmp_path / "idx")
+    schema = "path string, mtime timestamp_ntz, h long"
+    write_index(spark.createDataFrame([("a", None, 1), ("b", None, 2), ("c", None, 3)], schema), base)
+    append_index(spark.createDataFrame([("b", None, 20), ("d", None, 4)], schema), base)
+    append_index(spark.createDataFrame([("c", None, None), ("d", None, 5)], schema), base)
+    want = {("a", 1), ("b", 20), ("d", 5)}
+    assert {(r.path, r.h) for r in read_index(spark, base).collect()} == want
+    assert compact_index(spark, base) == 4
+    assert {(r.path, r.h) for r in read_index(spark, base).collect()} == want
+
+
 @pytest.mark.parametrize("fn,n", [(fpr.median_fingerprint, 64), (fpr.ahash, 64), (fpr.dhash, 72), (fpr.whash, 64)])
 def test_wrong_lengths_raise(spark, fn, n):
     good = spark.createDataFrame([([float(i) for i in range(n)],), (None,)], "v array<double>").coalesce(1)
