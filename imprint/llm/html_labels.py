@@ -111,6 +111,15 @@ zone main words link  pwords plink nwords nlink heading label
  0   0    90   0.00    35   0.00      3   1.00    0      1
  0   0     1   1.00     0   0.00      2   1.00    0      0
  0   0     2   1.00     2   1.00      1   1.00    0      0
+ 0   0     1   1.00     1   1.00      0   0.00    0      0
+ 0   0     2   1.00     1   1.00      0   0.00    0      0
+ 0   0     2   0.90    60   0.00     25   0.00    0      0
+ 0   0     4   1.00     1   1.00     40   0.00    0      0
+ 0   0     5   0.80    30   0.00     20   0.10    0      0
+ 0   0     6   1.00     2   0.80      5   0.00    0      0
+ 0   0     9   0.90    12   0.10      8   0.00    0      0
+ 0   0    14   0.70    45   0.00     30   0.20    0      0
+ 0   0     3   0.70     6   0.00      0   0.00    0      0
  0   0     3   1.00     1   1.00     60   0.00    0      0
  0   0     4   0.90    70   0.00      3   1.00    0      0
  0   0    12   0.80     6   1.00     15   0.90    0      0

@@ -56,6 +56,7 @@ CLOSES = {
     "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
 }
 _LISTS = frozenset("ul ol dl table body html article main section div nav aside footer header form".split())
+_CUT_OFF = re.compile(r"<[/!?a-zA-Z][^<>]*\Z")  # a tag that the page ends in
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -162,7 +163,7 @@ class _Reader(HTMLParser):
 def text_blocks(html: str | None) -> list[Block]:
     """The flat blocks of a page in order."""
     reader = _Reader()
-    reader.feed(html or "")
+    reader.feed(_CUT_OFF.sub("", html or ""))
     reader.close()
     reader._flush()
     return reader.blocks
