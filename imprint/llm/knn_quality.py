@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from imprint._ship import ship_with_tasks
@@ -177,9 +177,9 @@ def fit(
     prior = sizes.get(1, 0) / sum(sizes.values()) if sizes else 0.5
     share = F.coalesce(*(F.when(F.col("y") == y, F.lit(min(1.0, 2 * per_label / m))) for y, m in sizes.items()), F.lit(0.0))
     h = F.xxhash64(F.col("id").cast("string"), F.lit("quality"))
-    near = marked.withColumn("h", h).filter(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
-    rank = F.row_number().over(Window.partitionBy("y").orderBy("h", "id"))
-    picked = near.withColumn("r", rank).filter(F.col("r") <= per_label).select("id", "y")
+    near = marked.withColumn("h", h).filter(F.pmod("h", F.lit(1 << 48)) < share * (1 << 48))
+    cut = [near.filter(F.col("y") == y).orderBy("h", "id").limit(per_label).select("id", "y") for y in (0, 1)]
+    picked = cut[0].unionByName(cut[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counter()

@@ -22,7 +22,7 @@ from collections.abc import Iterator  # noqa: F401 (also read by pandas_udf)
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from imprint._ship import ship_with_tasks
@@ -35,6 +35,7 @@ MIN_MATCH = 3
 BLOCK = 32 * 1024
 DICT_BYTES = 160 * 1024
 SAMPLE_DOCS = 700
+OVERSAMPLE = 2
 SAMPLE_BYTES = 1024
 #: Least saving of the winner over the runner-up; below it a text is rejected.
 MIN_MARGIN = 0.004
@@ -50,9 +51,10 @@ def train_dictionaries(
 ) -> dict[str, bytes]:
     """Language -> dictionary bytes, from the rows ``where`` holds with a language and a text.
 
-    The sample is even over the ids: a first aggregate counts the rows of each language, and the
-    row hash threshold that admits about three times SAMPLE_DOCS rows is applied before the
-    exact ranking, so ranking never sees more than a few thousand rows of a language.
+    The sample is even over the ids: a first aggregate counts the rows of each language, and a
+    threshold on the row hash admits about OVERSAMPLE * SAMPLE_DOCS rows of each, whatever its
+    size; repeated rows count once.  These reach the driver, which keeps the SAMPLE_DOCS of
+    smallest hash.
     """
     rows = docs.select(
         F.col(lang_col).cast("string").alias("lang"),
@@ -64,17 +66,17 @@ def train_dictionaries(
     if not sizes:
         return {}
     share = F.coalesce(*(
-        F.when(F.col("lang") == lang, F.lit(min(1.0, 3 * SAMPLE_DOCS / n))) for lang, n in sorted(sizes.items())
+        F.when(F.col("lang") == lang, F.lit(min(1.0, OVERSAMPLE * SAMPLE_DOCS / n))) for lang, n in sorted(sizes.items())
     ))
-    near = rows.filter(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
+    near = rows.filter(F.pmod("h", F.lit(1 << 48)) < share * (1 << 48))
     text = F.substring(F.encode(F.trim("text"), "UTF-8"), 1, SAMPLE_BYTES)
-    near = near.select("lang", "h", text.alias("b")).filter(F.length("b") > 0)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "b"))
-    picked = near.withColumn("r", rank).filter(F.col("r") <= SAMPLE_DOCS).select("lang", "r", "b")
-    out = {lang: b"" for lang in sorted(sizes, key=lambda lang: (-sizes[lang], lang))}
-    for row in sorted(picked.collect(), key=lambda x: (x["lang"], -x["r"])):
-        out[row["lang"]] = (out[row["lang"]] + plain(bytes(row["b"]).decode("utf-8", "ignore")) + b"\n")[-DICT_BYTES:]
-    return {lang: b for lang, b in out.items() if b}
+    near = near.select("lang", "h", text.alias("b")).filter(F.length("b") > 0).distinct()
+    sample: dict[str, list] = {}
+    for row in sorted(near.collect(), key=lambda x: (x["lang"], x["h"], x["b"])):
+        sample.setdefault(row["lang"], []).append(plain(bytes(row["b"]).decode("utf-8", "ignore")))
+    order = sorted(sample, key=lambda lang: (-sizes[lang], lang))
+    # the smallest hashes last, nearest to what is compressed
+    return {lang: b"\n".join(sample[lang][SAMPLE_DOCS - 1 :: -1])[-DICT_BYTES:] + b"\n" for lang in order}
 
 
 _PLAIN = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
