@@ -41,10 +41,11 @@ INLINE = frozenset(
 #: Elements and class or id words that mark what is not main text.
 OUTSIDE = frozenset("nav footer aside form menu dialog".split())
 OUTSIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
-    "cookies copyright disqus footer form header login masthead menu modal nav navbar navigation newsletter notice "
-    "notices paywall popup promo promotion related reply replies search share sharing sidebar signup social sponsor "
-    "sponsored subscribe subscription toolbar topbar widget widgets".split()
+    "ad ads advert adverts advertisement advertising alert alerts announcement banner breadcrumb breadcrumbs comment "
+    "comments complementary consent contentinfo cookie cookies copyright disclaimer disqus footer form gdpr header "
+    "legal login masthead menu modal nav navbar navigation newsletter notice notices paywall popup privacy promo "
+    "promotion related reply replies search share sharing sidebar signup social sponsor sponsored subscribe "
+    "subscription toolbar topbar widget widgets".split()
 )
 #: Elements, roles and class or id words that mark main text.
 INSIDE = frozenset("article main".split())

@@ -8,6 +8,7 @@ special tokens) goes through the library's ``encode``.
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 import types
@@ -32,8 +33,9 @@ MAX_WORD_BYTES = 64  # longer words are not kept in the table
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
-    """The vocabulary file's path on this machine (resolved where the task runs)."""
-    return str(public_tokenizers.path(name))
+    """The vocabulary file's path on this machine, for a public name or a path of one's own
+    (resolved where the task runs)."""
+    return name if os.path.isabs(name) else str(public_tokenizers.path(name))
 
 
 class WordEncoder:
