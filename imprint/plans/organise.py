@@ -93,6 +93,13 @@ def next_free_names(claims: DataFrame, taken: DataFrame, key: str) -> DataFrame:
     # After W1 a name is claimed at most twice: as a target itself (counter 0) and as the one
     # parent it parses back to (counter >= 1); so a plain window cannot meet a hot group here.
     c = claims.withColumn("_k", F.row_number().over(Window.partitionBy("target").orderBy("name", key)) - 1)
+    c = c.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("target")))
+    held = taken.select(F.col("name").alias("target")).distinct().withColumn("_held", F.lit(True))
+    c = cut_lineage(c.join(held, "target", "left"), "claims")
+    # a target that one file claims and nobody holds is that file's name; only the rest is merged
+    alone = (F.col("_n") == 1) & F.col("_held").isNull()
+    free = c.where(alone).select(key, F.col("target").alias("final_name"))
+    c = c.where(~alone)
     targets = c.select("target").distinct()
     reserved = taken.select(F.col("name").alias("r")).union(claims.select(F.col("target").alias("r"))).distinct()
     excl = (
@@ -112,7 +119,8 @@ def next_free_names(claims: DataFrame, taken: DataFrame, key: str) -> DataFrame:
         )
     )
     ranked = number_rows(merged, ["_pos", "_typ", "_j", key], partition_by=["target"], out="_rn")
-    return ranked.where(F.col("_typ") == 1).select(key, with_counter("target", F.col("_rn") - 1).alias("final_name"))
+    named = ranked.where(F.col("_typ") == 1).select(key, with_counter("target", F.col("_rn") - 1).alias("final_name"))
+    return free.unionByName(named)
 
 
 def organise_plan(
