@@ -104,4 +104,8 @@ def registry() -> dict[str, Query]:
 
 
 def oracle_queries() -> dict[str, str]:
-    return {"op1_revisit_resolution": sql.OP1, "op8_branch_and_bound_topk": sql.OP8}
+    return {
+        "op1_revisit_resolution": sql.OP1,
+        "op7_repetition_rules": sql.OP7,
+        "op8_branch_and_bound_topk": sql.OP8,
+    }

@@ -64,3 +64,54 @@ r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+def _op7() -> str:
+    """Counts and verdict of operator 7, every n-gram spelled out."""
+    blank = r"\x20\x09-\x0D"
+    parts = [rf"""d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^{blank}]+') AS ws
+  FROM documents)""", """
+word AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM d)""", """
+chars AS (SELECT r, count(*) AS n_words, sum(length(word)) AS word_chars FROM word GROUP BY r)""", rf"""
+line AS (
+  SELECT r, line, row_number() OVER (PARTITION BY r, line ORDER BY pos) AS copy
+  FROM (SELECT r, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d)
+  WHERE regexp_matches(line, '[^{blank}]'))""", """
+lines AS (
+  SELECT r, count(*) AS n_lines, count(*) FILTER (copy > 1) AS n_dup_lines, sum(length(line)) AS chars,
+         sum(length(line)) FILTER (copy > 1) AS dup_chars
+  FROM line GROUP BY r)"""]
+    leads = ", ".join(f"lead(word, {i}) OVER x AS w{i}" for i in range(10))
+    parts.append(f"""
+next AS (SELECT r, pos, {leads} FROM word WINDOW x AS (PARTITION BY r ORDER BY pos))""")
+    shares = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
+    for n in shares:
+        words = ", ".join(f"w{i}" for i in range(n))
+        parts.append(f"""
+gram{n} AS (
+  SELECT r, pos, count(*) OVER (PARTITION BY r, concat_ws(' ', {words})) AS c FROM next WHERE w{n - 1} IS NOT NULL),
+dup{n} AS (
+  SELECT r, count(*) AS words, sum(length(word)) AS chars
+  FROM (SELECT DISTINCT r, pos + unnest(range({n})) AS pos FROM gram{n} WHERE c > 1) JOIN word USING (r, pos) GROUP BY r)""")
+    joins = " ".join(f"LEFT JOIN dup{n} USING (r)" for n in shares)
+    dups = ", ".join(f"CAST(coalesce(dup{n}.chars, 0) AS BIGINT) AS dup_chars_{n}" for n in shares)
+    fine = " AND ".join(f"dup_chars_{n} <= {s}::DOUBLE * word_chars" for n, s in shares.items())
+    return "WITH " + ",".join(parts) + f""",
+m AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(dup5.words, 0) AS BIGINT) AS n_repeat_words,
+    CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
+    CAST(CASE WHEN n_dup_lines > 0 THEN lines.chars ELSE 0 END AS BIGINT) AS line_chars,
+    CAST(coalesce(lines.dup_chars, 0) AS BIGINT) AS dup_line_chars, {dups}
+  FROM d LEFT JOIN chars USING (r) LEFT JOIN lines USING (r) {joins}),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND n_symbols <= 0.1::DOUBLE * n_words AND n_dup_lines <= 0.3::DOUBLE * n_lines
+  AND dup_line_chars <= 0.2::DOUBLE * greatest(line_chars, 1) AND {fine} AS kept
+FROM b"""
+
+
+OP7 = _op7()
