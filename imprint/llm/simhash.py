@@ -255,9 +255,12 @@ def one_per_group(
     )
     per_id = stage(per_id.filter("n_lowest > 0"), "simhash-picks")
     row = docs.select(F.struct(*docs.columns).alias("_row")).withColumn("_id", F.col("_row")[id_col])
-    single = per_id.filter("n = 1 and id is not null")
+    # the texts are shuffled once at every size; the hashed side is a partition's share of ids
+    single = per_id.filter("n = 1 and id is not null").select("id").hint("shuffle_hash")
     sure = row.join(single, row._id == single.id, "left_semi").select("_row")
-    several = per_id.filter("n > 1 or id is null")
+    several = per_id.filter("n > 1 or id is null").select("id")
+    if several.isEmpty():  # no id is repeated or null
+        return sure.select("_row.*")
 
     def mark(texts: pd.Series) -> pd.Series:
         fps = np.array([text_fingerprint(b, shingle) for b in texts], np.uint64)
