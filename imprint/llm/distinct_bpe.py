@@ -40,7 +40,7 @@ from imprint.llm.wordbpe import worker_table
 
 ship_with_tasks(__name__)
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 BLOCK_ROWS = 1 << 16
 PARTS_PER_PARTITION = 2
 TEXTS = -1  # the part that marks a block's texts
