@@ -336,6 +336,27 @@ def test_hot_group_is_cut_only_where_it_must_be(spark):
     assert sum(len(s) > 1 for t, s in shards.items() if t.startswith("pair")) <= 2
 
 
+def test_full_shards_exchange_rows(spark):
+    """Every text has a copy, so no place is free."""
+    for groups in ([2] * 400 + [3] * 200, [50] * 20 + [7] * 30):
+        data = [(0, f"{n} rows, group {g}") for g, n in enumerate(groups) for _ in range(n)]
+        data = [(i, text) for i, (_, text) in enumerate(sorted(data, key=lambda r: zlib.crc32(r[1].encode())))]
+        out = sharding.assign_shards(spark.createDataFrame(data, "doc_id long, text string")).collect()
+        check_shards(out, data, 8)
+        shards = collections.defaultdict(set)
+        text = dict(data)
+        for r in out:
+            shards[text[r.doc_id]].add(r.shard)
+        assert sum(len(s) - 1 for s in shards.values()) <= 7
+
+
+def test_wishes_are_admitted_in_circles_and_into_free_places():
+    full = [0, 0, 0]
+    assert sharding.admitted([[0, 5, 0], [3, 0, 0], [0, 0, 0]], full) == [[0, 3, 0], [3, 0, 0], [0, 0, 0]]
+    assert sharding.admitted([[0, 5, 0], [0, 0, 4], [2, 0, 0]], full) == [[0, 2, 0], [0, 0, 2], [2, 0, 0]]
+    assert sharding.admitted([[0, 5, 0], [0, 0, 4], [0, 0, 0]], [0, 0, 3]) == [[0, 3, 0], [0, 0, 3], [0, 0, 0]]
+
+
 def test_registered_digests(spark, sf_dir, tokenizer):
     rows = registry()["op5_distinct_word_bpe"](spark, sf_dir).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
