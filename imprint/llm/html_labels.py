@@ -1,7 +1,8 @@
 """A small table of text blocks labelled by hand, from which the extractor's tree is trained.
 
 Columns: zone (1 inside article or main, -1 inside menus, adverts, comments and the like, 0
-neither), main (1 if the page has such an article), words and link density of the block, of the
+neither), main (1 if such an article holds
+half of the page's unlinked words), words and link density of the block, of the
 block before and of the block after, heading (1 for h1 to h6), label (1 main text).
 """
 
@@ -52,14 +53,14 @@ zone main words link  pwords plink nwords nlink heading label
  0   1     6   0.00     4   1.00      2   1.00    0      0
  0   1    45   0.05    60   0.00      4   1.00    0      0
  0   1    40   0.10   100   0.00      6   0.00    0      0
- 0   1    60   0.00    90   0.00     20   0.00    0      0
+ 0   1    60   0.00    90   0.00     20   0.00    0      1
  0   1     6   0.00    80   0.00      0   0.00    0      0
  0   1     5   0.00     1   1.00     40   0.00    1      0
  0   1    11   0.60    50   0.00      4   1.00    0      0
- 0   1   120   0.00    10   0.00     15   0.00    0      0
+ 0   1   120   0.00    10   0.00     15   0.00    0      1
  0   1    33   0.00    20   0.00     28   0.00    0      0
  0   1    18   0.00    40   0.00     35   0.00    0      0
- 0   1    75   0.00     2   1.00     12   0.00    0      0
+ 0   1    75   0.00     2   1.00     12   0.00    0      1
  0   1     9   0.00    14   0.00     11   0.00    0      0
 -1   1     1   1.00     0   0.00      1   1.00    0      0
 -1   1     3   1.00     2   1.00      3   1.00    0      0

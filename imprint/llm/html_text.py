@@ -2,7 +2,9 @@
 
 A page is cut into flat blocks: the text between block-level tags, white space as one space.  A
 block has its words and link density, those of its neighbours, whether it is a heading, and the
-zone its tags put it in.  A decision tree, trained here on the small labelled table of
+zone its tags put it in.  A class, id or role name marks a zone only by all of its words, an
+article or main undoes the mark of a mere wrapper around it, and a page has an article only if its
+blocks hold half of the unlinked words outside menus and the like.  A decision tree, trained here on the small labelled table of
 ``html_labels``, decides which blocks are main text; these are joined in page order by newlines.
 
 Defined results: a null or empty page has an empty text; character references are decoded;
@@ -50,6 +52,11 @@ OUTSIDE_WORDS = frozenset(
 #: Elements, roles and class or id words that mark main text.
 INSIDE = frozenset("article main".split())
 INSIDE_WORDS = frozenset("article articlebody content entry main post postbody story".split())
+#: Words that a class or id name may have besides, without losing its mark.
+FILLER_WORDS = frozenset("area bar block body bottom box buttons items left links list page posts right section site text top".split())
+#: Class or id words that stay outside even around an article: lists of comments and of other pages.
+FIRM_WORDS = frozenset("comment comments disqus promo promotion related replies reply sponsor sponsored".split())
+FIRM = -2  # zone of what no article or main inside it can undo
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Start tags that end an open element of these kinds.
 CLOSES = {
@@ -61,6 +68,18 @@ _CUT_OFF = re.compile(r"<[/!?a-zA-Z][^<>]*\Z")  # a tag that the page ends in
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+def _mark(name: str) -> tuple[int, set[str]]:
+    """1, -1 or 0 for a class, id or role name, by all of its words, and its outside words."""
+    words = [name.lower()] if name.lower() in OUTSIDE_WORDS | INSIDE_WORDS else list(map(str.lower, _WORDS.findall(name)))
+    bad = OUTSIDE_WORDS.intersection(words)
+    if not words or not set(words) <= OUTSIDE_WORDS | INSIDE_WORDS | FILLER_WORDS:
+        return 0, set()
+    if bad:
+        last = next(w for w in reversed(words) if w not in FILLER_WORDS)
+        return (-1, set(bad)) if last in OUTSIDE_WORDS else (0, set())
+    return int(bool(INSIDE_WORDS.intersection(words))), set()
+
+
 class Block:
     """Text of one flat block with its link words, zone and heading mark."""
 
@@ -86,11 +105,15 @@ class _Reader(HTMLParser):
     def _zone(self) -> int:
         return self.open[-1][1] if self.open else 0
 
+    def _undone(self) -> bool:
+        """Whether only a wrapper's name is against text here, outside of any article."""
+        return self._zone() == -1 and all(zone < 1 for _, zone in self.open)
+
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
             heading = any(tag in HEADINGS for tag, _ in self.open)
-            self.blocks.append(Block(text, "".join(self.linked), self._zone(), heading))
+            self.blocks.append(Block(text, "".join(self.linked), max(-1, self._zone()), heading))
         self.parts, self.linked = [], []
 
     def _pop(self, at: int) -> None:
@@ -124,23 +147,25 @@ class _Reader(HTMLParser):
 
     def _zone_of(self, tag: str, attrs: dict[str, str | None]) -> int:
         zone = self._zone()
-        if zone < 0:
+        if zone == FIRM or (zone < 0 and not (tag in INSIDE and self._undone())):
             return zone
-        named = f"{attrs.get('class') or ''} {attrs.get('id') or ''} {attrs.get('role') or ''}"
-        words = set(map(str.lower, _WORDS.findall(named))) | set(named.lower().split())
         style = (attrs.get("style") or "").replace(" ", "").lower()
         if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style:
-            return -1
-        if tag in OUTSIDE or (tag == "header" and not zone):
-            return -1
-        if tag in INSIDE or (tag not in ("body", "html") and words & INSIDE_WORDS and not words & OUTSIDE_WORDS):
-            return 1
-        bad = words & OUTSIDE_WORDS
-        if zone or words & INSIDE_WORDS:  # an article's own header
-            bad -= {"header"}
-        if tag not in ("body", "html", "h1", "header") and bad:
-            return -1
-        return zone
+            return FIRM
+        if tag in OUTSIDE or (tag == "header" and zone < 1):
+            return -1 if tag == "form" else FIRM
+        if tag not in ("body", "html"):
+            named = f"{attrs.get('class') or ''} {attrs.get('id') or ''} {attrs.get('role') or ''}"
+            marks = [_mark(name) for name in named.split()]
+            bad = set().union(*(words for mark, words in marks if mark < 0))
+            good = any(mark > 0 for mark, _ in marks)
+            if zone > 0 or good:  # an article's own header
+                bad -= {"header"}
+            if bad and tag not in ("h1", "header"):
+                return FIRM if bad & FIRM_WORDS else -1
+            if good and not bad:
+                return 1
+        return 1 if tag in INSIDE else zone
 
     def handle_endtag(self, tag: str) -> None:
         inline = tag in INLINE
@@ -172,7 +197,9 @@ def text_blocks(html: str | None) -> list[Block]:
 
 def features(blocks: list[Block]) -> list[tuple[float, ...]]:
     """A row of the labelled table's columns, but the label, for each block."""
-    main = float(any(b.zone == 1 for b in blocks))
+    plain = [(b.zone, b.words * (1 - b.link)) for b in blocks if b.zone >= 0]
+    inside = sum(n for zone, n in plain if zone == 1)
+    main = float(any(zone == 1 for zone, _ in plain) and 2 * inside >= sum(n for _, n in plain))
     sizes = [(0, 0.0), *((b.words, b.link) for b in blocks), (0, 0.0)]
     return [
         (b.zone, main, b.words, b.link, *sizes[i], *sizes[i + 2], float(b.heading)) for i, b in enumerate(blocks)

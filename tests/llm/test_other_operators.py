@@ -46,6 +46,24 @@ def test_broken_empty_and_long_pages(tree):
     assert html_text.main_text(plain, tree).count("\n") == 1
 
 
+def test_names_of_wrappers_and_small_parts_do_not_drop_articles(tree):
+    long = "<p>" + "word " * 60 + "</p><p>" + "more " * 50 + "</p>"
+    for page in (
+        f"<div class='content-sidebar-wrap'><main>{long}</main></div>",
+        f"<div class='has-sidebar'><article>{long}</article></div>",
+        f"<div class=sidebar><article>{long}</article></div>",
+        f"<form><main>{long}</main></form>",
+        f"<div class=post-meta>By Ann Lee</div>{long}",
+        f"<div class=story-teaser>By Ann Lee</div><div class=entry>Today</div>{long}",
+    ):
+        assert "word word" in html_text.main_text(page, tree) and "more more" in html_text.main_text(page, tree)
+    apart = f"<article>{long * 2}</article><div>{'apart ' * 100}</div>"
+    assert "apart" in html_text.main_text(apart, tree)
+    for name in ("comments", "related-posts", "post-comments"):
+        page = f"<article>{long}</article><div class={name}><article>{'other ' * 20}</article></div>"
+        assert "other" not in html_text.main_text(page, tree)
+
+
 def test_registered_pages_match_a_regular_expression(spark, sf_dir):
     got = {r.page_id: r for r in registry()["op3_flat_block_text"](spark, sf_dir).collect()}
     for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
