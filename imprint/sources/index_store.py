@@ -62,10 +62,11 @@ def _current(spark: SparkSession, base: str) -> tuple[int, list[str]]:
         stream.close()
 
 
-def read_index(spark: SparkSession, base: str, hash_func: str = "phash") -> DataFrame:
+def read_index(spark: SparkSession, base: str, hash_func: str = "phash", strict: bool = False) -> DataFrame:
     """The live index, or an empty one when there is none, its files are missing or corrupt,
     or it was made by another hash method or format (then the caller rebuilds).  Any other
-    failure, such as a denied permission, is raised."""
+    failure, such as a denied permission, is raised; if ``strict``, for callers that do not
+    rebuild, missing and corrupt files are too."""
     empty = spark.createDataFrame([], INDEX_SCHEMA)
     _, folders = _current(spark, base)
     if not folders:
@@ -75,7 +76,7 @@ def read_index(spark: SparkSession, base: str, hash_func: str = "phash") -> Data
         for part in parts:
             part.count()  # reads the footers of all files
     except (PySparkException, Py4JJavaError) as e:
-        if not _LOST.search(str(e)) or _DENIED.search(str(e)):
+        if strict or not _LOST.search(str(e)) or _DENIED.search(str(e)):
             raise
         return empty
     df = parts[0]
@@ -124,10 +125,11 @@ def write_index(index: DataFrame, base: str, hash_func: str = "phash") -> int:
 
 def append_index(changed: DataFrame, base: str, hash_func: str = "phash") -> int:
     """Write only ``changed(path, mtime, h)`` rows, one per path, as a new version on top of the
-    live one; a NULL hash removes the path."""
+    live one; a NULL hash removes the path.  Raises if a folder of the live version can't be read."""
+    read_index(changed.sparkSession, base, hash_func, strict=True)
     return _publish(changed, base, hash_func, after=True)
 
 
 def compact_index(spark: SparkSession, base: str, hash_func: str = "phash") -> int:
-    """Rewrite the live version as one folder."""
-    return write_index(read_index(spark, base, hash_func), base, hash_func)
+    """Rewrite the live version as one folder.  Raises if one of its folders can't be read."""
+    return write_index(read_index(spark, base, hash_func, strict=True), base, hash_func)

@@ -5,6 +5,8 @@ import struct
 import zlib
 
 import pytest
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from imprint.functions.naming import decoded_origin, local_path
@@ -118,6 +120,26 @@ def test_index_appends_and_compacts(spark, tmp_path):
     assert {(r.path, r.h) for r in read_index(spark, base).collect()} == want
 
 
+def test_unreadable_folder_is_not_compacted_away(spark, tmp_path):
+    base = str(tmp_path / "idx")
+    schema = "path string, mtime timestamp_ntz, h long"
+    write_index(spark.createDataFrame([("a", None, 1)], schema), base)
+    more = spark.createDataFrame([("b", None, 2)], schema)
+    append_index(more, base)
+    folder = tmp_path / "idx" / (tmp_path / "idx" / "_CURRENT.2").read_text().split()[1]
+    kept = {f: f.read_bytes() for f in folder.glob("*.parquet")}
+    for f in kept:
+        f.with_name(f".{f.name}.crc").unlink(missing_ok=True)
+        f.write_bytes(b"broken")
+    for write in (lambda: compact_index(spark, base), lambda: append_index(more, base)):
+        with pytest.raises((PySparkException, Py4JJavaError)):
+            write()
+    assert read_index(spark, base).count() == 0  # the batch job rebuilds
+    for f, data in kept.items():
+        f.write_bytes(data)
+    assert compact_index(spark, base) == 3 and read_index(spark, base).count() == 2
+
+
 @pytest.mark.parametrize("fn,n", [(fpr.median_fingerprint, 64), (fpr.ahash, 64), (fpr.dhash, 72), (fpr.whash, 64)])
 def test_wrong_lengths_raise(spark, fn, n):
     good = spark.createDataFrame([([float(i) for i in range(n)],), (None,)], "v array<double>").coalesce(1)
