@@ -191,8 +191,10 @@ def fit(
     # the sample is bounded by per_label, so it may be sent to every task
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("b"))
     sample = texts.join(F.broadcast(picked), "id").select(F.col("id").cast("string").alias("key"), "y", "b")
-    rows = sample.mapInArrow(run, "key string, y int, at array<long>, counts array<long>").collect()
-    rows = sorted({r["key"]: r for r in sorted(rows, key=lambda r: r["at"])}.values(), key=lambda r: r["key"])
+    rows = sample.mapInArrow(run, "key string, y int, at array<long>, counts array<long>")
+    # one row per id, so a repeated id does not add to what is collected
+    rows = rows.groupBy("key").agg(F.max(F.struct("at", "counts", "y")).alias("r")).select("key", "r.*")
+    rows = sorted(rows.collect(), key=lambda r: r["key"])
     rows = [r for r in rows if r["at"]]
     if not rows:
         return Model(weights, np.zeros((DIMS, 0), np.float32), np.zeros((0, 0)), np.zeros(0), np.zeros(0), prior)

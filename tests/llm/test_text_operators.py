@@ -300,6 +300,23 @@ def test_quality_on_held_out_labels(spark, docs, empty):
     assert knn_quality.score(empty, model).count() == 0
 
 
+def test_repeated_ids_are_reduced_before_the_collect(spark, monkeypatch):
+    data = [(1, f"good words number {i}") for i in range(300)] + [(2, "bad stuff here"), (3, "fine text")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    collect, sizes = type(docs).collect, []
+
+    def spy(df):
+        rows = collect(df)
+        if "counts" in df.columns:
+            sizes.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(type(docs), "collect", spy)
+    knn_quality.fit(docs, labels, F.lit(True))
+    assert sizes == [3]
+
+
 # ---------------------------------------------------------------- 10
 
 
