@@ -7,7 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from imprint.llm import distinct_bpe, fixtures, html_text, knn_quality, langid, packing, repetition, revisits, sharding, simhash, sql, topk
+from imprint.llm import (
+    distinct_bpe,
+    filter_audit,
+    fixtures,
+    html_text,
+    jaccard_join,
+    knn_quality,
+    langid,
+    packing,
+    repetition,
+    revisits,
+    runs,
+    sharding,
+    simhash,
+    sql,
+    topk,
+)
 from imprint.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +95,21 @@ def op10_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, and the digest of its words without their repetitions."""
+    return runs.periodic_runs(read_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in each of their 120 orders, for every source."""
+    return filter_audit.filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and component of every document linked at a Jaccard similarity of 0.8."""
+    return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline from documents to packed sequences."""
     import corpus_pipeline
@@ -98,6 +129,9 @@ def registry() -> dict[str, Query]:
         op8_branch_and_bound_topk,
         op9_differencing_packing,
         op10_label_propagation_shards,
+        op11_periodic_runs,
+        op12_filter_audit,
+        op13_jaccard_join,
         pipeline,
     )
     return {q.__name__: q for q in named}
@@ -108,4 +142,5 @@ def oracle_queries() -> dict[str, str]:
         "op1_revisit_resolution": sql.OP1,
         "op7_repetition_rules": sql.OP7,
         "op8_branch_and_bound_topk": sql.OP8,
+        "op12_filter_audit": sql.OP12,
     }

@@ -115,3 +115,50 @@ FROM b"""
 
 
 OP7 = _op7()
+
+
+OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+first AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+said AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS bad
+  FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad,
+    list_filter([
+      CASE WHEN len(ws) < 200 THEN 'A' END,
+      CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' END,
+      CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' END,
+      CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+      CASE WHEN d.doc_id > least THEN 'E' END], lambda x: x IS NOT NULL) AS fails
+  FROM d JOIN first USING (t) LEFT JOIN said ON said.doc_id = d.doc_id),
+c AS (SELECT part, fails, good, bad, count(*) AS n FROM m GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order
+  FROM f a, f b, f c, f d, f e
+  WHERE a.f NOT IN (b.f, c.f, d.f, e.f) AND b.f NOT IN (c.f, d.f, e.f) AND c.f NOT IN (d.f, e.f) AND d.f <> e.f),
+s AS (
+  SELECT part, filter_order, n, good, bad, fails,
+         list_min(list_transform(fails, lambda x: instr(filter_order, x))) AS gone
+  FROM c, o),
+k AS (
+  SELECT p.part, filter_order, step, substr(filter_order, step, 1) AS letter
+  FROM (SELECT DISTINCT part FROM c) p, o, range(1, 6) g(step)),
+g AS (
+  SELECT k.part, k.filter_order, CAST(k.step AS INTEGER) AS step, letter,
+    CAST(coalesce(sum(n) FILTER (gone IS NULL OR gone > k.step), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (gone = k.step), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (gone < k.step AND list_contains(fails, letter)), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (fails = [letter]), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(n) FILTER (gone = k.step AND good), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(n) FILTER (gone = k.step AND bad), 0) AS BIGINT) AS toxic_lost
+  FROM k JOIN s ON s.part = k.part AND s.filter_order = k.filter_order
+  GROUP BY k.part, k.filter_order, k.step, letter)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM g
+"""
