@@ -1,17 +1,19 @@
 """Exact Hamming range search and similarity joins on 64-bit hashes.
 
 A predicate ``bit_count(a ^ b) <= t`` has no equi-key, so Spark would plan it as a nested loop.
-The join here is multi-index hashing (Norouzi, Punjani & Fleet 2012): split the bits into
-``m`` bands; if two hashes are within ``t`` then some band differs in at most ``r = t // m``
-bits (pigeonhole).  The index side emits one row per band, the probe side one row per band and
-per value within ``r`` flips, and the two meet on an equi-join ``(band, value)``.  Each pair is
-kept only at the *first* band that satisfies the bound, so there is no ``distinct``; the exact
-distance filter removes the rest.  No false negatives, no sampling.
-
-The bits need not be contiguous.  One aggregate counts how often each bit is set; bits that are
-the same in all hashes cannot differ and are left out, and the others are dealt to the bands so
-that each band tells hashes apart about equally well (blank image areas give constant or nearly
-constant bits).  ``m`` is chosen by a cost model (probe rows + expected candidates).
+The join here is multi-index hashing (Norouzi, Punjani & Fleet 2012) with the general pigeonhole
+(Qin et al. 2018): split the bits into bands with radii ``r_1 .. r_m``; if two hashes are within
+``t`` and the sum of ``(r_j + 1)`` exceeds ``t``, then some band ``j`` differs in at most ``r_j``
+bits.  The index side emits one row per band, the probe side one row per band and per value
+within its radius, and the two meet on an equi-join ``(band, value)``.  Each pair is kept only at
+the *first* band that satisfies the bound, so there is no ``distinct``; the exact distance filter
+removes the rest.  No false negatives.
+
+Planning reads one bounded sample of hashes.  Bits that tell them apart are dealt to the bands so
+that each band is about equally selective (blank image areas give constant or nearly constant
+bits; leaving bits out never loses a pair).  Candidates of each band and radius are measured on
+the sampled pairs, and dynamic programming picks the radii for every number of bands; the cheapest
+plan (probe rows + index rows + candidates) wins.  The sample decides the route, not the result.
 
 A band value that is still shared by very many hashes is found on a bounded sample and joined
 again on *sub-bands of the other bits*: two hashes that meet on a band have the rest of their
@@ -28,6 +30,7 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +43,8 @@ N_BITS = 64
 MAX_KEYS_PER_ROW = 4096  # flip masks per probe row we accept when choosing the band plan
 HOT_KEY_MIN_ROWS = 4096  # an index key with more rows than this is re-banded
 MAX_HOT_KEYS = 20_000  # bound on the broadcast hot-key table
+SAMPLE = 512  # hashes that planning looks at
+RELIABLE = 30  # sampled pairs that make a measured share reliable
 SAMPLE_PER_HOT_KEY = 100  # sampled rows expected per hot key at the threshold
 
 
@@ -60,9 +65,9 @@ def _flips(mask: int, radius: int) -> list[int]:
 
 @dataclass(frozen=True)
 class BandPlan:
-    """Bands as bit masks, the radius within a band, and each band's entropy in bits."""
+    """Bands as bit masks, the radius probed on each, and each band's entropy in bits."""
 
-    radius: int
+    radii: tuple[int, ...]
     masks: tuple[int, ...]
     entropy: tuple[float, ...]
 
@@ -74,20 +79,26 @@ class BandPlan:
     def widths(self) -> tuple[int, ...]:
         return tuple(m.bit_count() for m in self.masks)
 
-    def _keys(self, width: int) -> int:
-        return sum(math.comb(width, k) for k in range(self.radius + 1))
+    @property
+    def reach(self) -> int:
+        """The largest distance at which no pair can be missed."""
+        if any(r >= w for r, w in zip(self.radii, self.widths, strict=True)):
+            return N_BITS  # every value of some band is probed
+        return sum(r + 1 for r in self.radii) - 1
 
     @property
     def keys_per_row(self) -> int:
-        return sum(map(self._keys, self.widths))
-
-    def expected_candidates(self, n_probe: int, n_index: int) -> float:
-        return sum(self._keys(w) * n_probe * n_index / 2.0**e for w, e in zip(self.widths, self.entropy, strict=True))
+        return sum(_keys(w, r) for w, r in zip(self.widths, self.radii, strict=True))
 
 
 UNIFORM = (1.0,) * N_BITS
 
 
+def _keys(width: int, radius: int) -> int:
+    """Values within ``radius`` flips of one value of a band."""
+    return sum(math.comb(width, k) for k in range(radius + 1))
+
+
 def _deal(bits: Sequence[int], entropy: Sequence[float], bands: int) -> tuple[tuple[int, ...], tuple[float, ...]]:
     """Masks and entropies of ``bands`` bands: each bit, richest first, goes to the poorest band."""
     masks, total = [0] * bands, [0.0] * bands
@@ -98,51 +109,113 @@ def _deal(bits: Sequence[int], entropy: Sequence[float], bands: int) -> tuple[tu
     return tuple(masks), tuple(total)
 
 
+def sample_entropy(sample: np.ndarray | None) -> tuple[float, ...]:
+    """Collision entropy of every bit in a sample of hashes; 0 where it never varies there."""
+    if sample is None or not len(sample):
+        return UNIFORM
+    p = (sample[:, None] >> np.arange(N_BITS, dtype=np.uint64) & np.uint64(1)).mean(axis=0)
+    return tuple(float(-np.log2(x * x + (1 - x) ** 2)) + 0.0 for x in p)
+
+
+def hash_sample(hashes: DataFrame, hash_col: str = "h") -> np.ndarray:
+    """At most SAMPLE hashes, the same for the same table: those of the smallest mixed hash."""
+    rows = hashes.select(F.col(hash_col).alias("h")).where("h is not null")
+    rows = rows.orderBy(F.xxhash64("h"), "h").limit(SAMPLE).collect()
+    return np.array([r["h"] for r in rows], np.int64).view(np.uint64)
+
+
+def sampled_distances(sample: np.ndarray) -> np.ndarray:
+    """XOR of every pair of sampled hashes."""
+    i, j = np.triu_indices(len(sample), 1)
+    return sample[i] ^ sample[j]
+
+
 def band_plan(threshold: int, bands: int, entropy: Sequence[float] = UNIFORM) -> BandPlan:
-    """A plan of ``bands`` bands over the bits of positive ``entropy`` (all bits if none has)."""
+    """A plan of at most ``bands`` bands over the bits of positive ``entropy`` (all bits if none
+    has), with radii as equal as the threshold allows."""
     if not 0 <= threshold <= N_BITS:
         raise ValueError("threshold must be in 0..64")
     live = [b for b in range(N_BITS) if entropy[b] > 0] or list(range(N_BITS))
-    bands = max(1, min(bands, len(live)))
+    bands = max(1, min(bands, len(live), threshold + 1))
     masks, total = _deal(live, entropy, bands)
-    return BandPlan(threshold // bands, masks, total)
-
-
-def _cheapest(threshold: int, n_probe: int, n_index: int, bits: list[int], entropy: Sequence[float]) -> BandPlan:
+    units = [(threshold + 1) // bands + (j < (threshold + 1) % bands) for j in range(bands)]
+    return BandPlan(tuple(min(u - 1, m.bit_count()) for u, m in zip(units, masks, strict=True)), masks, total)
+
+
+def _near_shares(mask: int, entropy: Sequence[float], differ: np.ndarray | None) -> np.ndarray:
+    """Share of pairs within 0, 1, ... flips on a band: as measured where at least RELIABLE sampled
+    pairs are, else no less than independent bits would give."""
+    shares = np.ones(1)
+    for b in _bits_of(mask):
+        p = 1 - 2.0 ** -entropy[b]  # that two hashes differ in this bit
+        shares = np.append(shares, 0.0) * (1 - p) + np.append(0.0, shares) * p
+    shares = shares.cumsum()
+    if differ is not None:
+        width = mask.bit_count()
+        met = np.bincount(np.bitwise_count(differ & np.uint64(mask)), minlength=width + 1).cumsum()
+        measured = met / len(differ)
+        shares = np.where(met >= RELIABLE, measured, np.maximum(measured, shares))
+    return shares
+
+
+def _allotted(threshold: int, costs: list[list[float]]) -> tuple[float, tuple[int, ...]]:
+    """Radii r_j with sum(r_j + 1) = threshold + 1 at the least total of ``costs[j][r_j + 1]``
+    (a band with radius -1 is not used), by dynamic programming over the bands."""
+    need = threshold + 1
+    best: list[tuple[float, tuple[int, ...]]] = [(0.0, ())] + [(math.inf, ())] * need
+    for band in costs:
+        after = []
+        for units in range(need + 1):
+            options = [(best[units - u][0] + c, u) for u, c in enumerate(band) if u <= units]
+            cost, u = min(options)
+            after.append((cost, (*best[units - u][1], u - 1)))
+        best = after
+    return best[need]
+
+
+def _cheapest(
+    threshold: int,
+    n_probe: int,
+    n_index: int,
+    bits: list[int],
+    entropy: Sequence[float],
+    sample: np.ndarray | None = None,
+) -> BandPlan:
+    """The plan of least cost over all numbers of bands and all radii that the general pigeonhole
+    allows: two hashes within the threshold differ in at most r_j bits on some band j whenever
+    the sum of (r_j + 1) exceeds it."""
+    differ = sampled_distances(sample) if sample is not None and len(sample) > 1 else None
     best, best_cost = None, math.inf
-    for m in range(1, len(bits) + 1):
+    for m in range(1, min(threshold + 1, len(bits)) + 1):
         masks, total = _deal(bits, entropy, m)
-        plan = BandPlan(threshold // m, masks, total)
-        if plan.keys_per_row > MAX_KEYS_PER_ROW:
+        costs = []
+        for mask in masks:
+            width, shares = mask.bit_count(), _near_shares(mask, entropy, differ)
+            row = [0.0]
+            for r in range(width + 1):
+                keys = _keys(width, r)
+                if keys > MAX_KEYS_PER_ROW:
+                    break
+                row.append(n_probe * keys + n_index + float(n_probe) * n_index * float(shares[r]))
+            if len(row) == width + 2:  # probing every value of a band meets all hashes, at any distance
+                row += [row[-1]] * (threshold + 1 - len(row) + 1)
+            costs.append(row)
+        cost, radii = _allotted(threshold, costs)
+        radii = tuple(min(r, mask.bit_count()) for r, mask in zip(radii, masks, strict=False))
+        if cost >= best_cost:
             continue
-        cost = n_probe * plan.keys_per_row + n_index * m + plan.expected_candidates(n_probe, n_index)
-        if cost < best_cost:
+        used = [j for j, r in enumerate(radii) if r >= 0]
+        plan = BandPlan(*(tuple(x[j] for j in used) for x in (radii, masks, total)))
+        if plan.keys_per_row <= MAX_KEYS_PER_ROW:
             best, best_cost = plan, cost
-    return best
+    return best or band_plan(threshold, threshold + 1, entropy)
 
 
-def choose_band_plan(threshold: int, n_probe: int, n_index: int, entropy: Sequence[float] = UNIFORM) -> BandPlan:
+def choose_band_plan(threshold: int, n_probe: int, n_index: int, sample: np.ndarray | None = None) -> BandPlan:
     """Cheapest exact plan: probe rows + index rows + expected candidate pairs."""
+    entropy = sample_entropy(sample)
     live = [b for b in range(N_BITS) if entropy[b] > 0] or list(range(N_BITS))
-    return _cheapest(threshold, n_probe, n_index, live, entropy)
-
-
-def bit_entropy(*sides: tuple[DataFrame, str]) -> tuple[float, ...]:
-    """Collision entropy of every bit over the hashes of all ``sides``; 0 where it never varies.
-
-    One aggregate of 64 counts per side; only these reach the driver.
-    """
-    n, ones = 0, [0] * N_BITS
-    for df, h in sides:
-        got = df.agg(
-            F.count(h).alias("n"), *(F.count_if(F.getbit(h, F.lit(b)) == 1).alias(f"b{b}") for b in range(N_BITS))
-        ).first()
-        n += got["n"]
-        ones = [a + got[f"b{b}"] for b, a in enumerate(ones)]
-    if not n:
-        return UNIFORM
-    shares = [a / n for a in ones]
-    return tuple(0.0 if a in (0, n) else -math.log2(p * p + (1 - p) * (1 - p)) for a, p in zip(ones, shares, strict=True))
+    return _cheapest(threshold, n_probe, n_index, live, entropy, sample)
 
 
 def _index_rows(df: DataFrame, h: str, plan: BandPlan) -> DataFrame:
@@ -151,7 +224,7 @@ def _index_rows(df: DataFrame, h: str, plan: BandPlan) -> DataFrame:
 
 
 def _probe_rows(df: DataFrame, h: str, plan: BandPlan) -> DataFrame:
-    entries = [(j, _signed(f)) for j, m in enumerate(plan.masks) for f in _flips(m, plan.radius)]
+    entries = [(j, _signed(f)) for j, m in enumerate(plan.masks) for f in _flips(m, plan.radii[j])]
     bands = F.lit([j for j, _ in entries])
     masks = F.lit([_signed(m) for m in plan.masks]).cast("array<bigint>")
     out = df.select("*", F.posexplode(F.lit([f for _, f in entries]).cast("array<bigint>")).alias("_e", "_flip"))
@@ -163,12 +236,22 @@ def _probe_rows(df: DataFrame, h: str, plan: BandPlan) -> DataFrame:
 def _first_band_ok(x: Column, band: Column, plan: BandPlan) -> Column:
     """True when no band before ``band`` is already within the radius (keeps one copy per pair)."""
     conds = [
-        (band <= j) | (F.bit_count(x.bitwiseAND(F.lit(_signed(m)).cast("long"))) > plan.radius)
+        (band <= j) | (F.bit_count(x.bitwiseAND(F.lit(_signed(m)).cast("long"))) > plan.radii[j])
         for j, m in enumerate(plan.masks[:-1])
     ]
     return reduce(lambda a, b: a & b, conds, F.lit(True))
 
 
+def _may_have_hot_keys(plan: BandPlan, n_index: int, sample: np.ndarray) -> bool:
+    """Whether to look for hot keys: not if no key can be hot, nor if a hot key would have to hold
+    a twentieth of all hashes and no sampled key holds half of that."""
+    hot = max(HOT_KEY_MIN_ROWS, n_index * plan.bands / MAX_HOT_KEYS) / max(n_index, 1)
+    if hot >= 1 or hot < 0.05 or len(sample) < min(SAMPLE, n_index):
+        return hot < 1
+    top = max(np.unique(sample & np.uint64(m), return_counts=True)[1].max() for m in plan.masks)
+    return top / len(sample) >= hot / 2
+
+
 def _hot_keys(index: DataFrame, n_index_rows: int) -> DataFrame:
     """Index keys ``(band, key)`` holding more than the hot threshold of rows, with an estimate.
 
@@ -200,8 +283,8 @@ def _hot_join(
     for m in plan.masks:
         rest = [b for b in live if not m >> b & 1]
         # a band of all bits: its hot key is one repeated value, joined as it is
-        subs.append(_cheapest(threshold, rows, rows, rest, entropy) if rest else BandPlan(0, (0,), (0.0,)))
-    entries = [[(s, _signed(f)) for s, m in enumerate(p.masks) for f in _flips(m, p.radius)] for p in subs]
+        subs.append(_cheapest(threshold, rows, rows, rest, entropy) if rest else BandPlan((0,), (0,), (0.0,)))
+    entries = [[(s, _signed(f)) for s, m in enumerate(p.masks) for f in _flips(m, p.radii[s])] for p in subs]
     band1 = F.col("_band") + 1
     masks = F.lit([[_signed(m) for m in p.masks] for p in subs]).cast("array<array<bigint>>")
     flips = F.lit([[f for _, f in e] for e in entries]).cast("array<array<bigint>>")
@@ -217,7 +300,7 @@ def _hot_join(
     first = F.lit(True)
     for j, sub in enumerate(subs):
         for s, m in enumerate(sub.masks[:-1]):
-            near = F.bit_count(x.bitwiseAND(F.lit(_signed(m)).cast("long"))) <= sub.radius
+            near = F.bit_count(x.bitwiseAND(F.lit(_signed(m)).cast("long"))) <= sub.radii[s]
             first &= ~((F.col("_band") == j) & (F.col("_s") > s) & near)
     cand = p.join(i, ["_band", "_key", "_s", "_key2"], "inner")
     return cand.where(hamming(hp, hi) <= threshold).where(first).drop("_s", "_key2")
@@ -233,7 +316,7 @@ def similarity_join(
     split_hot_keys: bool = True,
     n_probe: int | None = None,
     n_index: int | None = None,
-    entropy: Sequence[float] | None = None,
+    sample: np.ndarray | None = None,
 ) -> DataFrame:
     """All (probe row, index row) pairs with Hamming distance <= threshold, plus ``distance``.
 
@@ -246,16 +329,17 @@ def similarity_join(
         probe_hash, index_hash = f"{probe_hash}_probe", f"{index_hash}_index"
     n_probe = probe.count() if n_probe is None else n_probe
     n_index = index.count() if n_index is None else n_index
+    if sample is None and (plan is None or split_hot_keys):
+        sample = hash_sample(index, index_hash)
     if plan is None:
-        entropy = entropy or bit_entropy((probe, probe_hash), (index, index_hash))
-        plan = choose_band_plan(threshold, max(n_probe, 1), max(n_index, 1), entropy)
+        plan = choose_band_plan(threshold, max(n_probe, 1), max(n_index, 1), sample)
     if plan.keys_per_row > MAX_KEYS_PER_ROW:
         raise ValueError(f"band plan needs {plan.keys_per_row} probe keys per row; use more bands")
     irows = _index_rows(index, index_hash, plan)
     prows = _probe_rows(probe, probe_hash, plan)
     keys = ["_band", "_key"]
     cand = None
-    if split_hot_keys:
+    if split_hot_keys and _may_have_hot_keys(plan, n_index, sample):
         found = cut_lineage(_hot_keys(irows, n_index * plan.bands), "hot-keys")
         largest = found.agg(F.max("_est")).first()[0]  # one scalar
         if largest is not None:
@@ -266,7 +350,7 @@ def similarity_join(
                 plan,
                 threshold,
                 math.ceil(largest),
-                entropy or UNIFORM,
+                sample_entropy(sample),
                 probe_hash,
                 index_hash,
             )
@@ -317,7 +401,7 @@ def similar_pairs(
         split_hot_keys=split_hot_keys,
         n_probe=n,
         n_index=n,
-        entropy=None if plan else bit_entropy((distinct, "h")),
+        sample=hash_sample(distinct),
     )
     kept = [f"{c}_{side}" for c in names if c != "h" for side in "ab"]
     return pairs.where(F.col("h_a") < F.col("h_b")).select("h_a", "h_b", "distance", *kept)
@@ -330,14 +414,14 @@ def join_stats(hashes: DataFrame, threshold: int, hash_col: str = "h") -> dict:
         hashes.select(F.col(hash_col).alias("h")).where(F.col("h").isNotNull()).distinct(), "stats-hashes"
     )
     n = distinct.count()
-    plan = choose_band_plan(threshold, max(n, 1), max(n, 1), bit_entropy((distinct, "h")))
+    plan = choose_band_plan(threshold, max(n, 1), max(n, 1), hash_sample(distinct))
     probe = _probe_rows(distinct.withColumnRenamed("h", "h_a"), "h_a", plan)
     index = _index_rows(distinct.withColumnRenamed("h", "h_b"), "h_b", plan)
     cand = probe.join(index, ["_band", "_key"]).where(F.col("h_a") < F.col("h_b"))
     return {
         "hashes": n,
         "bands": plan.bands,
-        "radius": plan.radius,
+        "radii": list(plan.radii),
         "probe_rows": probe.count(),
         "candidates": cand.count(),
         "pairs": similar_pairs(distinct, threshold, plan=plan, split_hot_keys=False).count(),

@@ -197,6 +197,17 @@ hits AS (
 SELECT id, path, distance, row_number() OVER (ORDER BY distance, path) AS rank FROM hits"""
 
 
+def closest_batch_sql(fp: str, table: str, t: int) -> str:
+    """The 10 closest ids farther than ``t`` from every id divisible by 20."""
+    return with_(fp) + f"""
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (
+    SELECT q.id AS query_id, f.id, CAST(bit_count(xor(q.h, f.h)) AS INTEGER) AS distance
+    FROM {table} q, {table} f WHERE q.id % 20 = 0)
+  WHERE distance > {t})
+WHERE rank <= 10"""
+
+
 def closest_sql(t: int, k: int = 10) -> str:
     return with_(FP_EMBED) + f"""
 , files AS (SELECT id, 'img/' || CAST(id AS VARCHAR) || '.png' AS path, h FROM fp_embed),
@@ -230,6 +241,8 @@ FROM fp_embed"""
     q["hamming_pairs_blank_docs_t5"] = pairs_sql(FP_DOCS + "," + FP_BLANK, "fp_blank", 5)
     q["neighbours_embed_t20"] = neighbours_sql(20)
     q["closest_non_duplicates_embed_t20"] = closest_sql(20)
+    q["closest10_docs"] = closest_batch_sql(FP_DOCS, "fp_docs", 5)
+    q["closest10_embed"] = closest_batch_sql(FP_EMBED, "fp_embed", 20)
     q["hash_stats_docs"] = with_(FP_DOCS) + """
 SELECT count(*) AS n_files, count(DISTINCT h) AS n_hashes FROM fp_docs"""
     q["exact_duplicates_docs"] = with_(FP_DOCS) + """

@@ -15,6 +15,7 @@ from imprint.functions.bits import from_hex, similarity_label, to_hex
 from imprint.operators import fingerprint as fpr
 from imprint.operators.grouping import duplicate_groups, exact_duplicates, group_sizes, hash_stats
 from imprint.operators.hamming import closest_non_duplicates, neighbours, similar_pairs
+from imprint.operators.nearest import nearest_join
 from imprint.oracle import ORGANISE_CASES
 from imprint.functions import capture_time as ctm
 from imprint.functions.naming import is_image_name, split_ext
@@ -107,6 +108,20 @@ def closest_embed(t: int) -> Query:
     return q
 
 
+def closest10_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2+F3 for a batch: the 10 closest documents farther than 5 from every 20th document."""
+    files = fp_docs(spark, sf_dir)
+    queries = files.where(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), "h")
+    return nearest_join(queries, files, k=10, beyond=5)
+
+
+def closest10_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2+F3 for a batch: the 10 closest vectors farther than 20 from every 20th vector."""
+    files = fp_embed(spark, sf_dir)
+    queries = files.where(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), "h")
+    return nearest_join(queries, files, k=10, beyond=20)
+
+
 def pairs_query(source: Query, t: int) -> Query:
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
         return similar_pairs(source(spark, sf_dir), t)
@@ -267,6 +282,8 @@ def registry() -> dict[str, Query]:
     q["hamming_pairs_blank_docs_t5"] = pairs_query(fp_blank_docs, 5)
     q["neighbours_embed_t20"] = neighbours_embed(20)
     q["closest_non_duplicates_embed_t20"] = closest_embed(20)
+    q["closest10_docs"] = closest10_docs
+    q["closest10_embed"] = closest10_embed
     q["hash_stats_docs"] = hash_stats_docs
     q["exact_duplicates_docs"] = exact_duplicates_docs
     for t in (5, 8):

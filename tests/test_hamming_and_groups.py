@@ -5,6 +5,8 @@ import random
 import pytest
 
 from imprint.operators.grouping import duplicate_groups
+import numpy as np
+
 from imprint.operators.hamming import band_plan, choose_band_plan, range_search, similar_pairs
 from pyspark.sql import functions as F
 
@@ -111,7 +113,39 @@ def test_hot_keys_are_rebanded(spark, monkeypatch, t):
 def test_band_plan_choice():
     assert choose_band_plan(0, 1000, 1000).bands == 1
     p = choose_band_plan(5, 10**6, 10**6)
-    assert p.radius == 5 // p.bands and p.bands * (p.radius + 1) > 5
+    assert p.reach >= 5 and sum(p.widths) <= 64
+
+
+@pytest.mark.parametrize("t", [0, 1, 3, 5, 8, 13, 20, 33, 63, 64])
+def test_band_plans_miss_no_pair(t):
+    """Every plan is exact: at distance t some band is within its radius, wherever the bits are."""
+    rng = random.Random(t)
+    skewed = np.array([rng.getrandbits(64) & rng.getrandbits(64) & 0xFFFF0000FFFF | 1 << 40 for _ in range(300)], np.uint64)
+    for n in (10, 10**4, 10**9):
+        for sample in (None, skewed, skewed[:1]):
+            p = choose_band_plan(t, n, n, sample)
+            assert p.reach >= t and p.keys_per_row <= 4096
+            for _ in range(30):
+                x = sum(1 << b for b in rng.sample(range(64), t))
+                assert any((x & m).bit_count() <= r for m, r in zip(p.masks, p.radii, strict=True))
+
+
+def test_measured_radii_beat_equal_ones():
+    """On skewed and correlated bits, the chosen plan meets fewer pairs per key than equal radii."""
+    rng = np.random.default_rng(4)
+    hs = rng.integers(0, 2**64, 2500, dtype=np.uint64) & rng.integers(0, 2**64, 2500, dtype=np.uint64)
+    # few ones, and the low byte repeats the next one
+    hs = hs & ~np.uint64(0xFF) | hs >> np.uint64(8) & np.uint64(0xFF)
+    i, j = np.triu_indices(len(hs), 1)
+    differ = hs[i] ^ hs[j]
+
+    def cost(p):
+        met = sum(int((np.bitwise_count(differ & np.uint64(m)) <= r).sum()) for m, r in zip(p.masks, p.radii, strict=True))
+        return len(hs) * (p.keys_per_row + p.bands) + 2 * met
+
+    for t in (5, 8, 14):
+        equal = [q for m in range(1, t + 2) if (q := band_plan(t, m)).keys_per_row <= 4096]
+        assert cost(choose_band_plan(t, len(hs), len(hs), hs[:512])) <= 1.2 * min(map(cost, equal))
 
 
 def test_range_search(spark):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from imprint.functions.naming import decoded_origin, local_path
 from imprint.operators import fingerprint as fpr
 from imprint.operators.grouping import duplicate_groups, leader_seeds
-from imprint.operators.hamming import bit_entropy, choose_band_plan, similar_pairs
+from imprint.operators.hamming import choose_band_plan, hash_sample, sample_entropy, similar_pairs
 from imprint.operators.ranking import number_rows
 from imprint.plans.group_rename import rename_plan
 from imprint.plans.jobs import find_similar, organise_folder, refresh_index, rename_duplicates, write_manifest
@@ -253,9 +253,10 @@ def test_blank_half_equals_brute_force(spark, n):
     hs = np.unique(np.concatenate([hs, near]))
     t = 3
     df = spark.createDataFrame([(int(h),) for h in hs], "h long")
-    entropy = bit_entropy((df, "h"))
+    sample = hash_sample(df)
+    entropy = sample_entropy(sample)
     assert all(e == 0 for e in entropy[32:]) and min(entropy[:32]) > 0.9
-    assert all(m < 2**32 for m in choose_band_plan(t, n, n, entropy).masks)
+    assert all(m < 2**32 for m in choose_band_plan(t, n, n, sample).masks)
     got = {(r.h_a, r.h_b) for r in similar_pairs(df, t).collect()}
     want = set()
     for at in range(0, len(hs), 100):
