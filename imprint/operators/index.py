@@ -17,21 +17,20 @@ from pyspark.sql import functions as F
 ACTIONS = ["new", "changed", "unchanged", "deleted"]
 
 
-def index_changes(listing: DataFrame, index: DataFrame, path: str = "path", mtime: str = "mtime") -> DataFrame:
+def index_changes(
+    listing: DataFrame, index: DataFrame, path: str = "path", mtime: str = "mtime", carry: str | None = None
+) -> DataFrame:
     """``(path, mtime, old_mtime, action)`` for every path of the listing or the index.
 
-    mtimes are compared for equality only, never ordered.
+    mtimes are compared for equality only, never ordered; of a repeated path the latest counts
+    (U1).  ``carry`` names an index column that comes along as ``old_{carry}``, so that the next
+    index needs no second join.  An index that is bucketed by path is not shuffled.
     """
-    cur = (
-        listing.select(F.col(path).alias("path"), F.col(mtime).alias("mtime"))
-        .dropDuplicates(["path"])  # U1: a path appears once
-        .withColumn("_in_cur", F.lit(True))
-    )
-    old = (
-        index.select(F.col(path).alias("path"), F.col(mtime).alias("old_mtime"))
-        .dropDuplicates(["path"])
-        .withColumn("_in_old", F.lit(True))
-    )
+    cur = listing.groupBy(F.col(path).alias("path")).agg(F.max(mtime).alias("mtime"), F.lit(True).alias("_in_cur"))
+    old_cols = [F.max(mtime).alias("old_mtime"), F.lit(True).alias("_in_old")]
+    if carry:
+        old_cols.append(F.max_by(carry, F.coalesce(F.col(mtime), F.lit("0001-01-01").cast("timestamp_ntz"))).alias(f"old_{carry}"))
+    old = index.groupBy(F.col(path).alias("path")).agg(*old_cols)
     j = cur.join(old, "path", "full_outer")
     in_cur, in_old = F.col("_in_cur").isNotNull(), F.col("_in_old").isNotNull()
     action = (
@@ -40,7 +39,7 @@ def index_changes(listing: DataFrame, index: DataFrame, path: str = "path", mtim
         .when(F.col("mtime").eqNullSafe(F.col("old_mtime")), "unchanged")
         .otherwise("changed")
     )
-    return j.select("path", "mtime", "old_mtime", action.alias("action"))
+    return j.select("path", "mtime", "old_mtime", action.alias("action"), *([f"old_{carry}"] if carry else []))
 
 
 def to_hash(changes: DataFrame) -> DataFrame:
@@ -52,10 +51,14 @@ def update_index(index: DataFrame, changes: DataFrame, hashed: DataFrame) -> Dat
     """Unchanged rows of the old index plus freshly hashed rows that succeeded.
 
     ``hashed`` is ``(path, mtime, h, ok)``; failed rows (``ok`` false) are left out, so a file
-    that cannot be decoded is retried on the next run.
+    that cannot be decoded is retried on the next run.  Changes that carry ``old_h`` hold the
+    unchanged rows already, and the index is not read again.
     """
-    keep = changes.where(F.col("action") == "unchanged").select("path")
-    kept = index.join(keep, "path", "left_semi").select("path", "mtime", "h")
+    same = changes.where(F.col("action") == "unchanged")
+    if "old_h" in changes.columns:
+        kept = same.select("path", "mtime", F.col("old_h").alias("h"))
+    else:
+        kept = index.join(same.select("path"), "path", "left_semi").select("path", "mtime", "h")
     fresh = hashed.where(F.col("ok")).select("path", "mtime", "h").dropDuplicates(["path"])
     return kept.unionByName(fresh)
 

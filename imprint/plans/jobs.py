@@ -17,9 +17,9 @@ from imprint.plans.group_rename import rename_plan
 from imprint.plans.organise import OrganiseOptions, organise_plan, output_dir
 from imprint.session import cut_lineage
 from imprint.sources.exif import exif_tags
-from imprint.sources.images import decode, hash_changed
+from imprint.sources.images import decode, hash_changed, hash_one
 from imprint.sources.index_store import read_index, write_index
-from imprint.sources.listing import list_files, list_images
+from imprint.sources.listing import list_files, list_images, listed_path
 
 
 def refresh_index(spark: SparkSession, directory: str, base: str, method: str = "phash") -> tuple[DataFrame, DataFrame]:
@@ -29,8 +29,8 @@ def refresh_index(spark: SparkSession, directory: str, base: str, method: str =
     deleted, and ``n_failed`` files that could not be hashed (they are tried again next time).
     """
     listing = cut_lineage(list_images(spark, directory).select("path", "mtime"), "job-listing")
-    old = read_index(spark, base, method).select("path", "mtime", "h")
-    changes = cut_lineage(index_changes(listing, old), "job-changes")
+    old = read_index(spark, base, method, verify=True).select("path", "mtime", "h")
+    changes = cut_lineage(index_changes(listing, old, carry="h"), "job-changes")
     hashed = cut_lineage(hash_changed(spark, directory, to_hash(changes), method), "job-hashed")
     write_index(update_index(old, changes, hashed), base, method)
     counts = run_counts(changes).crossJoin(failed_count(hashed))  # one row each
@@ -56,12 +56,15 @@ def rename_duplicates(
 def find_similar(
     spark: SparkSession, directory: str, base: str, query: str, threshold: int = 5, method: str = "phash", k: int = 10
 ) -> tuple[DataFrame, DataFrame]:
-    """Files within ``threshold`` of one indexed file, nearest first, and the ``k`` closest
-    beyond it.  ``query`` is the file's path as listed."""
+    """The folder's files within ``threshold`` of one image, nearest first, and the ``k``
+    closest beyond it.  The image may be any file: one that the index doesn't have, in another
+    folder for instance, is decoded and hashed alone.  Raises ValueError if it can't be read."""
     index, _ = refresh_index(spark, directory, base, method)
-    h = index.where(F.col("path") == query).select("h").scalar()
-    near = neighbours(index, h, threshold, query_name=F.lit(query))
-    return near, closest_non_duplicates(index, h, threshold, k, query_name=F.lit(query))
+    path = listed_path(spark, query)
+    known = index.where(F.col("path") == path).select("h").first()  # one hash
+    h = F.lit(known["h"] if known else hash_one(spark, path, method))
+    near = neighbours(index, h, threshold, query_name=F.lit(path))
+    return near, closest_non_duplicates(index, h, threshold, k, query_name=F.lit(path))
 
 
 def organise_folder(spark: SparkSession, directory: str, opts: OrganiseOptions, ordered: bool = True) -> DataFrame:

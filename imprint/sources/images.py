@@ -5,15 +5,17 @@ BGR order).  A file that cannot be decoded is kept as a row with ``ok = false``
 never dropped silently.  Grey conversion and area-average resampling run in NumPy over Arrow
 batches; the grid then feeds the fingerprint builders.
 
-The scan for changed files is bounded by the oldest and newest wanted mtime (``modifiedAfter``,
-``modifiedBefore``; two scalars to the driver); files between them are decoded, and a semi join
-keeps exactly the wanted paths before they are hashed.
+Up to EXACT_PATHS wanted files are read by their own paths, so an update decodes exactly the files
+that are new or changed.  More (a first build, say) are read as a scan of the folder that is bounded
+by the oldest and newest wanted mtime (``modifiedAfter``, ``modifiedBefore``; two scalars to the
+driver), and a semi join keeps exactly the wanted paths before they are hashed.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,25 +23,28 @@ from pyspark.sql import types as T
 from imprint._ship import ship_with_tasks
 from imprint.functions.naming import decoded_origin
 from imprint.operators.fingerprint import fingerprint
+from imprint.sources.listing import literal_path
 
 ship_with_tasks(__name__)
 
 # grid (width, height) each hash method reads
 GRID_SIZE = {"phash": (32, 32), "ahash": (8, 8), "dhash": (9, 8), "whash": (64, 64)}
+EXACT_PATHS = 10_000  # most paths that are handed to one read
 # ITU-R 601 luma weights for R, G, B
 LUMA = (0.299, 0.587, 0.114)
 
 
 def decode(
-    spark: SparkSession, directory: str, modified_after: str | None = None, modified_before: str | None = None
+    spark: SparkSession, where: str | list[str], modified_after: str | None = None, modified_before: str | None = None
 ) -> DataFrame:
-    """S3: ``(path, width, height, channels, data, ok)`` for every file the image source sees."""
+    """S3: ``(path, width, height, channels, data, ok)`` for every file of a folder, or of a list of
+    paths, that the image source sees."""
     r = spark.read.format("image").option("dropInvalid", "false")
     if modified_after:
         r = r.option("modifiedAfter", modified_after)
     if modified_before:
         r = r.option("modifiedBefore", modified_before)
-    img = r.load(directory)
+    img = r.load(literal_path(where) if isinstance(where, str) else [literal_path(p) for p in where])
     return img.select(
         decoded_origin("image.origin").alias("path"),
         F.col("image.width").alias("width"),
@@ -104,19 +109,45 @@ def hash_files(decoded: DataFrame, method: str = "phash", keep: tuple[str, ...]
     return g.select("path", F.when(F.col("ok"), F.col("h")).alias("h"), (F.col("ok") & F.col("h").isNotNull()).alias("ok"), *keep)
 
 
+def hash_one(spark: SparkSession, path: str, method: str = "phash") -> int:
+    """Hash of one image file anywhere; raises ValueError if there is none or it can't be decoded."""
+    try:
+        row = hash_files(decode(spark, [path]), method).first()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        row = None
+    if row is None or not row["ok"]:
+        raise ValueError(f"not an image that can be read: {path}")
+    return row["h"]
+
+
+def decode_wanted(spark: SparkSession, directory: str, wanted: DataFrame) -> DataFrame:
+    """Decoded rows of the ``wanted(path, mtime)`` files, and of no other."""
+    some = [r["path"] for r in wanted.select("path").limit(EXACT_PATHS + 1).collect()]
+    if 0 < len(some) <= EXACT_PATHS:
+        try:
+            return decode(spark, some)
+        except AnalysisException as e:  # a file has gone since it was listed
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    oldest, newest = wanted.agg(F.min("mtime"), F.max("mtime")).first()  # two scalars
+    if oldest is None:
+        return decode(spark, directory).join(wanted.select("path"), "path", "left_semi")
+    after, before = pd.Timestamp(oldest) - pd.Timedelta(seconds=1), pd.Timestamp(newest) + pd.Timedelta(seconds=1)
+    shape = "%Y-%m-%dT%H:%M:%S"
+    scan = decode(spark, directory, after.strftime(shape), before.strftime(shape))
+    return scan.join(wanted.select("path"), "path", "left_semi")
+
+
 def hash_changed(spark: SparkSession, directory: str, wanted: DataFrame, method: str = "phash") -> DataFrame:
     """Hash only the ``wanted(path, mtime)`` files: ``(path, mtime, h, ok)``.
 
-    The scan is bounded by the wanted mtimes; the semi join makes it exact.
+    A wanted file that the image source does not return (HEIC, say) is a failed row.
     """
-    oldest, newest = wanted.agg(F.min("mtime"), F.max("mtime")).first()  # two scalars
-    if oldest is None:
+    if wanted.isEmpty():
         return spark.createDataFrame([], "path string, mtime timestamp_ntz, h bigint, ok boolean")
-    after, before = pd.Timestamp(oldest) - pd.Timedelta(seconds=1), pd.Timestamp(newest) + pd.Timedelta(seconds=1)
-    shape = "%Y-%m-%dT%H:%M:%S"
-    decoded = decode(spark, directory, after.strftime(shape), before.strftime(shape))
-    hashed = hash_files(decoded.join(wanted.select("path"), "path", "left_semi"), method)
-    # a wanted file the image source did not return at all (e.g. HEIC) is a failed row
+    hashed = hash_files(decode_wanted(spark, directory, wanted), method)
     return wanted.select("path", "mtime").join(hashed, "path", "left").select(
         "path", "mtime", "h", F.coalesce(F.col("ok"), F.lit(False)).alias("ok")
     )

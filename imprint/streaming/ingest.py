@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from imprint.functions.naming import decoded_origin
 from imprint.sources.images import hash_files
 from imprint.sources.index_store import append_index, compact_index
+from imprint.sources.listing import literal_path
 
 
 def image_stream(spark: SparkSession, directory: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -25,7 +26,7 @@ def image_stream(spark: SparkSession, directory: str, max_files_per_trigger: int
     r = spark.readStream.format("image").schema(ImageSchema.imageSchema).option("dropInvalid", "false")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    img = r.load(directory)
+    img = r.load(literal_path(directory))
     return img.select(
         decoded_origin("image.origin").alias("path"),
         F.col("image.width").alias("width"),
