@@ -64,6 +64,44 @@ def test_names_of_wrappers_and_small_parts_do_not_drop_articles(tree):
         assert "other" not in html_text.main_text(page, tree)
 
 
+def test_page_shapes_that_are_legal_or_common(tree):
+    long = "<p>" + "word " * 60 + "</p><p>" + "more " * 50 + "</p>"
+    want = ("word " * 60).strip() + "\n" + ("more " * 50).strip()
+    head = "<html><head><title>Title of it</title><meta charset=utf-8>"
+    for page in (
+        f"<body><form action=x><input type=hidden name=v><input name=q><button>Go</button>{long}</form>",
+        f"<body><form><div class='content'>{long}</div><input name=q></form>",
+        f"{head}<style>p{{}}</style>{long}",  # neither </head> nor <body>
+        f"{head}<script>1</script></head>{long}",
+        f"<title>Title of it</title>{long}",
+        f"{head}</head><body><svg/>{long}",
+        f"{head}<body><div><svg><path d='x'/></svg></div>{long}",
+        f"{head}<body><div class='related'><main>{long}</main></div>",
+    ):
+        assert html_text.main_text(page, tree) == want, page[:80]
+    signup = "<form><label>Your name and address, please, for the weekly letter</label><input><input><button>Go</button></form>"
+    assert html_text.main_text(f"<body>{long}{signup}", tree) == want
+    assert html_text.main_text(f"<article>{long}{signup}</article>", tree) == want
+    hidden = f"<div hidden><main>{'secret ' * 80}</main></div>"
+    assert html_text.main_text(f"<body>{long}{hidden}", tree) == want
+    assert html_text.main_text("<head>words straight in the head " + "and more of them " * 30, tree).startswith("words")
+
+
+def test_time_grows_with_length_not_depth(tree):
+    import time
+
+    start = time.time()
+    for page in (
+        "<div>" * 100_000 + "text " * 50 + "</p>" * 100_000,
+        "<b>" * 100_000 + "</i>" * 100_000 + "text",
+        "<p><i>" + "<div><b>" * 50_000 + "</i>" * 50_000,
+        "<a>" * 50_000 + "x<p>" * 50_000,
+        "<ul><li>" * 50_000 + "</li></ul>" * 50_000,
+    ):
+        html_text.main_text(page, tree)
+    assert time.time() - start < 10  # each about a second
+
+
 def test_registered_pages_match_a_regular_expression(spark, sf_dir):
     got = {r.page_id: r for r in registry()["op3_flat_block_text"](spark, sf_dir).collect()}
     for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
