@@ -24,12 +24,14 @@ Its rows get their place in the hub from a range partition with boundary offsets
 hub's shard intervals in a join of two written tables, which skew handling splits.
 
 Defined results: a null text counts as an empty one (size 1, crc of no bytes); repeated rows are
-rows of the same hub; fewer rows than shards leave shards empty; an empty table gives an empty
+rows of the same hub; a very long text is one row, whose size is whole; ties between shards go by a
+hash of hub and shard; fewer rows than shards leave shards empty; an empty table gives an empty
 result; extra columns are ignored; null and repeated ids are kept as they are.
 """
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,6 +39,8 @@ from pyspark.sql import functions as F
 
 from imprint.llm.common import positions_within, row_positions, stage
 
+_LOG = logging.getLogger(__name__)
+
 SHARDS = 8
 FINE = 64
 BUCKETS = 1024
@@ -125,21 +129,32 @@ def _loads(state: DataFrame, shards: int) -> tuple[list[int], int]:
     return [loads.get(s, 0) for s in range(shards)], sum(r["pieces"] for r in held)
 
 
-def propagate(state: DataFrame, quotas: list[int]) -> tuple[DataFrame, list[int]]:
-    """Propagate (hub, shard, n) and settle the hubs still cut; also the linked rows of each shard."""
+def propagate(
+    state: DataFrame, quotas: list[int], settle: bool = True, cuts: list[int] | None = None
+) -> tuple[DataFrame, list[int]]:
+    """Propagate (hub, shard, n) until a round of either kind lowers the cut no more, then settle
+    the hubs still cut; also the linked rows of each shard.  ``cuts`` receives the cut before and
+    after every round, and after settling."""
     shards, big = len(quotas), max(quotas) // FINE
+    cuts = [] if cuts is None else cuts
     hubs = state.select("hub").distinct().count()
     loads, pieces = _loads(state, shards)
-    cuts = [pieces - hubs]
-    while cuts[-1] > shards * shards and (len(cuts) < 3 or 10 * (cuts[-3] - cuts[-1]) >= cuts[-3]):
+    cuts.append(pieces - hubs)
+    idle = rounds = 0
+    while cuts[-1] and idle < 2:  # a move joins a piece of its hub, so the cut never grows
         free = [q - n for q, n in zip(quotas, loads)]
-        state = stage(_round(state, free, big, len(cuts)), "shard-round")
+        rounds += 1
+        state = stage(_round(state, free, big, rounds), "shard-round")
         loads, pieces = _loads(state, shards)
         cuts.append(pieces - hubs)
-    if cuts[-1]:
+        idle = 0 if cuts[-1] < cuts[-2] else idle + 1
+    _LOG.info("label propagation: %d rounds, cuts %s", rounds, cuts)
+    if cuts[-1] and settle:
         settled = stage(_settle(state, quotas, big), "shard-settled")
         after, pieces = _loads(settled, shards)
+        _LOG.info("settling: %d cuts left by propagation, %d after", cuts[-1], pieces - hubs)
         if pieces - hubs < cuts[-1]:
+            cuts.append(pieces - hubs)
             return settled, after
     return state, loads
 
@@ -195,9 +210,15 @@ def _settle(state: DataFrame, quotas: list[int], big: int) -> DataFrame:
 
 
 def assign_shards(
-    docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    shards: int = SHARDS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    settle: bool = True,
+    cuts: list[int] | None = None,
 ) -> DataFrame:
-    """(id, size, text_crc32, shard, slot) of every row; shard sizes differ by at most one row."""
+    """(id, size, text_crc32, shard, slot) of every row; shard sizes differ by at most one row.
+    ``settle`` and ``cuts`` are those of ``propagate``."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("id"),
@@ -212,7 +233,7 @@ def assign_shards(
     dealt = rows.groupBy("hub", F.pmod("rid", F.lit(shards)).cast("int").alias("shard"))
     state = dealt.agg(F.count(F.lit(1)).alias("n"))
     state = state.withColumn("all", F.sum("n").over(Window.partitionBy("hub"))).filter("all > 1").drop("all")
-    state, loads = propagate(stage(state, "shard-state"), quotas)
+    state, loads = propagate(stage(state, "shard-state"), quotas, settle, cuts)
 
     # the rows of a hub, in order, fill its shards' intervals
     upto = F.sum("n").over(Window.partitionBy("hub").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
