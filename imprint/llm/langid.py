@@ -1,12 +1,15 @@
 """Language identification by compression (operator 6).
 
 Every language's training text becomes a raw-content zstandard dictionary.  A text is put in
-lower case, ASCII other than letters becomes blank, and it is cut into of BLOCK bytes; each block is compressed with every dictionary, and the language with the
-smallest total wins.  The score is the saving over the runner-up; narrow margins are rejected.
+lower case, ASCII other than letters becomes blank, and it is cut into blocks of BLOCK bytes; each
+block is compressed with every dictionary, and the language with the smallest total wins.  The
+score is the saving over the runner-up; narrow margins are rejected.
 
-The dictionaries are fitted on a bounded sample: at most SAMPLE_DOCS texts per language (those of
-smallest id hash) of at most SAMPLE_BYTES each, DICT_BYTES per language in all.  Only these
-bytes reach the driver; prediction reads every whole text.
+The dictionaries are fitted on a bounded sample: SAMPLE_DOCS ids per language (those of smallest id
+hash, one row each), and of each text a window of at most WINDOW bytes, placed by the hash anywhere
+in the whole text.  All windows fit into DICT_BYTES, so a dictionary holds one of every sampled row
+(up to 200 rows of a language).  Only these bytes reach the driver, at most TOTAL_BYTES for all
+languages; more than MAX_LANGS languages raise an error.  Prediction reads every whole text.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0; equal sizes go to
 the language with more training rows (then the first by name) with score 0; a text far longer than a block is scored
@@ -22,7 +25,7 @@ from collections.abc import Iterator  # noqa: F401 (also read by pandas_udf)
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from imprint._ship import ship_with_tasks
@@ -34,9 +37,11 @@ LEVEL = 5
 MIN_MATCH = 3
 BLOCK = 32 * 1024
 DICT_BYTES = 160 * 1024
-SAMPLE_DOCS = 700
-OVERSAMPLE = 2
-SAMPLE_BYTES = 1024
+SAMPLE_DOCS = 200
+WINDOW = 800
+OVERSAMPLE = 4
+MAX_LANGS = 200
+TOTAL_BYTES = 16 << 20
 #: Least saving of the winner over the runner-up; below it a text is rejected.
 MIN_MARGIN = 0.004
 
@@ -52,9 +57,9 @@ def train_dictionaries(
     """Language -> dictionary bytes, from the rows ``where`` holds with a language and a text.
 
     The sample is even over the ids: a first aggregate counts the rows of each language, and a
-    threshold on the row hash admits about OVERSAMPLE * SAMPLE_DOCS rows of each, whatever its
-    size; repeated rows count once.  These reach the driver, which keeps the SAMPLE_DOCS of
-    smallest hash.
+    threshold on the id hash admits about OVERSAMPLE * SAMPLE_DOCS of them, whatever their number;
+    the SAMPLE_DOCS smallest hashes of each language are kept, with one window each, before anything
+    is collected.
     """
     rows = docs.select(
         F.col(lang_col).cast("string").alias("lang"),
@@ -62,21 +67,28 @@ def train_dictionaries(
         F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")).alias("h"),
         where.alias("use"),
     ).filter("use and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("ids"))
+    sizes = {r["lang"]: (r["n"], r["ids"]) for r in counts.limit(MAX_LANGS + 1).collect()}
     if not sizes:
         return {}
-    share = F.coalesce(*(
-        F.when(F.col("lang") == lang, F.lit(min(1.0, OVERSAMPLE * SAMPLE_DOCS / n))) for lang, n in sorted(sizes.items())
-    ))
-    near = rows.filter(F.pmod("h", F.lit(1 << 48)) < share * (1 << 48))
-    text = F.substring(F.encode(F.trim("text"), "UTF-8"), 1, SAMPLE_BYTES)
-    near = near.select("lang", "h", text.alias("b")).filter(F.length("b") > 0).distinct()
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages to learn")
+    shares = [(lang, min(1.0, OVERSAMPLE * SAMPLE_DOCS / max(ids, 1))) for lang, (_, ids) in sizes.items()]
+    shares = docs.sparkSession.createDataFrame(shares, "lang string, share double")
+    near = rows.join(F.broadcast(shares), "lang").filter(F.pmod("h", F.lit(1 << 48)) < F.col("share") * (1 << 48))
+    b = F.encode(F.trim("text"), "UTF-8")
+    start = F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.length(b) - F.lit(WINDOW - 1))).cast("int")
+    near = near.select("lang", "h", F.substring(b, start + 1, F.lit(WINDOW)).alias("b")).filter(F.length("b") > 0)
+    near = near.groupBy("lang", "h").agg(F.min("b").alias("b"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    near = near.withColumn("place", first).filter(F.col("place") <= SAMPLE_DOCS)
     sample: dict[str, list] = {}
-    for row in sorted(near.collect(), key=lambda x: (x["lang"], x["h"], x["b"])):
+    for row in sorted(near.collect(), key=lambda x: (x["lang"], x["h"])):
         sample.setdefault(row["lang"], []).append(plain(bytes(row["b"]).decode("utf-8", "ignore")))
-    order = sorted(sample, key=lambda lang: (-sizes[lang], lang))
+    order = sorted(sample, key=lambda lang: (-sizes[lang][0], lang))
+    most = min(DICT_BYTES, TOTAL_BYTES // len(order)) if order else 0
     # the smallest hashes last, nearest to what is compressed
-    return {lang: b"\n".join(sample[lang][SAMPLE_DOCS - 1 :: -1])[-DICT_BYTES:] + b"\n" for lang in order}
+    return {lang: b"\n".join(sample[lang][::-1])[-most:] + b"\n" for lang in order}
 
 
 _PLAIN = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
