@@ -2,8 +2,9 @@
 
 Words are runs of non-blank characters (blank: space and U+0009 to U+000D).  For each text a
 rolling polynomial hash over word hashes gives every n-gram of lengths 5 to 10 in NumPy; the
-characters inside n-grams that occur twice or more (first occurrence included) are measured
-against all word characters, and repeated lines against all lines.  A text without a repeated
+characters inside n-grams that repeat an earlier one are measured against all word characters,
+and repeated lines against all lines.  The base rule counts the words inside 5-grams that occur
+twice or more, the first occurrence included.  A text without a repeated
 5-gram has no longer one either, so the longer lengths run only where they can matter.
 
 Defined results: a null or empty text has no words and fails the base rules; a text of one
@@ -27,9 +28,8 @@ from imprint._ship import ship_with_tasks
 ship_with_tasks(__name__)
 
 NGRAMS = (5, 6, 7, 8, 9, 10)
-#: Largest share of word characters inside repeated n-grams of each length (first occurrence
-#: included, so twice the usual share of later repeats).
-MAX_NGRAM_SHARE = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
+#: Largest share of word characters inside n-grams of each length that repeat an earlier one.
+MAX_NGRAM_SHARE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 #: Largest share of lines, and of line characters, that repeat an earlier line.
 MAX_DUP_LINES = 0.30
 MAX_DUP_LINE_CHARS = 0.20
@@ -54,8 +54,16 @@ def code_points(b: bytes) -> int:
     return len(b) - int(np.count_nonzero((np.frombuffer(b, np.uint8) & 0xC0) == 0x80))
 
 
-def covered(hashes: np.ndarray, n: int) -> np.ndarray | None:
-    """Which words lie in an n-gram found twice or more; None if there is none."""
+def _inside(starts: np.ndarray, n: int, words: int) -> np.ndarray:
+    edge = np.zeros(words + 1, np.int32)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + n, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def covered(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Which words lie in an n-gram found twice or more, and which in one that repeats an earlier
+    one; None if no n-gram repeats."""
     m = len(hashes) - n + 1
     if m < 2:
         return None
@@ -63,15 +71,12 @@ def covered(hashes: np.ndarray, n: int) -> np.ndarray | None:
     for j in range(1, n):
         gram *= _BASE
         gram += hashes[j : j + m]
-    order = np.sort(gram)
-    twice = order[1:][order[1:] == order[:-1]]
-    if not len(twice):
+    order = np.argsort(gram, kind="stable")
+    same = gram[order[1:]] == gram[order[:-1]]
+    if not same.any():
         return None
-    starts = np.flatnonzero(np.isin(gram, twice))
-    edge = np.zeros(len(hashes) + 1, np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + n, -1)
-    return np.cumsum(edge[:-1]) > 0
+    later, every = order[1:][same], np.concatenate((order[1:][same], order[:-1][same]))
+    return _inside(every, n, len(hashes)), _inside(later, n, len(hashes))
 
 
 def text_metrics(text: bytes | None) -> tuple:
@@ -97,13 +102,13 @@ def text_metrics(text: bytes | None) -> tuple:
         hashes = np.fromiter(map(hash, words), np.int64, n).view(np.uint64)
         lens = None
         for k in NGRAMS:
-            mask = covered(hashes, k)
-            if mask is None:
+            masks = covered(hashes, k)
+            if masks is None:
                 break
             if lens is None:
                 lens = np.fromiter((len(w) if w.isascii() else code_points(w) for w in words), np.int64, n)
-                repeat = int(mask.sum())
-            chars[k] = int(lens[mask].sum())
+                repeat = int(masks[0].sum())
+            chars[k] = int(lens[masks[1]].sum())
     return (
         n, code_points(b) - blanks, symbols, dup_lines, repeat,
         len(lines), line_chars, dup_line_chars, *chars.values(),

@@ -56,12 +56,13 @@ WITH g AS (
   FROM embeddings
   WHERE embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+q AS (SELECT *, row_number() OVER () AS number FROM g WHERE vec_id % 50 = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
+  SELECT q.number, q.vec_id AS query_id, c.vec_id,
     CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM g q JOIN g c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+  FROM q JOIN g c ON q.vec_id <> c.vec_id),
 r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+  SELECT *, row_number() OVER (PARTITION BY number ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
@@ -86,15 +87,19 @@ lines AS (
     leads = ", ".join(f"lead(word, {i}) OVER x AS w{i}" for i in range(10))
     parts.append(f"""
 next AS (SELECT r, pos, {leads} FROM word WINDOW x AS (PARTITION BY r ORDER BY pos))""")
-    shares = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
+    shares = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
     for n in shares:
         words = ", ".join(f"w{i}" for i in range(n))
         parts.append(f"""
 gram{n} AS (
-  SELECT r, pos, count(*) OVER (PARTITION BY r, concat_ws(' ', {words})) AS c FROM next WHERE w{n - 1} IS NOT NULL),
+  SELECT r, pos, row_number() OVER (PARTITION BY r, concat_ws(' ', {words}) ORDER BY pos) AS copy,
+         count(*) OVER (PARTITION BY r, concat_ws(' ', {words})) AS c
+  FROM next WHERE w{n - 1} IS NOT NULL),
 dup{n} AS (
-  SELECT r, count(*) AS words, sum(length(word)) AS chars
-  FROM (SELECT DISTINCT r, pos + unnest(range({n})) AS pos FROM gram{n} WHERE c > 1) JOIN word USING (r, pos) GROUP BY r)""")
+  SELECT r, count(*) AS words, sum(length(word)) FILTER (later) AS chars
+  FROM (SELECT r, pos, bool_or(copy > 1) AS later
+        FROM (SELECT r, copy, pos + unnest(range({n})) AS pos FROM gram{n} WHERE c > 1) GROUP BY r, pos)
+  JOIN word USING (r, pos) GROUP BY r)""")
     joins = " ".join(f"LEFT JOIN dup{n} USING (r)" for n in shares)
     dups = ", ".join(f"CAST(coalesce(dup{n}.chars, 0) AS BIGINT) AS dup_chars_{n}" for n in shares)
     fine = " AND ".join(f"dup_chars_{n} <= {s}::DOUBLE * word_chars" for n, s in shares.items())

@@ -1,5 +1,6 @@
 """Web pages, archive records, vectors and the pipeline against brute-force versions."""
 
+import collections
 import datetime
 import html as htmllib
 import math
@@ -221,8 +222,31 @@ def test_topk_matches_brute_force_with_ties_and_bad_vectors(spark):
         out = topk.top_k(df, F.col("id") % 50 == 0, candidates=candidates, queries=queries)
         assert sorted(map(tuple, out.collect())) == want
     assert topk.top_k(df.limit(0), F.col("id") % 50 == 0).count() == 0
-    with pytest.raises(Exception, match="too large"):
-        topk.top_k(spark.createDataFrame([(0, [1e9])], "vec_id long, embedding array<float>"), F.col("id") == 0).collect()
+
+
+def test_topk_repeated_query_rows_and_large_components(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(0, 1, 6).tolist()) for i in range(60)]
+    rows += [(50, rows[50][1]), (50, rows[3][1])]  # the id of a query three times, twice with one vector
+    schema = "vec_id long, embedding array<double>"
+    out = topk.top_k(spark.createDataFrame(rows, schema), F.col("id") == 50, candidates=7, queries=2).collect()
+    want = collections.Counter()
+    for q, a in rows:
+        if q == 50:
+            dot = lambda b: sum(math.floor(256 * x) * math.floor(256 * y) for x, y in zip(a, b))  # noqa: B023, E731
+            best = sorted((-dot(b), c) for c, b in rows if c != 50)[:5]
+            want.update((50, n, c, -s) for n, (s, c) in enumerate(best, 1))
+    assert collections.Counter(map(tuple, out)) == want and len(out) == 15
+
+    large = [(i, [float(rng.integers(-(2**40), 2**40)) for _ in range(9)]) for i in range(80)]
+    large += [(100, [1e9] * 9), (101, [-1e9] * 9), (150, [1e300] + [0.0] * 8), (151, [1e300] + [0.0] * 8)]
+    got = topk.top_k(spark.createDataFrame(large, schema), F.col("id") % 50 == 0, candidates=30).collect()
+    top = (1 << 63) - 1
+    scaled = {i: [max(-top - 1, min(top, math.floor(256 * x))) for x in v] for i, v in large}
+    for q in (0, 50, 100, 150):
+        best = sorted((-sum(x * y for x, y in zip(scaled[q], v)), c) for c, v in scaled.items() if c != q)[:5]
+        mine = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+        assert mine == [(n, c, max(-top - 1, min(top, -s))) for n, (s, c) in enumerate(best, 1)]
 
 
 def test_bounds_drop_candidates_and_keep_the_best():
@@ -263,7 +287,7 @@ def test_clean_documents_stay(spark):
     assert rows.count() > 100 and rows.filter("not kept").count() == 0
 
 
-def test_eleven_queries_are_registered():
+def test_all_queries_are_registered():
     names = list(registry())
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names[:-1]] == list(range(1, 11)) and names[-1] == "pipeline"
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names[:-1]] == list(range(1, 14)) and names[-1] == "pipeline"
     assert set(oracle_queries()) <= set(names)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -77,10 +78,27 @@ def test_repetition_matches_brute_force(docs, rows, empty):
 def test_repetition_measures_longer_ngrams():
     line = "a bb ccc dddd eeeee f"
     m = dict(zip((c.split()[0] for c in repetition.METRICS.split(", ")), repetition.text_metrics(f"{line} x {line}".encode())))
-    assert m["dup_chars_5"] == m["dup_chars_6"] == 2 * len(line.replace(" ", ""))
+    assert m["dup_chars_5"] == m["dup_chars_6"] == len(line.replace(" ", ""))  # the later occurrence
     assert m["dup_chars_7"] == 0
 
 
+def test_repetition_coverage_can_decide(spark):
+    """A passage repeated through an otherwise fine text: base passes it, coverage does not."""
+    passage = " ".join(f"passage{i}" for i in range(20))
+    parts = [passage + " " + " ".join(f"w{k}x{i}" for i in range(91)) for k in range(9)]
+    df = spark.createDataFrame([(1, " ".join(parts)), (2, " ".join(parts[:2] + [f"u{i}" for i in range(700)]))], "doc_id long, text string")
+    got = {r.doc_id: r for r in repetition.judged(repetition.repetition_metrics(df)).collect()}
+    assert not got[1].base_failed and not got[1].kept
+    assert not got[2].base_failed and got[2].kept
+
+
+def test_repetition_loses_no_good_document(spark):
+    sf = "/root/testdata/sf0.01"
+    out = repetition.judged(repetition.repetition_metrics(spark.read.parquet(f"{sf}/documents.parquet")))
+    good = spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").select("doc_id")
+    assert out.join(good, "doc_id").filter("not base_failed and not kept").count() == 0
+
+
 def test_quality_filter_keeps_rows_and_clashing_columns(spark, empty):
     good = " ".join(f"word{i}" for i in range(40))
     df = spark.createDataFrame([(1, good, 5, True), (1, good, 5, True), (2, "few", 6, True)], "doc_id long, text string, n_words int, kept boolean")
@@ -277,6 +295,29 @@ def test_language_id_on_held_out_rows(spark, sf_dir, docs, empty):
     assert langid.language_filter(empty).columns == empty.columns and langid.language_filter(empty).count() == 0
 
 
+def test_language_samples_are_bounded_and_from_whole_texts(spark, monkeypatch):
+    """One window of a repeated id, windows anywhere in long texts, no more than SAMPLE_DOCS rows."""
+    rows = [(7, f"copy number {i} of one id", "en") for i in range(3000)]
+    rows += [(100 + i, "x" * 5000 + " " + "tail " * 1000, "la") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.train_dictionaries(df, F.lit(True))
+    assert got["en"].count(b"copy number") == 1
+    assert b"xxx" in got["la"] and b"tail tail" in got["la"]
+    assert len(got["la"]) <= 40 * (langid.WINDOW + 1) + 1
+    many = spark.createDataFrame([(i, f"word{i % 9} " * 50, "en") for i in range(5000)], "doc_id long, text string, lang string")
+    assert langid.train_dictionaries(many, F.lit(True))["en"].count(b"\n") == langid.SAMPLE_DOCS
+    monkeypatch.setattr(langid, "MAX_LANGS", 1)
+    with pytest.raises(ValueError, match="more than 1 languages"):
+        langid.train_dictionaries(df, F.lit(True))
+
+
+def test_equal_sizes_go_to_the_larger_language(spark):
+    same = b"some words that are common to both of them " * 9
+    df = spark.createDataFrame([(1, "some words that are common"), (1, "some words that are common")], "doc_id long, text string")
+    out = langid.predict(df, {"bb": same, "aa": same}).collect()
+    assert [(r.lang_pred, r.score, r.accepted) for r in out] == [("bb", 0.0, False)] * 2
+
+
 def test_language_training_ignores_other_rows(spark):
     df = spark.createDataFrame([(1, "the cat", "en"), (2, "der hund", "de"), (3, "le chien", None), (4, None, "fr")], "doc_id long, text string, lang string")
     got = langid.train_dictionaries(df, F.col("doc_id") != 2)
@@ -367,6 +408,48 @@ def test_full_shards_exchange_rows(spark):
         assert sum(len(s) - 1 for s in shards.values()) <= 7
 
 
+def recount(out, text):
+    shards = collections.defaultdict(set)
+    for r in out:
+        shards[text[r.doc_id]].add(r.shard)
+    return sum(len(s) - 1 for s in shards.values())
+
+
+def test_propagation_works_at_every_size(spark):
+    """Rounds run on a small and on the registered table, never raise the cut, and do the work."""
+    data = [(i, f"pair{i // 2}") for i in range(300)] + [(1000 + i, f"tri{i // 3}") for i in range(300)]
+    data += [(2000 + i, "hot") for i in range(300)] + [(5000 + i, f"u{i}") for i in range(100)]
+    small = spark.createDataFrame(data, "doc_id long, text string")
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    for df, most in ((small, 10), (table, 0)):
+        cuts: list[int] = []
+        out = sharding.assign_shards(df, settle=False, cuts=cuts).collect()
+        assert len(cuts) > 1 and cuts[0] > 0 and cuts == sorted(cuts, reverse=True)
+        assert cuts[-1] <= most  # what propagation alone leaves
+        assert recount(out, {r.doc_id: r.text for r in df.collect()}) == cuts[-1]
+
+
+def test_shards_against_every_assignment(spark):
+    """The cut of tiny tables is that of the best assignment, or one more."""
+    for groups, shards in (([4, 3, 2, 1, 1, 1], 2), ([3, 3, 3, 2, 1], 3)):
+        data = [(i, f"g{g}") for i, g in enumerate(g for g, n in enumerate(groups) for _ in range(n))]
+        sizes = [len(data) // shards + (s < len(data) % shards) for s in range(shards)]
+
+        def least(left, room):
+            if not left:
+                return 0
+            best = 99
+            for split in itertools.product(range(left[0] + 1), repeat=shards):
+                if sum(split) == left[0] and all(a <= b for a, b in zip(split, room)):
+                    cut = sum(x > 0 for x in split) - 1
+                    best = min(best, cut + least(left[1:], [b - a for a, b in zip(split, room)]))  # noqa: B023
+            return best
+
+        out = sharding.assign_shards(spark.createDataFrame(data, "doc_id long, text string"), shards).collect()
+        check_shards(out, data, shards)
+        assert recount(out, dict(data)) <= least(groups, sizes) + 1
+
+
 def test_wishes_are_admitted_in_circles_and_into_free_places():
     full = [0, 0, 0]
     assert sharding.admitted([[0, 5, 0], [3, 0, 0], [0, 0, 0]], full) == [[0, 3, 0], [3, 0, 0], [0, 0, 0]]
