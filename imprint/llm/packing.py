@@ -8,8 +8,9 @@ emptiest of the other, until one partition is left.  If its fullest window excee
 the number of windows rises and the group is divided anew.
 
 Defined results: a null or empty text is its end id alone; repeated rows, repeated and null ids
-are packed row by row; a very long text gives whole windows and one rest; an empty table gives an
-empty result; extra columns are ignored.
+are packed row by row; a very long text gives whole windows and one rest; among equal lengths and
+equal imbalances the row that came first goes first; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -14,9 +14,10 @@ rotation before the full Hamming distance is taken, and is kept only at its firs
 Skew: equal fingerprints are one node.  Keys of up to SMALL_KEY fingerprints are joined; larger
 ones are dealt into blocks of about BLOCK rows, every pair of blocks is one bounded Arrow group,
 and it returns a spanning forest of its links instead of all of them, which keeps every
-component.  Components come from the library's star joins, written round by round.
+component.  Components come from star joins, written round by round.
 
-Defined results: a null or empty text has fingerprint zero and is linked like any other; rows
+Defined results: a null or empty text has fingerprint zero and is linked like any other; a very
+long text is read whole, its shingles are counted in blocks; rows
 with a null id get their group's smallest non-null id (null if there is none); repeated rows
 stay; an empty table gives an empty result; extra columns are ignored.
 """
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from imprint._ship import ship_with_tasks
 from imprint.llm.common import stage
-from imprint.operators.components import components
+from imprint.llm.components import components
 
 ship_with_tasks(__name__)
 
@@ -215,7 +216,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, distance:
     """(id, fp) of every row, and (fp, root, component_id) of every fingerprint."""
     marked = stage(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
     nodes = stage(marked.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
-    parts = stage(components(links(nodes, distance)), "simhash-parts")
+    parts = stage(components(links(nodes, distance), "simhash"), "simhash-parts")
     linked = stage(parts.join(nodes, parts.node == nodes.fp).select("fp", "root", "least"), "simhash-linked")
     lowest = stage(linked.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-lowest")
     grouped = linked.join(lowest, "root").select("fp", "root", "component_id")
@@ -255,8 +256,8 @@ def one_per_group(
     )
     per_id = stage(per_id.filter("n_lowest > 0"), "simhash-picks")
     row = docs.select(F.struct(*docs.columns).alias("_row")).withColumn("_id", F.col("_row")[id_col])
-    # the texts are shuffled once at every size; the hashed side is a partition's share of ids
-    single = per_id.filter("n = 1 and id is not null").select("id").hint("shuffle_hash")
+    # the texts are shuffled once at every size, and both sides can spill
+    single = per_id.filter("n = 1 and id is not null").select("id").hint("merge")
     sure = row.join(single, row._id == single.id, "left_semi").select("_row")
     several = per_id.filter("n > 1 or id is null").select("id")
     if several.isEmpty():  # no id is repeated or null
