@@ -44,6 +44,7 @@ SAMPLE_PER_LABEL = 2000
 NEIGHBOURS = 25
 SHARPNESS = 8  # power of the similarity in a vote
 BLOCK = 512
+GRID = 1 << 20  # similarities are rounded to multiples of its inverse
 MAX_WORDS = 300_000  # entries of a task's word table
 
 _SHAPES = bytes(
@@ -106,10 +107,15 @@ class Model:
         """The vote of each text's nearest labelled vectors."""
         if not len(self.vectors):
             return np.full(len(texts), self.prior)
-        alike = self.latent(texts) @ self.vectors.T
-        k = min(NEIGHBOURS, alike.shape[1])
-        near = np.argpartition(-alike, k - 1, axis=1)[:, :k]
-        vote = np.maximum(np.take_along_axis(alike, near, 1), 0).astype(np.float64) ** SHARPNESS * self.votes[near]
+        n = len(texts)  # blocks of one shape give a row the same products in any block
+        pad = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * (-n % BLOCK)
+        alike = (self.latent([*texts, *pad]) @ self.vectors.T)[:n]
+        grid = np.rint(alike.astype(np.float64) * GRID).astype(np.int64)
+        m = alike.shape[1]
+        k = min(NEIGHBOURS, m)
+        key = grid * m - np.arange(m)  # ties go to the labelled row that comes first
+        near = np.sort(np.argpartition(-key, k - 1, axis=1)[:, :k], axis=1)
+        vote = (np.maximum(np.take_along_axis(grid, near, 1), 0) / GRID) ** SHARPNESS * self.votes[near]
         total = vote.sum(axis=1)
         ones = (vote * self.labels[near]).sum(axis=1)
         return np.where(total > 0, ones / np.where(total > 0, total, 1), self.prior).clip(0, 1)
