@@ -4,10 +4,12 @@ Texts are cut into blank-delimited words, block by block: a block is a run of ro
 about BLOCK_BYTES of text.  The distinct words of a block, in order of appearance, are dealt by
 word hash into the parts of one word table; all copies of a word meet in one part, where it is
 encoded once.  The ids return to their block in the same order, so they are joined back by
-position with the block's texts, which travel compressed.  Decoding looks the ids of a block's
-words up in the id-to-piece table (the tokenizer's vocabulary, of fixed size, in every task) and
-joins pieces by one space, as the tokenizer's decode does; ``decode`` does the same for any
-table of ids as a broadcast join.
+position with the block's texts, which travel compressed.  For decoding, the distinct ids of a
+block are joined with the id-to-piece table (an Arrow join in the task with the tokenizer's
+vocabulary, of fixed size), and the pieces of each word are put back beside its ids; pieces are
+joined by one space, as the tokenizer's decode does.  ``decode`` does the same for any table of ids
+as a broadcast join of Spark's.  Digests are taken where the strings are made, so that neither ids
+nor decoded texts leave the task for them.
 
 Skew: a word is sent once per block however often it occurs, so the hottest word is no more than
 one entry per block; blocks are bounded by bytes (a longer text is a block of its own).  A
@@ -43,6 +45,7 @@ ship_with_tasks(__name__)
 BLOCK_BYTES = 8 << 20
 BLOCK_ROWS = 1 << 16
 PARTS_PER_PARTITION = 2
+MAX_KNOWN = 1 << 18  # words whose ids a task of the word table holds at once
 TEXTS = -1  # the part that marks a block's texts
 
 Row = tuple[int, int, bytes, bytes | None]
@@ -91,11 +94,27 @@ def _word_parts(texts: list[bytes], parts: int) -> list[list[bytes]]:
     return out
 
 
+def _pieces_of(tokens: list[np.ndarray], path: str) -> dict[int, str]:
+    """Id to piece, by a join of the distinct ids with the id-to-piece table."""
+    shared = worker_table("words", path)
+    if not hasattr(shared, "piece_table"):
+        n = len(shared.pieces)
+        shared.piece_table = pa.table({"token": pa.array(range(n), pa.uint32()), "piece": shared.pieces})
+    distinct = np.unique(np.concatenate(tokens)) if tokens else np.zeros(0, np.uint32)
+    found = pa.table({"token": pa.array(distinct, pa.uint32())}).join(shared.piece_table, "token", join_type="inner", use_threads=False)
+    return dict(zip(found.column("token").to_pylist(), found.column("piece").to_pylist()))
+
+
 def encode(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = wordbpe.TOKENIZER
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    tokenizer: str = wordbpe.TOKENIZER,
+    digests: bool = False,
 ) -> DataFrame:
     """(id, n_tokens, ids, decoded) of every row's whole text; ``ids`` in decimal, joined by one
-    space, ``decoded`` the pieces of the ids joined by one space."""
+    space, ``decoded`` the pieces of the ids joined by one space.  With ``digests`` both are the
+    lowercase hex SHA-256 of that string in UTF-8."""
     parts = partitions(docs) * PARTS_PER_PARTITION
     src = docs.select(
         F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").cast("binary").alias("b")
@@ -125,6 +144,8 @@ def encode(
                 for w in plain.decompress(data).split(b" "):
                     ids = known.get(w)
                     if ids is None:
+                        if len(known) >= MAX_KNOWN:  # encoded again if they come again
+                            known.clear()
                         ids = known[w] = encoder(w)
                     found.append(ids)
                 counts = np.fromiter(map(len, found), "<u4", len(found))
@@ -134,9 +155,12 @@ def encode(
 
     def put_back(rows: pd.DataFrame) -> pd.DataFrame:
         path = wordbpe.tokenizer_path(tokenizer)
-        pieces = worker_table("words", path).pieces
         plain = zstandard.ZstdDecompressor()
-        answers = {p: (bytes(d), int.from_bytes(n, "little")) for p, d, n in zip(rows["part"], rows["data"], rows["ids"]) if p != TEXTS}
+        answers: dict[int, tuple[int, np.ndarray]] = {}
+        for p, d, n in zip(rows["part"], rows["data"], rows["ids"]):
+            if p != TEXTS:
+                answers[p] = int.from_bytes(n, "little"), np.frombuffer(plain.decompress(bytes(d)), "<u4")
+        pieces = _pieces_of([numbers[n:] for n, numbers in answers.values()], path)
         out = []
         for p, data, names in zip(rows["part"], rows["data"], rows["ids"]):
             if p != TEXTS:
@@ -151,10 +175,9 @@ def encode(
             for part, words in enumerate(_word_parts(texts, parts)):
                 if not words:
                     continue
-                data, n = answers[part]
+                n, numbers = answers[part]
                 if n != len(words):
                     raise RuntimeError("a block's words changed between two scans of the input")
-                numbers = np.frombuffer(plain.decompress(data), "<u4")
                 stops = np.cumsum(numbers[:n]).tolist()
                 flat = numbers[n:].tolist()
                 at = 0
@@ -169,7 +192,10 @@ def encode(
                 if silent:  # words that the tokenizer drops
                     words = [w for w in words if decimal[w]]
                 line = " ".join([decimal[w] for w in words])
-                out.append((i, line.count(" ") + 1 if line else 0, line, " ".join([spelled[w] for w in words])))
+                n_tokens, again = line.count(" ") + 1 if line else 0, " ".join([spelled[w] for w in words])
+                if digests:
+                    line, again = (hashlib.sha256(x.encode()).hexdigest() for x in (line, again))
+                out.append((i, n_tokens, line, again))
         return pd.DataFrame(out, columns=["id", "n_tokens", "ids", "decoded"])
 
     words = src.mapInArrow(split, SCHEMA).repartition("part").mapInArrow(number, SCHEMA)

@@ -57,10 +57,8 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of the ids and the decoded text of every document."""
-    out = distinct_bpe.encode(read_table(spark, sf_dir, "documents"))
-    return out.select(
-        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    out = distinct_bpe.encode(read_table(spark, sf_dir, "documents"), digests=True)
+    return out.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

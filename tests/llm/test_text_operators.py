@@ -295,6 +295,29 @@ def test_language_id_on_held_out_rows(spark, sf_dir, docs, empty):
     assert langid.language_filter(empty).columns == empty.columns and langid.language_filter(empty).count() == 0
 
 
+def test_languages_equal_plain_compression(spark):
+    """Sizes by another route: one frame for each block with a plain dictionary."""
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    learned = langid.train_dictionaries(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), langid.learn_from())
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, learned).collect()}
+    how = zstandard.ZstdCompressionParameters.from_level(
+        langid.LEVEL, source_size=langid.BLOCK, dict_size=langid.DICT_BYTES, min_match=langid.MIN_MATCH, write_content_size=False
+    )
+    for r in docs.collect()[:60]:
+        text = "".join(c if c.isalpha() or ord(c) > 127 else " " for c in (r.text or "").lower()).encode()
+        sizes = {}
+        for lang, content in learned.items():
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            parts = [text[i : i + langid.BLOCK] for i in range(0, len(text), langid.BLOCK)]
+            sizes[lang] = sum(len(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress(x)) for x in parts)
+        if any(c.isalpha() for c in r.text or ""):
+            assert sizes[got[r.doc_id]] == min(sizes.values())
+        else:
+            assert got[r.doc_id] == "und"
+
+
 def test_language_samples_are_bounded_and_from_whole_texts(spark, monkeypatch):
     """One window of a repeated id, windows anywhere in long texts, no more than SAMPLE_DOCS rows."""
     rows = [(7, f"copy number {i} of one id", "en") for i in range(3000)]
@@ -457,6 +480,29 @@ def test_wishes_are_admitted_in_circles_and_into_free_places():
     assert sharding.admitted([[0, 5, 0], [0, 0, 4], [0, 0, 0]], [0, 0, 3]) == [[0, 3, 0], [0, 0, 3], [0, 0, 0]]
 
 
+def test_quality_votes_equal_brute_force_in_any_partitioning(spark):
+    """Every labelled vector, one by one, in doubles; and the same scores however rows are dealt."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = knn_quality.fit(docs, labels, knn_quality.learn_from())
+    docs = docs.unionByName(docs.limit(20))  # repeated rows
+    scores = [
+        sorted((r.doc_id, r.score, r.predicted) for r in knn_quality.score(docs.repartition(n), model).collect()) for n in (1, 7)
+    ]
+    assert scores[0] == scores[1]
+    seen = {}
+    for i, score, _ in scores[0]:
+        assert seen.setdefault(i, score) == score
+    count = knn_quality.Counter()
+    vectors = model.vectors.astype(float)
+    for r in docs.limit(60).collect():
+        mine = model.latent([count((r.text or "").encode())])[0].astype(float)
+        votes = sorted(((-sum(a * b for a, b in zip(mine, v)), j) for j, v in enumerate(vectors)))[: knn_quality.NEIGHBOURS]
+        weight = [max(-s, 0.0) ** knn_quality.SHARPNESS * model.votes[j] for s, j in votes]
+        want = sum(w for w, (_, j) in zip(weight, votes) if model.labels[j]) / sum(weight) if sum(weight) else model.prior
+        assert abs(seen[r.doc_id] - want) < 1e-3
+
+
 def test_registered_digests(spark, sf_dir, tokenizer):
     rows = registry()["op5_distinct_word_bpe"](spark, sf_dir).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
