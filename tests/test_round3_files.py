@@ -2,17 +2,18 @@
 
 import os
 import re
-import time
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from imprint.operators.index import index_changes, to_hash, update_index
+from imprint.sources.exif import Ranged, exif_tags, read_exif
 from imprint.plans.jobs import find_similar, refresh_index
 from imprint.sources.images import decode_wanted, hash_one
 from imprint.sources.index_store import append_index, read_index, retain_index, write_index
 from imprint.sources.listing import list_images
-from tests.test_files import pattern, png_bytes
+from test_files import _tiff_with_dates, pattern, png_bytes
 
 SCHEMA = "path string, mtime timestamp_ntz, h long"
 
@@ -134,3 +135,52 @@ def test_query_image_outside_the_index(spark, tmp_path):
         with pytest.raises(ValueError, match=bad):
             find_similar(spark, str(d), base, str(other / bad))
     assert hash_one(spark, str(other / "p2.png")) == hash_one(spark, str(d / "p2.png"))
+
+
+ORIGINAL, PLAIN = "2023:07:08 09:10:11", "2024:01:02 03:04:05"
+
+
+def big_files():
+    """Files of five megabytes whose dates come late, or lie behind large chunks."""
+    tiff, filler = _tiff_with_dates(ORIGINAL, PLAIN), bytes(5 << 20)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + b"crc!"
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bytes(13)) + chunk(b"IDAT", filler) + chunk(b"eXIf", tiff) + chunk(b"IEND", b"")
+    piece = lambda kind, data: kind + struct.pack("<I", len(data)) + data + bytes(len(data) % 2)
+    body = piece(b"VP8 ", filler[:-1]) + piece(b"EXIF", b"Exif\0\0" + tiff)
+    webp = b"RIFF" + struct.pack("<I", len(body) + 4) + b"WEBP" + body
+    app = b"".join(b"\xff\xe2" + struct.pack(">H", 60_002) + filler[:60_000] for _ in range(3))
+    jpeg = b"\xff\xd8" + app + b"\xff\xe1" + struct.pack(">H", len(tiff) + 8) + b"Exif\0\0" + tiff + b"\xff\xda" + filler
+    # a TIFF whose directory is at its end
+    late = struct.pack("<H", 1) + struct.pack("<HHI", 306, 2, 20) + struct.pack("<I", 8) + struct.pack("<I", 0)
+    strip = PLAIN.encode() + b"\0" + filler
+    bare = b"II*\0" + struct.pack("<I", 8 + len(strip)) + strip + late
+    no_dates = b"\xff\xd8" + b"\xff\xda" + filler
+    return {"a b.png": png, "w.webp": webp, "j%20.jpg": jpeg, "t.tif": bare, "none.jpeg": no_dates, "cut.png": png[: 6 << 19]}
+
+
+def test_headers_are_read_by_ranges(spark, tmp_path):
+    import io
+
+    want = {
+        "a b.png": (ORIGINAL, PLAIN), "w.webp": (ORIGINAL, PLAIN), "j%20.jpg": (ORIGINAL, PLAIN), "t.tif": (None, PLAIN),
+        "none.jpeg": (None, None), "cut.png": (None, None),
+    }
+    d = tmp_path / "large [1]"
+    d.mkdir()
+    for name, content in big_files().items():
+        (d / name).write_bytes(content)
+        ranged = Ranged(io.BytesIO(content), len(content))
+        assert read_exif(ranged) == read_exif(content) == want[name], name
+        assert ranged.bytes_read < 64 << 10, (name, ranged.bytes_read)
+    (d / "empty.png").write_bytes(b"")
+    got = {r.path.rsplit("/", 1)[1]: (r.exif_original, r.exif_datetime) for r in exif_tags(spark, str(d)).collect()}
+    assert {k: v for k, v in got.items() if k in want} == {k: v for k, v in want.items() if k in got}
+    assert {"a b.png", "j%20.jpg", "none.jpeg", "cut.png"} <= set(got)
+    import imprint.sources.exif as exif
+
+    before, exif._rangeable = exif._rangeable, lambda *_: False
+    try:  # a store that only Spark opens
+        same = {r.path.rsplit("/", 1)[1]: (r.exif_original, r.exif_datetime) for r in exif_tags(spark, str(d)).collect()}
+    finally:
+        exif._rangeable = before
+    assert same == got
