@@ -10,7 +10,10 @@ The seeds are the lexicographically first maximal independent set of the thresho
 Spark computes them with the parallel fix-point of Blelloch, Fineman & Shun (SPAA 2012):
 each round, every undecided hash with no undecided earlier neighbour becomes a seed and its
 later neighbours become covered; decided hashes and their edges leave the working set.  After a
-few rounds the small components that are left are walked one task each.  Each round is a few
+few rounds the small components that are left are walked one task each, and in larger ones chains
+are settled by pointer jumping: a hash with one undecided earlier neighbour is a seed exactly if
+that neighbour is not, so along a chain of such hashes the parity of the distance to its start
+decides, however long it is.  Each round is a few
 equi-joins on the shrinking edge table; its state is written to the shared
 checkpoint folder so the lineage stays one round deep, and one emptiness test per round is the
 only thing the driver sees.
@@ -77,14 +80,38 @@ def _walk(edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"h": np.array(seeds, dtype=np.int64)})
 
 
+def _chain_round(active: DataFrame, undecided: DataFrame) -> DataFrame:
+    """Seeds of one round with pointer jumping: hashes without an undecided earlier neighbour, and
+    of the hashes that hang on such a one by a chain of single earlier neighbours those at an even
+    distance.  Jumps double, so a chain takes the logarithm of its length."""
+    sources = undecided.join(active.select(F.col("dst").alias("h")), "h", "left_anti")
+    sources = cut_lineage(sources, "g1-sources")
+    single = active.groupBy("dst").agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("up")).where(F.col("n") == 1)
+    chain = cut_lineage(single.select(F.col("dst").alias("h"), "up", F.lit(True).alias("odd")), "g1-chain")
+    moved = True
+    while moved:
+        above = chain.select(F.col("h").alias("up"), F.col("up").alias("far"), F.col("odd").alias("also"))
+        step = chain.join(above, "up", "left").select(
+            "h",
+            F.coalesce("far", "up").alias("up"),
+            (F.col("odd") != F.coalesce("also", F.lit(False))).alias("odd"),
+            F.col("far").isNotNull().alias("moved"),
+        )
+        step = cut_lineage(step, "g1-chain")
+        moved = not step.where("moved").isEmpty()
+        chain = step.drop("moved")
+    even = chain.where("not odd").join(sources.select(F.col("h").alias("up")), "up", "left_semi").select("h")
+    return sources.unionByName(even)
+
+
 def leader_seeds(pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Seeds among hashes that have at least one edge, as a one-column ``(h)`` table.
 
     ``pairs`` carries ``first_key_a`` and ``first_key_b``.  Most edges are settled in the first
     few parallel rounds.  What is left then are chains (burst pictures), which take a round per
     two links; so the components of the rest that have at most WALK_EDGES edges are each walked
-    in one task, and only larger ones go on in rounds until no edge is left.  ``max_rounds``
-    raises when hit.
+    in one task, and larger ones go on in rounds that jump along chains until no edge is left.
+    ``max_rounds`` raises when hit.
     """
     active = cut_lineage(_orient(pairs), "g1-edges")
     undecided = cut_lineage(
@@ -104,7 +131,11 @@ def leader_seeds(pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
             new_seeds = cut_lineage(small.groupBy("root").applyInPandas(_walk, "h long"), "g1-seeds")
             decided = small.select(F.col("src").alias("h")).union(small.select(F.col("dst").alias("h"))).distinct()
         else:
-            new_seeds = cut_lineage(undecided.join(active.select(F.col("dst").alias("h")), "h", "left_anti"), "g1-seeds")
+            if rounds > PARALLEL_ROUNDS:
+                new_seeds = cut_lineage(_chain_round(active, undecided), "g1-seeds")
+            else:
+                new_seeds = undecided.join(active.select(F.col("dst").alias("h")), "h", "left_anti")
+                new_seeds = cut_lineage(new_seeds, "g1-seeds")
             covered = active.join(new_seeds.select(F.col("h").alias("src")), "src", "left_semi")
             decided = new_seeds.unionByName(covered.select(F.col("dst").alias("h")))
         next_active = active.join(decided.select(F.col("h").alias("src")), "src", "left_anti").join(
@@ -123,17 +154,26 @@ def duplicate_groups(
     key_col: str = "id",
     hash_col: str = "h",
     plan: BandPlan | None = None,
+    pairs: DataFrame | None = None,
 ) -> DataFrame:
     """G1: ``(group_no, seed_h, <key_col>, h, distance)`` - one row per file per group it is in.
 
     ``group_no`` counts from 1 in seed order; files of a hash in two balls appear in both groups.
+    ``pairs`` (h_a, h_b, distance) are the pairs of the files' distinct hashes within the
+    threshold, where they are known already.
     """
     # fingerprints are costly (decode, hashing) and read twice below: write the narrow table once
     files = cut_lineage(
         files.select(F.col(key_col).alias("_key"), F.col(hash_col).alias("h")).where(F.col("h").isNotNull()), "g1-files"
     )
     nodes = cut_lineage(hash_table(files, "_key", "h"), "g1-hashes")
-    found = similar_pairs(nodes, threshold, "h", plan=plan, distinct_input=True, carry="first_key")  # G1a
+    if pairs is None:
+        found = similar_pairs(nodes, threshold, "h", plan=plan, distinct_input=True, carry="first_key")  # G1a
+    else:
+        first = nodes.select("h", "first_key")
+        found = pairs.select("h_a", "h_b", "distance")
+        for side in "ab":
+            found = found.join(first.toDF(f"h_{side}", f"first_key_{side}"), f"h_{side}")
     found = cut_lineage(found, "g1-pairs")
     seeds = leader_seeds(found)
     pairs = found.select("h_a", "h_b", "distance")

@@ -241,6 +241,9 @@ FROM fp_embed"""
     q["hamming_pairs_blank_docs_t5"] = pairs_sql(FP_DOCS + "," + FP_BLANK, "fp_blank", 5)
     q["neighbours_embed_t20"] = neighbours_sql(20)
     q["closest_non_duplicates_embed_t20"] = closest_sql(20)
+    q["hamming_pairs_docs_delta_t5"] = pairs_sql(
+        FP_DOCS + ",\nfp_now AS (SELECT * FROM fp_docs WHERE id % 7 <> 3)", "fp_now", 5
+    )
     q["closest10_docs"] = closest_batch_sql(FP_DOCS, "fp_docs", 5)
     q["closest10_embed"] = closest_batch_sql(FP_EMBED, "fp_embed", 20)
     q["hash_stats_docs"] = with_(FP_DOCS) + """

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from imprint.functions.naming import dirname
 from imprint.operators.grouping import duplicate_groups, group_listing
 from imprint.operators.hamming import closest_non_duplicates, neighbours
+from imprint.operators.pair_delta import distinct_hashes, first_pairs, update_pairs
 from imprint.operators.index import failed_count, index_changes, run_counts, to_hash, update_index
 from imprint.plans.group_rename import rename_plan
 from imprint.plans.organise import OrganiseOptions, organise_plan, output_dir
@@ -19,6 +20,7 @@ from imprint.session import cut_lineage
 from imprint.sources.exif import exif_tags
 from imprint.sources.images import decode, hash_changed, hash_one
 from imprint.sources.index_store import read_index, write_index
+from imprint.sources.pair_store import read_pairs, write_pairs
 from imprint.sources.listing import list_files, list_images, listed_path
 
 
@@ -37,12 +39,22 @@ def refresh_index(spark: SparkSession, directory: str, base: str, method: str =
     return read_index(spark, base, method).select("path", "mtime", "h"), counts
 
 
+def refresh_pairs(spark: SparkSession, index: DataFrame, base: str, threshold: int, method: str = "phash") -> DataFrame:
+    """Similar pairs of an index's hashes, kept beside it: only hashes that are new since the last
+    run with this threshold are joined, and pairs of hashes that have gone are left out."""
+    now = cut_lineage(distinct_hashes(index), "job-hashes")
+    state = read_pairs(spark, base, method, threshold)
+    pairs = first_pairs(now, threshold) if state is None else update_pairs(state[1], state[0], now, threshold)
+    return write_pairs(now, pairs, base, method, threshold)[1]
+
+
 def find_duplicates(
     spark: SparkSession, directory: str, base: str, threshold: int = 5, method: str = "phash"
 ) -> DataFrame:
     """The folder's near-duplicate groups in listing order (group, distance, path)."""
     index, _ = refresh_index(spark, directory, base, method)
-    return group_listing(duplicate_groups(index, threshold, key_col="path"), "path")
+    pairs = refresh_pairs(spark, index, base, threshold, method)
+    return group_listing(duplicate_groups(index, threshold, key_col="path", pairs=pairs), "path")
 
 
 def rename_duplicates(

@@ -16,6 +16,7 @@ from imprint.operators import fingerprint as fpr
 from imprint.operators.grouping import duplicate_groups, exact_duplicates, group_sizes, hash_stats
 from imprint.operators.hamming import closest_non_duplicates, neighbours, similar_pairs
 from imprint.operators.nearest import nearest_join
+from imprint.operators.pair_delta import distinct_hashes, first_pairs, update_pairs
 from imprint.oracle import ORGANISE_CASES
 from imprint.functions import capture_time as ctm
 from imprint.functions.naming import is_image_name, split_ext
@@ -23,6 +24,7 @@ from imprint.plans.organise import OrganiseOptions, organise_plan
 from imprint.plans.summary import size_totals, status_histogram
 from imprint.operators.index import failed_count, index_changes, run_counts, to_hash, update_index
 from imprint.plans.group_rename import outcome_counts, rename_plan, undo_plan
+from imprint.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -138,6 +140,15 @@ def groups_query(source: Query, t: int) -> Query:
     return q
 
 
+def hamming_pairs_docs_delta_t5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J5+J3: pairs after a tenth of the documents came and a seventh went, from the pairs before."""
+    files = cut_lineage(fp_docs(spark, sf_dir), "delta-files")
+    before = cut_lineage(distinct_hashes(files.where(F.col("id") % 10 != 0)), "delta-before")
+    now = cut_lineage(distinct_hashes(files.where(F.col("id") % 7 != 3)), "delta-now")
+    pairs = cut_lineage(first_pairs(before, 5), "delta-pairs")
+    return update_pairs(pairs, before, now, 5)
+
+
 def pair_labels_embed_t22(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J5+C18: pairs within 22 with the threshold-guide wording of their distance."""
     return similar_pairs(fp_embed(spark, sf_dir), 22).withColumn("label", similarity_label("distance"))
@@ -282,6 +293,7 @@ def registry() -> dict[str, Query]:
     q["hamming_pairs_blank_docs_t5"] = pairs_query(fp_blank_docs, 5)
     q["neighbours_embed_t20"] = neighbours_embed(20)
     q["closest_non_duplicates_embed_t20"] = closest_embed(20)
+    q["hamming_pairs_docs_delta_t5"] = hamming_pairs_docs_delta_t5
     q["closest10_docs"] = closest10_docs
     q["closest10_embed"] = closest10_embed
     q["hash_stats_docs"] = hash_stats_docs

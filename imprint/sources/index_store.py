@@ -38,7 +38,8 @@ INDEX_SCHEMA = T.StructType(
 )
 
 
-def _fs(spark: SparkSession, base: str):
+def file_system(spark: SparkSession, base: str):
+    """(Hadoop file system of a path, JVM)."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(base)
@@ -52,7 +53,7 @@ _DENIED = re.compile("AccessControlException|AccessDenied|Permission denied")
 
 
 def _pointers(spark: SparkSession, base: str) -> list[int]:
-    fs, jvm = _fs(spark, base)
+    fs, jvm = file_system(spark, base)
     root = jvm.org.apache.hadoop.fs.Path(base)
     if not fs.exists(root):
         return []
@@ -62,7 +63,7 @@ def _pointers(spark: SparkSession, base: str) -> list[int]:
 
 def _folders(spark: SparkSession, base: str, number: int) -> list[str]:
     """The folders that a pointer names, oldest first."""
-    fs, jvm = _fs(spark, base)
+    fs, jvm = file_system(spark, base)
     stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{base}/{POINTER}{number}"))
     try:
         return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
@@ -84,7 +85,7 @@ def _table(spark: SparkSession, base: str, folder: str) -> DataFrame:
     buckets = re.search(r"-b(\d+)$", folder)
     if not buckets:
         return spark.read.schema(INDEX_SCHEMA).parquet(f"{base}/{folder}")
-    fs, jvm = _fs(spark, base)
+    fs, jvm = file_system(spark, base)
     if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{base}/{folder}")):
         spark.read.parquet(f"{base}/{folder}")  # raises that the path is missing
     name = "imprint_" + re.sub(r"\W", "_", folder)
@@ -144,7 +145,7 @@ def _publish(index: DataFrame, base: str, hash_func: str, after: bool, buckets:
     writer = out.repartition(n, "path").write.mode("errorifexists").format("parquet").bucketBy(n, "path").sortBy("path")
     writer.option("path", f"{base}/{folder}").saveAsTable(name)
     spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
-    fs, jvm = _fs(spark, base)
+    fs, jvm = file_system(spark, base)
     version, folders = _current(spark, base)
     version += 1
     try:  # an exclusive create, also where renames replace files
@@ -184,7 +185,7 @@ def retain_index(spark: SparkSession, base: str, versions: int = 2) -> list[str]
     returns the folders.  To be run when no older version is being read and no write is under way."""
     if versions < 1:
         raise ValueError("the live version stays")
-    fs, jvm = _fs(spark, base)
+    fs, jvm = file_system(spark, base)
     numbers = _pointers(spark, base)
     live = [n for n in numbers if _folders(spark, base, n)][-versions:]
     used = {f for n in live for f in _folders(spark, base, n)}
