@@ -109,6 +109,19 @@ def grid_tiled(spark: SparkSession, sf_dir: str, side: int) -> DataFrame:
     return grid8(spark, sf_dir).select("id", F.transform(cells, cell).alias("grid"))
 
 
+def grey_pictures(spark: SparkSession, sf_dir: str, width: int, height: int) -> DataFrame:
+    """``(id, cells)``: pictures of ``width x height`` bytes; cell (r, c) is ``floor(1000 v) mod 256`` of
+    the value ``v`` at ``(r*5 + c*3 + r*c) % 64``."""
+    cells = F.sequence(F.lit(0), F.lit(width * height - 1))
+
+    def cell(k: Column) -> Column:
+        r, c = F.floor(k / width), k % width
+        v = F.element_at(F.col("grid"), ((r * 5 + c * 3 + r * c) % 64 + 1).cast("int"))
+        return F.pmod(F.floor(v * 1000), F.lit(256)).cast("int")
+
+    return grid8(spark, sf_dir).select("id", F.transform(cells, cell).alias("cells"))
+
+
 def grid9x8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(id, grid)`` 8 rows x 9 columns for dHash: cell (r, c) is value ``(r*9+c) % 64``."""
     g = grid8(spark, sf_dir)

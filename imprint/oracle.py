@@ -197,6 +197,48 @@ hits AS (
 SELECT id, path, distance, row_number() OVER (ORDER BY distance, path) AS rank FROM hits"""
 
 
+def _weights_sql(name: str, n_in: int, n_out: int) -> str:
+    """Fixed-point weights (o, i, w) of a windowed sinc of three lobes from n_in to n_out cells."""
+    scale = f"({n_in}.0 / {n_out})"
+    wide = f"greatest({scale}, 1.0)"
+    return f"""
+{name}_raw AS (
+  SELECT o, i, CASE WHEN x = 0 THEN 1.0 ELSE sin(pi() * x) / (pi() * x) * sin(pi() * x / 3) / (pi() * x / 3) END AS w
+  FROM (SELECT o, i, (i - (o + 0.5) * {scale} + 0.5) / {wide} AS x,
+          greatest(trunc((o + 0.5) * {scale} - 3 * {wide} + 0.5), 0) AS lo,
+          least(trunc((o + 0.5) * {scale} + 3 * {wide} + 0.5), {n_in}) AS hi
+        FROM range({n_out}) a(o), range({n_in}) b(i))
+  WHERE i >= lo AND i < hi AND x >= -3 AND x < 3),
+{name} AS (
+  SELECT o, i, CAST(trunc(s + CASE WHEN s < 0 THEN -0.5 ELSE 0.5 END) AS BIGINT) AS w
+  FROM (SELECT o, i, w / sum(w) OVER (PARTITION BY o) * 4194304 AS s FROM {name}_raw))"""
+
+
+def resample_sql(w: int, h: int, outs: dict[str, tuple[int, int]]) -> str:
+    """Pictures of w x h bytes resampled along the rows, then the columns, to each size of ``outs``."""
+    clip = "CAST(greatest(0, least(255, (sum(p.v * k.w) + 2097152) >> 22)) AS BIGINT)"
+    ctes = [f"""
+px AS (
+  SELECT id, k // {w} AS r, k % {w} AS c,
+    CAST(((CAST(floor(g[((k // {w}) * 5 + (k % {w}) * 3 + (k // {w}) * (k % {w})) % 64 + 1] * 1000) AS BIGINT) % 256) + 256) % 256 AS BIGINT) AS v
+  FROM grid8, range({w * h}) t(k))"""]
+    for name, (gw, gh) in outs.items():
+        ctes.append(_weights_sql(f"{name}_kx", w, gw))
+        ctes.append(f"""
+{name}_x AS (SELECT p.id, p.r, k.o AS c, {clip} AS v FROM px p JOIN {name}_kx k ON k.i = p.c GROUP BY p.id, p.r, k.o)""")
+        last = f"{name}_x"
+        if gh != h:
+            ctes.append(_weights_sql(f"{name}_ky", h, gh))
+            ctes.append(f"""
+{name}_y AS (SELECT p.id, k.o AS r, p.c, {clip} AS v FROM {last} p JOIN {name}_ky k ON k.i = p.r GROUP BY p.id, k.o, p.c)""")
+            last = f"{name}_y"
+        ctes.append(f"""
+{name}_s AS (SELECT id, string_agg(CAST(v AS VARCHAR), ' ' ORDER BY r, c) AS {name} FROM {last} GROUP BY id)""")
+    first, *rest = outs
+    joins = " ".join(f"JOIN {n}_s USING (id)" for n in rest)
+    return with_(GRID8, *ctes) + f"\nSELECT id, {', '.join(outs)} FROM {first}_s {joins}"
+
+
 def closest_batch_sql(fp: str, table: str, t: int) -> str:
     """The 10 closest ids farther than ``t`` from every id divisible by 20."""
     return with_(fp) + f"""
@@ -244,6 +286,7 @@ FROM fp_embed"""
     q["hamming_pairs_docs_delta_t5"] = pairs_sql(
         FP_DOCS + ",\nfp_now AS (SELECT * FROM fp_docs WHERE id % 7 <> 3)", "fp_now", 5
     )
+    q["resample_embed"] = resample_sql(24, 20, {"small": (9, 8), "large": (31, 20)})
     q["closest10_docs"] = closest_batch_sql(FP_DOCS, "fp_docs", 5)
     q["closest10_embed"] = closest_batch_sql(FP_EMBED, "fp_embed", 20)
     q["hash_stats_docs"] = with_(FP_DOCS) + """

@@ -25,6 +25,7 @@ from imprint.plans.summary import size_totals, status_histogram
 from imprint.operators.index import failed_count, index_changes, run_counts, to_hash, update_index
 from imprint.plans.group_rename import outcome_counts, rename_plan, undo_plan
 from imprint.session import cut_lineage
+from imprint.sources.images import resampled
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +70,14 @@ def fp_blank_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fp_docs(spark, sf_dir).select("id", F.col("h").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).alias("h"))
 
 
+def resample_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H7: a 24x20 grey picture of every embedding, resampled to the 9x8 grid of the dHash, and larger."""
+    p = fixtures.grey_pictures(spark, sf_dir, 24, 20)
+    small, large = resampled("cells", 24, 20, 9, 8), resampled("cells", 24, 20, 31, 20)
+    p = p.select("id", small.alias("small"), large.alias("large"))
+    return p.select("id", F.array_join("small", " ").alias("small"), F.array_join("large", " ").alias("large"))
+
+
 def hash_hex_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H6: hash -> 16 hex digits -> hash."""
     f = fp_embed(spark, sf_dir)
@@ -285,6 +294,7 @@ def registry() -> dict[str, Query]:
         "fp_grid16_whash": fp_grid16_whash,
         "fp_grid32_phash": fp_grid32_phash,
         "hash_hex_roundtrip": hash_hex_roundtrip,
+        "resample_embed": resample_embed,
     }
     for t in (18, 20, 22):
         q[f"hamming_pairs_embed_t{t}"] = pairs_query(fp_embed, t)
