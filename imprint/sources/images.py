@@ -125,6 +125,22 @@ def luma_grid_numpy(data: bytes, width: int, height: int, channels: int, gw: int
     return resample(np.concatenate(strips), gw, gh, known).astype(np.float64).reshape(-1)
 
 
+def _grid_udf(gw: int, gh: int):
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def grid(data: pd.Series, width: pd.Series, height: pd.Series, channels: pd.Series) -> pd.Series:
+        out = []
+        known: dict = {}  # weights of the sizes met in this batch
+        for d, w, h, c in zip(data, width, height, channels, strict=True):
+            if d is None or w is None or w <= 0 or h <= 0 or len(d) != w * h * c:
+                out.append(None)
+            else:
+                out.append(luma_grid_numpy(bytes(d), int(w), int(h), int(c), gw, gh, known))
+        return pd.Series(out, dtype=object)
+
+    # non-deterministic only to keep the optimizer from evaluating it twice (see fingerprint)
+    return grid.asNondeterministic()
+
+
 def resampled(cells: Column | str, width: Column | int, height: Column | int, gw: int, gh: int) -> Column:
     """H7 on a column: an array of ``width x height`` bytes (as integers, row by row) as the
     integers of a ``gw x gh`` grid; NULL where the array is not of that size."""
