@@ -42,21 +42,6 @@ def from_hex(s: Column | str) -> Column:
     return F.when(ok, F.conv(s, 16, -10).cast("bigint"))
 
 
-def shl(x: Column, n: int | Column) -> Column:
-    """``x << n`` where ``n`` may be a column."""
-    return F.call_function("shiftleft", x, n if isinstance(n, Column) else F.lit(n))
-
-
-def shru(x: Column, n: int | Column) -> Column:
-    """Unsigned ``x >>> n`` where ``n`` may be a column."""
-    return F.call_function("shiftrightunsigned", x, n if isinstance(n, Column) else F.lit(n))
-
-
-def bit_at(h: Column | str, i: int | Column) -> Column:
-    """Bit ``i`` (0 = least significant) of a hash as 0/1."""
-    return shru(_col(h), i).bitwiseAND(F.lit(1))
-
-
 def similarity_label(distance: Column | str) -> Column:
     """Threshold-guide wording for a distance."""
     d = _col(distance)

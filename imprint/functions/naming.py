@@ -122,11 +122,6 @@ def format_time(ts: Column | str, strftime_layout: str) -> Column:
     return F.date_format(_col(ts), spark_layout(strftime_layout))
 
 
-def target_ext(name: Column | str, convert: bool, target_format: str) -> Column:
-    """Converted format when converting, else the original extension."""
-    return F.lit("." + target_format.lower()) if convert else split_ext(name)[1]
-
-
 def with_counter(name: Column | str, n: Column) -> Column:
     """``base_NNN.ext`` (three digits at least) for n > 0, the name itself for n = 0."""
     base, ext = split_ext(name)

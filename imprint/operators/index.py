@@ -10,7 +10,7 @@ hashes, so it always equals a fresh build over the current listing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Reconciliation actions.
@@ -63,11 +63,21 @@ def update_index(index: DataFrame, changes: DataFrame, hashed: DataFrame) -> Dat
     return kept.unionByName(fresh)
 
 
+def action_counts() -> list[Column]:
+    """A5: aggregates of the number of new, changed, unchanged and deleted files."""
+    return [F.count_if(F.col("action") == a).cast("bigint").alias(f"n_{a}") for a in ACTIONS]
+
+
+def failures() -> Column:
+    """A5: aggregate of the number of files that could not be decoded."""
+    return F.count_if(~F.col("ok")).cast("bigint").alias("n_failed")
+
+
 def run_counts(changes: DataFrame) -> DataFrame:
     """A5: one row with the number of new, changed, unchanged and deleted files."""
-    return changes.agg(*[F.count_if(F.col("action") == a).cast("bigint").alias(f"n_{a}") for a in ACTIONS])
+    return changes.agg(*action_counts())
 
 
 def failed_count(hashed: DataFrame) -> DataFrame:
     """A5: files that could not be decoded in this run."""
-    return hashed.agg(F.count_if(~F.col("ok")).cast("bigint").alias("n_failed"))
+    return hashed.agg(failures())

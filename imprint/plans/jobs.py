@@ -6,22 +6,22 @@ fingerprint index.  Applying a plan is the caller's step; ``write_manifest`` kee
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from imprint.functions.naming import dirname
 from imprint.operators.grouping import duplicate_groups, group_listing
 from imprint.operators.hamming import closest_non_duplicates, neighbours
+from imprint.operators.index import action_counts, failures, index_changes, to_hash, update_index
 from imprint.operators.pair_delta import distinct_hashes, first_pairs, update_pairs
-from imprint.operators.index import failed_count, index_changes, run_counts, to_hash, update_index
 from imprint.plans.group_rename import rename_plan
 from imprint.plans.organise import OrganiseOptions, organise_plan, output_dir
 from imprint.session import cut_lineage
 from imprint.sources.exif import exif_tags
 from imprint.sources.images import decode, hash_changed, hash_one
 from imprint.sources.index_store import read_index, write_index
-from imprint.sources.pair_store import read_pairs, write_pairs
 from imprint.sources.listing import list_files, list_images, listed_path
+from imprint.sources.pair_store import read_pairs, write_pairs
 
 
 def refresh_index(spark: SparkSession, directory: str, base: str, method: str = "phash") -> tuple[DataFrame, DataFrame]:
@@ -32,10 +32,14 @@ def refresh_index(spark: SparkSession, directory: str, base: str, method: str =
     """
     listing = cut_lineage(list_images(spark, directory).select("path", "mtime"), "job-listing")
     old = read_index(spark, base, method, verify=True).select("path", "mtime", "h")
-    changes = cut_lineage(index_changes(listing, old, carry="h"), "job-changes")
-    hashed = cut_lineage(hash_changed(spark, directory, to_hash(changes), method), "job-hashed")
+    changed, failed = Observation("changes"), Observation("failures")  # counted while the tables are written
+    changes = index_changes(listing, old, carry="h").observe(changed, *action_counts())
+    changes = cut_lineage(changes, "job-changes")
+    hashed = hash_changed(spark, directory, to_hash(changes), method).observe(failed, failures())
+    hashed = cut_lineage(hashed, "job-hashed")
     write_index(update_index(old, changes, hashed), base, method)
-    counts = run_counts(changes).crossJoin(failed_count(hashed))  # one row each
+    counts = changed.get | failed.get
+    counts = spark.createDataFrame([counts], ", ".join(f"{name} bigint" for name in counts))
     return read_index(spark, base, method).select("path", "mtime", "h"), counts
 
 
