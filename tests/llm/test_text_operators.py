@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import random
 import re
 import zlib
 
@@ -384,6 +385,30 @@ def test_repeated_ids_are_reduced_before_the_collect(spark, monkeypatch):
 # ---------------------------------------------------------------- 10
 
 
+def plain_differencing(lengths, windows):
+    """Karmarkar-Karp by the book: merge the two partitions of largest imbalance in opposite order."""
+    parts = [[(n, [i])] + [(0, [])] * (windows - 1) for i, n in enumerate(lengths)]
+    age = list(range(len(parts)))
+    while len(parts) > 1:
+        order = sorted(range(len(parts)), key=lambda i: (parts[i][-1][0] - parts[i][0][0], age[i]))
+        a, b = parts[order[0]], parts[order[1]]
+        both = [(x + y, p + q) for (x, p), (y, q) in zip(a, reversed(b))]
+        both.sort(key=lambda w: -w[0])  # stable
+        keep = sorted(set(range(len(parts))) - set(order[:2]))
+        parts, age = [parts[i] for i in keep] + [both], [age[i] for i in keep] + [max(age) + 1]
+    return parts[0]
+
+
+@pytest.mark.parametrize("n,windows", [(1, 3), (9, 2), (30, 4), (60, 7), (40, 1)])
+def test_differencing_equals_the_book(n, windows):
+    rng = random.Random(n)
+    for _ in range(5):
+        lengths = [rng.randint(1, 600) for _ in range(n)]
+        got = packing.differencing(lengths, windows)
+        want = {frozenset(items) for _, items in plain_differencing(lengths, windows) if items}
+        assert {frozenset(np.flatnonzero(got == w).tolist()) for w in set(got.tolist())} == want
+
+
 def check_shards(out, rows, shards):
     assert collections.Counter(r.doc_id for r in out) == collections.Counter(r[0] for r in rows)
     slots = collections.defaultdict(list)
