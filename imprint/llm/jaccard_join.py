@@ -165,7 +165,8 @@ def regions(rows: DataFrame, percent: int) -> DataFrame:
     """
     hashes = rows.select("row", F.explode("smallest").alias("h"))
     owners = hashes.groupBy("h").agg(F.min("row").alias("owner"), F.max("row").alias("last"))
-    owners = owners.filter("owner < last").select("h", "owner")  # all other hashes are shared with nobody
+    # all other hashes are shared with nobody; a written table lets the join split a frequent hash
+    owners = stage(owners.filter("owner < last").select("h", "owner"), "jaccard-owners")
     mass = hashes.join(owners, "h").groupBy("row", "owner").agg(F.count(F.lit(1)).alias("mass"))
     mass = mass.join(rows.select("row", "node", "n"), "row")
     # the hashes that a link guarantees, whatever the linked document's size
@@ -183,7 +184,7 @@ def _sized(members: DataFrame, sets: DataFrame, label: str) -> DataFrame:
     sizes = members.groupBy("region").agg(
         F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"), F.count(F.when(~F.col("core"), 1)).alias("free")
     )
-    sizes = sizes.filter("m > 1 and free > 0")
+    sizes = stage(sizes.filter("m > 1 and free > 0"), f"{label}-sizes")  # written, so that a large region is split
     return stage(members.join(sizes, "region").select("region", "node", "n", "core", "m", "w", "free"), label)
 
 
@@ -326,6 +327,7 @@ def links(rows: DataFrame, docs: DataFrame, percent: int, leaf: int = LEAF_DOCS)
     """(a, b) of nodes that link, enough of them to connect what all links connect."""
     near = stage(regions(rows, percent), "jaccard-near")
     sizes = near.groupBy("region").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("region")
+    sizes = stage(sizes, "jaccard-company")
     near = stage(near.join(sizes, "region").withColumn("core", F.lit(False)), "jaccard-members")
 
     # whole sets of the documents that have company; the texts are shuffled once
