@@ -147,7 +147,7 @@ def filter_audit(
     """(part, filter_order, step, COUNTS): what every filter removes at every place in the chain."""
     rows = stage(masked(docs, id_col, text_col, part_col), "audit-masks")
     copies = rows.groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
-    copies = copies.filter("n > 1").select("digest", "least")
+    copies = stage(copies.filter("n > 1").select("digest", "least"), "audit-copies")
     rows = rows.join(copies, "digest", "left").drop("digest")
     copy = F.coalesce(F.col("id") > F.col("least"), F.lit(False))
     rows = rows.withColumn("mask", F.col("mask") + F.when(copy, 1 << FILTERS.index("E")).otherwise(0)).drop("least")
