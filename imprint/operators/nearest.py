@@ -1,11 +1,13 @@
 """k nearest hashes for a table of queries (T2 for a batch; F3).
 
-Multi-index hashing answers "within T" exactly, so the k nearest are found by raising T: the first
-T is where the sampled distances let each query expect enough files; the queries that have ``k``
-files within T leave, and the others go on with a larger T.  What a query has within T is all there
-is within T, so nothing nearer can be missed.  Beyond MAX_BANDED bits banding no longer tells
-hashes apart; the queries left then (far from everything) are compared with all hashes in bounded
-blocks, each block keeping only what can be among a query's ``k`` nearest.
+Multi-index hashing answers "within T" exactly, so the k nearest are found by raising T: the queries
+that have ``k`` files within T leave, and the others go on with a larger T.  What a query has
+within T is all there is within T, so nothing nearer can be missed.  The thresholds are the
+largest ones whose band plan costs at most the shares ROUNDS of comparing the queries with
+everything, so queries in dense places leave cheaply and a round that would not pay is not run.  Queries
+that are left are far from almost everything, where no banding tells hashes apart: they are compared
+with all hashes in bounded blocks, each block keeping only what can be among a query's ``k``
+nearest.
 
 Hashes are searched once, whatever number of files or queries has them.  Files are taken up from
 the nearest hashes only, at most ``k`` of a hash (row limits are applied before the shuffle).
@@ -21,28 +23,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from imprint._ship import ship_with_tasks
-from imprint.operators.hamming import N_BITS, choose_band_plan, hash_sample, sampled_distances, similarity_join
+from imprint.operators.hamming import N_BITS, BandPlan, choose_band_plan, hash_sample, sampled_distances, similarity_join
 from imprint.session import cut_lineage
 
 ship_with_tasks(__name__)
 
-MAX_BANDED = 22
-BLOCK = 4096
-EXPECTED = 2  # the first radius is one where a query expects this many times k files
-
-
-def radii_of(sample: np.ndarray, n_files: int, k: int, beyond: int) -> list[int]:
-    """Growing search radii: from the first where EXPECTED * k files are expected, in steps that
-    at least triple what is met, up to MAX_BANDED."""
-    met = np.bincount(np.bitwise_count(sampled_distances(sample)), minlength=N_BITS + 1).astype(float)
-    total = max(met.sum(), 1.0)
-    within = [met[beyond + 1 : t + 1].sum() / total * n_files for t in range(N_BITS + 1)]
-    out, aim = [], EXPECTED * k
-    for t in range(max(beyond + 1, 0), MAX_BANDED + 1):
-        if within[t] >= aim:
-            out.append(t)
-            aim = 3 * within[t]
-    return out
+ROUNDS = (1 / 64, 1 / 16, 1 / 4)  # cost of a round against comparing the queries with everything
+PROBE_COST, CANDIDATE_COST = 100, 50  # of a row, against one comparison in a block
+BLOCK = 16384
+
+
+def thresholds(sample: np.ndarray, n_queries: int, n_hashes: int, beyond: int) -> list[tuple[int, BandPlan]]:
+    """Rising thresholds above ``beyond``, with their plans: the largest one within each cost of ROUNDS."""
+    differ = sampled_distances(sample)
+    everything = float(n_queries) * n_hashes
+    best: dict[float, tuple[int, BandPlan]] = {}
+    for t in range(max(beyond + 1, 0), N_BITS if everything else 0):
+        plan = choose_band_plan(t, n_queries, n_hashes, sample)
+        met = zip(plan.masks, plan.radii, strict=True)
+        near = sum(float((np.bitwise_count(differ & np.uint64(m)) <= r).mean()) for m, r in met) if len(differ) else 1.0
+        rows = n_queries * plan.keys_per_row + n_hashes * plan.bands
+        cost = PROBE_COST * rows + CANDIDATE_COST * near * everything
+        if cost > ROUNDS[-1] * everything:
+            break
+        for share in ROUNDS:
+            if cost <= share * everything:
+                best[share] = t, plan
+    return sorted({t: (t, plan) for t, plan in best.values()}.values(), key=lambda x: x[0])
 
 
 def _near_in_block(k: int, beyond: int):
@@ -104,13 +111,11 @@ def nearest_join(
     asked = queries.select(F.col(query_key).alias("query"), F.col(hash_col).alias("hq")).where("hq is not null")
     hashes = cut_lineage(files.groupBy("h").agg(F.count(F.lit(1)).alias("n_files")), "nearest-hashes")
     left = cut_lineage(asked.select("hq").distinct(), "nearest-queries")
-    n_hashes, n_files = hashes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_files"), F.lit(0))).first()
-    n_left, found = left.count(), []
+    n_hashes, n_left, found = hashes.count(), left.count(), []
     sample = hash_sample(hashes)
-    for t in radii_of(sample, n_files, k, beyond):
+    for t, plan in thresholds(sample, n_left, n_hashes, beyond):
         if not n_left:
             break
-        plan = choose_band_plan(t, n_left, max(n_hashes, 1), sample)
         near = similarity_join(
             left, hashes, t, "hq", "h", plan=plan, n_probe=n_left, n_index=n_hashes, sample=sample
         )

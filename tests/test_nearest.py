@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import imprint.operators.nearest as nearest
-from imprint.operators.nearest import nearest_join, radii_of
+from imprint.operators.nearest import nearest_join, thresholds
 
 
 def signed(u):
@@ -48,22 +48,28 @@ def test_nearest_equals_brute_force(spark, k, beyond):
 
 
 def test_rounds_and_blocks_agree(spark, monkeypatch):
+    """Rounds only, one round and then blocks, blocks only."""
     files = near_and_far(4, 400)
     queries = [f for f in files if f[0] % 5 == 0]
     q, f = spark.createDataFrame(queries, "query_id long, h long"), spark.createDataFrame(files, "id long, h long")
     want = brute(queries, files, 6, 2)
     monkeypatch.setattr(nearest, "BLOCK", 37)
-    for most in (22, 8, -1):  # all rounds, one round and then blocks, blocks only
-        monkeypatch.setattr(nearest, "MAX_BANDED", most)
+    plan = nearest.choose_band_plan
+    for steps in ((4, 9, 20, 30, 63), (8,), ()):
+        monkeypatch.setattr(nearest, "thresholds", lambda s, nq, n, beyond: [(t, plan(t, nq, n, s)) for t in steps])  # noqa: B023
         assert {tuple(r) for r in nearest_join(q, f, 6, 2).collect()} == want
 
 
-def test_radii_grow_and_stop():
+def test_thresholds_rise_and_pay():
     import numpy as np
 
-    sample = np.random.default_rng(0).integers(0, 2**63, 512).astype(np.uint64)
-    radii = radii_of(sample, 10**7, 10, 5)
-    assert radii == sorted(set(radii)) and radii[-1] <= nearest.MAX_BANDED and radii[0] > 5
+    sample = np.random.default_rng(0).integers(0, 2**64, 512, dtype=np.uint64)
+    steps = [t for t, _ in thresholds(sample, 10**6, 2 * 10**7, 5)]
+    assert len(steps) >= 2 and steps == sorted(set(steps)) and steps[0] > 5
+    assert all(p.reach >= t for t, p in thresholds(sample, 10**6, 2 * 10**7, 5))
+    assert thresholds(sample, 10, 100, 5) == [] and thresholds(sample[:0], 0, 0, 5) == []
+    dense = np.repeat(sample[:8], 64)  # all hashes near: no banding pays
+    assert thresholds(dense, 10**6, 10**7, 5) == []
 
 
 def test_nearest_empty_inputs(spark):
