@@ -13,8 +13,9 @@ the sign bit of the ``bigint``.
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -211,53 +212,51 @@ def fingerprint(df: DataFrame, grid_col: str = "grid", method: str = "phash", ou
 
 # ---------------------------------------------------------------- SimHash (H9)
 
-TOKEN_SPLIT = "[ \\t\\r\\n]+"
+# The characters that separate tokens.
+TOKEN_BLANKS = b" \t\r\n"
+KNOWN_TOKENS = 1 << 19  # token hashes that a task remembers at once
+SIMHASH_RUN = 1 << 21  # bytes of token hashes unpacked at a time (eight times as many)
 
 
-def token_hashes(text: Column | str) -> Column:
-    """Distinct whitespace tokens of ``lower(text)`` -> first 64 bits of their MD5, as bigint."""
-    toks = F.array_distinct(F.split(F.lower(_col(text)), TOKEN_SPLIT))
-    toks = F.filter(toks, lambda t: t != "")
-    return F.transform(toks, lambda t: F.conv(F.substring(F.md5(t), 1, 16), 16, -10).cast("bigint"))
-
-
-def simhash_numpy(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Charikar SimHash of consecutive runs of token hashes: a bit is set when more tokens of the
-    run have it than not; an empty run gives 0."""
-    out = np.zeros(len(sizes), dtype=np.int64)
-    full = np.flatnonzero(sizes)
-    if not len(full):
-        return out
-    # little-endian bytes, bits unpacked least significant first: column k is bit k
-    raw = np.ascontiguousarray(hashes.astype("<i8")).view(np.uint8).reshape(-1, 8)
-    bits = np.unpackbits(raw, axis=1, bitorder="little")
-    starts = (np.cumsum(sizes) - sizes)[full]
-    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-    out[full] = pack_flags_numpy(2 * ones > sizes[full][:, None])
-    return out
-
-
-SIMHASH_RUN = 1 << 18  # token hashes unpacked at a time (64 bytes each), or one document's
+def simhash_numpy(digests: bytes) -> int:
+    """Charikar SimHash of token hashes of 8 bytes each, most significant byte first: a bit is set
+    when more tokens have it than not; no token gives 0.  As a signed 64-bit integer."""
+    n = len(digests) // 8
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(digests), SIMHASH_RUN):
+        raw = np.frombuffer(digests[at : at + SIMHASH_RUN], dtype=np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n).view(">i8")[0])
 
 
 @F.pandas_udf(T.LongType())
-def _simhash_udf(hashes: pd.Series) -> pd.Series:
-    valid = hashes.notna().to_numpy()
-    arrays = [np.asarray(h, dtype=np.int64) for h in hashes[valid]]
-    sizes = np.array([len(a) for a in arrays], dtype=np.int64)
-    found, at = [np.zeros(0, dtype=np.int64)], 0
-    while at < len(arrays):
-        upto = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), SIMHASH_RUN)))
-        found.append(simhash_numpy(np.concatenate(arrays[at:upto]), sizes[at:upto]))
-        at = upto
-    out = pd.Series(pd.array([None] * len(hashes), dtype="Int64"))
-    out[valid] = np.concatenate(found)
-    return out
+def _simhash_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    blanks = bytes.maketrans(TOKEN_BLANKS, b" " * len(TOKEN_BLANKS))
+    known: dict[bytes, bytes] = {}
+    for texts in batches:
+        out: list[int | None] = []
+        for text in texts:
+            if text is None:
+                out.append(None)
+                continue
+            tokens = set(bytes(text).translate(blanks).split(b" "))
+            tokens.discard(b"")
+            digests = []
+            for t in tokens:
+                d = known.get(t)
+                if d is None:
+                    if len(known) >= KNOWN_TOKENS:
+                        known.clear()
+                    d = known[t] = hashlib.md5(t, usedforsecurity=False).digest()[:8]
+                digests.append(d)
+            out.append(simhash_numpy(b"".join(digests)))
+        yield pd.Series(pd.array(out, dtype="Int64"))
 
 
 _simhash_once = _simhash_udf.asNondeterministic()  # see _phash_once
 
 
 def simhash(text: Column | str) -> Column:
-    """H9: 64-bit SimHash of a text (token hashing in the JVM, bit votes over Arrow batches)."""
-    return _simhash_once(token_hashes(text))
+    """H9: 64-bit SimHash of a text: the distinct tokens of the lower-cased text vote with the first
+    64 bits of their MD5.  Each distinct token of a task is hashed once, in Arrow batches."""
+    return _simhash_once(F.lower(_col(text)).cast("binary"))
