@@ -179,7 +179,8 @@ def top_k(
                     names=["number", "query_id", "vec_id", "score"],
                 )
 
-    pairs = copies.join(blocks, ["slot", "dim"]).select("dim", "ids", "data", "q_ids", "q_data")
+    # copies are estimated at the size of one, so they must not be broadcast
+    pairs = copies.hint("merge").join(blocks, ["slot", "dim"]).select("dim", "ids", "data", "q_ids", "q_data")
     found = pairs.mapInArrow(run, "number long, query_id long, vec_id long, score decimal(38,0)")
     rank = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("score"), "vec_id"))
     held = F.greatest(F.lit(least), F.least(F.lit(most), F.col("score"))).cast("long").alias("score")
