@@ -302,7 +302,7 @@ def _hot_join(
         for s, m in enumerate(sub.masks[:-1]):
             near = F.bit_count(x.bitwiseAND(F.lit(_signed(m)).cast("long"))) <= sub.radii[s]
             first &= ~((F.col("_band") == j) & (F.col("_s") > s) & near)
-    cand = p.join(i, ["_band", "_key", "_s", "_key2"], "inner")
+    cand = p.hint("merge").join(i, ["_band", "_key", "_s", "_key2"], "inner")
     return cand.where(hamming(hp, hi) <= threshold).where(first).drop("_s", "_key2")
 
 
@@ -354,10 +354,11 @@ def similarity_join(
                 probe_hash,
                 index_hash,
             )
-            cold = prows.join(hot, keys, "left_anti").join(irows.join(hot, keys, "left_anti"), keys, "inner")
+            cold = prows.join(hot, keys, "left_anti").hint("merge").join(irows.join(hot, keys, "left_anti"), keys, "inner")
             cand = cold.unionByName(hot_cand)
     if cand is None:
-        cand = prows.join(irows, keys, "inner")
+        # exploded rows are estimated at the size of the table before, so a broadcast has no bound
+        cand = prows.hint("merge").join(irows, keys, "inner")
     x = F.col(probe_hash).bitwiseXOR(F.col(index_hash))
     dist = hamming(probe_hash, index_hash)
     return (

@@ -30,7 +30,8 @@ ship_with_tasks(__name__)
 
 ROUNDS = (1 / 64, 1 / 16, 1 / 4)  # cost of a round against comparing the queries with everything
 PROBE_COST, CANDIDATE_COST = 100, 50  # of a row, against one comparison in a block
-BLOCK = 16384
+QUERY_BLOCK, HASH_BLOCK = 1 << 14, 1 << 20  # most rows of a block of either side
+LEAST_BLOCK = 1 << 10  # query blocks are not made smaller than this to occupy more tasks
 
 
 def thresholds(sample: np.ndarray, n_queries: int, n_hashes: int, beyond: int) -> list[tuple[int, BandPlan]]:
@@ -80,7 +81,11 @@ def _taken(h: np.ndarray, n: np.ndarray, near: np.ndarray) -> np.ndarray:
 
 def _all_blocks(queries: DataFrame, hashes: DataFrame, n_queries: int, n_hashes: int, k: int, beyond: int) -> DataFrame:
     """(hq, h, n_files, distance): what each block of hashes has among a query's ``k`` nearest."""
-    nq, nh = -(-n_queries // BLOCK), -(-n_hashes // BLOCK)
+    size, nh = QUERY_BLOCK, -(-n_hashes // HASH_BLOCK)
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while size > LEAST_BLOCK and -(-n_queries // size) * nh < tasks:
+        size //= 2
+    nq = -(-n_queries // size)
     q = queries.select("hq", F.pmod(F.xxhash64("hq"), F.lit(nq)).alias("i"))
     q = q.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(nh - 1))))
     x = hashes.select("h", "n_files", F.pmod(F.xxhash64("h"), F.lit(nh)).alias("hj"))
@@ -107,8 +112,11 @@ def nearest_join(
     query's own file and its duplicates are not among the results.  Rows without a hash have no
     part; a query gets fewer than ``k`` rows only if fewer files are beyond.
     """
+    # fingerprints are costly and both tables are read several times: write the narrow ones once
     files = files.select(F.col(key).alias("key"), F.col(hash_col).alias("h")).where("h is not null")
+    files = cut_lineage(files, "nearest-files")
     asked = queries.select(F.col(query_key).alias("query"), F.col(hash_col).alias("hq")).where("hq is not null")
+    asked = cut_lineage(asked, "nearest-asked")
     hashes = cut_lineage(files.groupBy("h").agg(F.count(F.lit(1)).alias("n_files")), "nearest-hashes")
     left = cut_lineage(asked.select("hq").distinct(), "nearest-queries")
     n_hashes, n_left, found = hashes.count(), left.count(), []

@@ -121,7 +121,7 @@ def closest_embed(t: int) -> Query:
 
 def closest10_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T2+F3 for a batch: the 10 closest documents farther than 5 from every 20th document."""
-    files = fp_docs(spark, sf_dir)
+    files = cut_lineage(fp_docs(spark, sf_dir), "nearest-docs")
     queries = files.where(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), "h")
     return nearest_join(queries, files, k=10, beyond=5)
 

@@ -53,7 +53,9 @@ def test_rounds_and_blocks_agree(spark, monkeypatch):
     queries = [f for f in files if f[0] % 5 == 0]
     q, f = spark.createDataFrame(queries, "query_id long, h long"), spark.createDataFrame(files, "id long, h long")
     want = brute(queries, files, 6, 2)
-    monkeypatch.setattr(nearest, "BLOCK", 37)
+    monkeypatch.setattr(nearest, "QUERY_BLOCK", 37)
+    monkeypatch.setattr(nearest, "HASH_BLOCK", 53)
+    monkeypatch.setattr(nearest, "LEAST_BLOCK", 9)
     plan = nearest.choose_band_plan
     for steps in ((4, 9, 20, 30, 63), (8,), ()):
         monkeypatch.setattr(nearest, "thresholds", lambda s, nq, n, beyond: [(t, plan(t, nq, n, s)) for t in steps])  # noqa: B023
