@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from imprint.functions.bits import hamming
 from imprint.functions.naming import basename
 from imprint.operators.ranking import number_rows
-from imprint.session import cut_lineage
+from imprint.session import cut_lineage, spread
 
 N_BITS = 64
 MAX_KEYS_PER_ROW = 4096  # flip masks per probe row we accept when choosing the band plan
@@ -336,7 +336,8 @@ def similarity_join(
     if plan.keys_per_row > MAX_KEYS_PER_ROW:
         raise ValueError(f"band plan needs {plan.keys_per_row} probe keys per row; use more bands")
     irows = _index_rows(index, index_hash, plan)
-    prows = _probe_rows(probe, probe_hash, plan)
+    # a probe row becomes many: a small table of few files is dealt to all cores first
+    prows = _probe_rows(spread(probe), probe_hash, plan)
     keys = ["_band", "_key"]
     cand = None
     if split_hot_keys and _may_have_hot_keys(plan, n_index, sample):

@@ -19,6 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,12 +60,17 @@ def _near_in_block(k: int, beyond: int):
         h, n = right.column("h").to_numpy(), right.column("n_files").to_numpy()
         out: list[list[np.ndarray]] = [[], [], []]
         bits = h.view(np.uint64)
+        # of the hashes at one distance, those with the smallest first keys hold the first files
+        place = np.asarray(pc.rank(right.column("first"), "ascending", null_placement="at_start", tiebreaker="first"))
         for x in q:
             far = np.bitwise_count(bits ^ x).astype(np.int64)
             files = np.bincount(far, weights=n, minlength=N_BITS + 1)
             files[: beyond + 1] = 0
             reach = np.searchsorted(files.cumsum(), min(k, files.sum()))
-            at = np.flatnonzero((far > beyond) & (far <= reach))
+            last = np.flatnonzero((far == reach) & (far > beyond))
+            if len(last) > k:
+                last = last[np.argpartition(place[last], k - 1)[:k]]
+            at = np.concatenate((np.flatnonzero((far > beyond) & (far < reach)), last))
             out[0].append(np.full(len(at), x).view(np.int64))
             out[1].append(h[at])
             out[2].append(far[at])
@@ -88,7 +94,7 @@ def _all_blocks(queries: DataFrame, hashes: DataFrame, n_queries: int, n_hashes:
     nq = -(-n_queries // size)
     q = queries.select("hq", F.pmod(F.xxhash64("hq"), F.lit(nq)).alias("i"))
     q = q.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(nh - 1))))
-    x = hashes.select("h", "n_files", F.pmod(F.xxhash64("h"), F.lit(nh)).alias("hj"))
+    x = hashes.select("h", "n_files", "first", F.pmod(F.xxhash64("h"), F.lit(nh)).alias("hj"))
     x = x.withColumn("hi", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
     pairs = q.groupBy(F.col("i").cast("long"), F.col("j").cast("long")).cogroup(
         x.groupBy(F.col("hi").cast("long"), F.col("hj").cast("long"))
@@ -117,7 +123,8 @@ def nearest_join(
     files = cut_lineage(files, "nearest-files")
     asked = queries.select(F.col(query_key).alias("query"), F.col(hash_col).alias("hq")).where("hq is not null")
     asked = cut_lineage(asked, "nearest-asked")
-    hashes = cut_lineage(files.groupBy("h").agg(F.count(F.lit(1)).alias("n_files")), "nearest-hashes")
+    hashes = files.groupBy("h").agg(F.count(F.lit(1)).alias("n_files"), F.min("key").alias("first"))
+    hashes = cut_lineage(hashes, "nearest-hashes")
     left = cut_lineage(asked.select("hq").distinct(), "nearest-queries")
     n_hashes, n_left, found = hashes.count(), left.count(), []
     sample = hash_sample(hashes)
@@ -125,7 +132,7 @@ def nearest_join(
         if not n_left:
             break
         near = similarity_join(
-            left, hashes, t, "hq", "h", plan=plan, n_probe=n_left, n_index=n_hashes, sample=sample
+            left, hashes.drop("first"), t, "hq", "h", plan=plan, n_probe=n_left, n_index=n_hashes, sample=sample
         )
         near = near.where(F.col("distance") > beyond).select("hq", "h", "n_files", "distance")
         near = cut_lineage(near, "nearest-pairs")

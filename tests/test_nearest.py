@@ -74,6 +74,15 @@ def test_thresholds_rise_and_pay():
     assert thresholds(dense, 10**6, 10**7, 5) == []
 
 
+def test_many_files_at_one_distance(spark):
+    """Ties go by key, and a block returns few of them."""
+    files = [(i, signed(1 << (i % 64))) for i in range(500)]  # all at distance 1 from zero
+    q = spark.createDataFrame([(1, 0)], "query_id long, h long")
+    f = spark.createDataFrame([(str(i), h) for i, h in files], "id string, h long")
+    want = sorted(str(i) for i, _ in files)[:7]
+    assert [r.id for r in nearest_join(q, f, 7, 0).orderBy("rank").collect()] == want
+
+
 def test_nearest_empty_inputs(spark):
     q, f = spark.createDataFrame([], "query_id long, h long"), spark.createDataFrame([(1, 5)], "id long, h long")
     assert nearest_join(q, f).count() == 0
