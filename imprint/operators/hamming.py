@@ -15,6 +15,13 @@ bits; leaving bits out never loses a pair).  Candidates of each band and radius
 the sampled pairs, and dynamic programming picks the radii for every number of bands; the cheapest
 plan (probe rows + index rows + candidates) wins.  The sample decides the route, not the result.
 
+A radius can be shared by the two sides: the probe flips ``p`` bits of a band, the index ``r - p``, and
+hashes that differ in ``r`` bits meet on a value in between.  Of a band of 21 bits that is 22 rows a side
+instead of 232 for r = 2.  Of the values on which a pair meets one counts: the probe has flipped the lowest bits.
+
+Where the threshold is so wide that the rows and candidates of every plan cost more than comparing all
+hashes, they are compared: blocks of both sides meet as Arrow batches, a bounded part of a block at a time.
+
 A band value that is still shared by very many hashes is found on a bounded sample and joined
 again on *sub-bands of the other bits*: two hashes that meet on a band have the rest of their
 distance outside it, so the pigeonhole applies again there, keyed by ``(band, key, sub-band,
@@ -25,20 +32,26 @@ before it is broadcast.  The same plan runs at every size.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from imprint._ship import ship_with_tasks
 from imprint.functions.bits import hamming
 from imprint.functions.naming import basename
 from imprint.operators.ranking import number_rows
 from imprint.session import cut_lineage, spread
 
+ship_with_tasks(__name__)
+
 N_BITS = 64
 MAX_KEYS_PER_ROW = 4096  # flip masks per probe row we accept when choosing the band plan
 HOT_KEY_MIN_ROWS = 4096  # an index key with more rows than this is re-banded
@@ -46,6 +59,11 @@ MAX_HOT_KEYS = 20_000  # bound on the broadcast hot-key table
 SAMPLE = 512  # hashes that planning looks at
 RELIABLE = 30  # sampled pairs that make a measured share reliable
 SAMPLE_PER_HOT_KEY = 100  # sampled rows expected per hot key at the threshold
+PROBE_COST, CANDIDATE_COST = 100, 50  # of a row, against one comparison in a block
+SHUFFLED = 4  # a row against a candidate, where the sides may share a radius to make fewer rows
+BLOCKS_FROM = 1 << 24  # comparisons below which no blocks are made
+BLOCK, LEAST_BLOCK = 1 << 14, 1 << 11  # rows of a side of a block
+COMPARED = 1 << 17  # comparisons of a block at a time
 
 
 def _signed(u: int) -> int:
@@ -65,11 +83,13 @@ def _flips(mask: int, radius: int) -> list[int]:
 
 @dataclass(frozen=True)
 class BandPlan:
-    """Bands as bit masks, the radius probed on each, and each band's entropy in bits."""
+    """Bands as bit masks, the radius probed on each, each band's entropy in bits, and how much of
+    each radius the index side flips (nothing, if empty)."""
 
     radii: tuple[int, ...]
     masks: tuple[int, ...]
     entropy: tuple[float, ...]
+    shared: tuple[int, ...] = ()
 
     @property
     def bands(self) -> int:
@@ -86,9 +106,21 @@ class BandPlan:
             return N_BITS  # every value of some band is probed
         return sum(r + 1 for r in self.radii) - 1
 
+    @property
+    def index_radii(self) -> tuple[int, ...]:
+        return self.shared or (0,) * self.bands
+
+    @property
+    def probe_radii(self) -> tuple[int, ...]:
+        return tuple(r - i for r, i in zip(self.radii, self.index_radii, strict=True))
+
     @property
     def keys_per_row(self) -> int:
-        return sum(_keys(w, r) for w, r in zip(self.widths, self.radii, strict=True))
+        return sum(_keys(w, r) for w, r in zip(self.widths, self.probe_radii, strict=True))
+
+    @property
+    def index_keys(self) -> int:
+        return sum(_keys(w, r) for w, r in zip(self.widths, self.index_radii, strict=True))
 
 
 UNIFORM = (1.0,) * N_BITS
@@ -158,6 +190,26 @@ def _near_shares(mask: int, entropy: Sequence[float], differ: np.ndarray | None)
     return shares
 
 
+def _meetings(width: int, radius: int, shared: int, shares: np.ndarray) -> float:
+    """Values of a band on which a pair of hashes is expected to meet, the probe flipping up to
+    ``radius - shared`` bits and the index up to ``shared``."""
+    if not shared:
+        return float(shares[radius])
+    at = np.diff(np.maximum.accumulate(shares), prepend=0.0)
+    return sum(float(at[d]) * _ways(width, d, radius - shared, shared) for d in range(radius + 1))
+
+
+@cache
+def _ways(width: int, d: int, probe: int, index: int) -> int:
+    """Values within ``probe`` flips of one and ``index`` flips of the other of two values that differ in ``d`` bits."""
+    # i of these bits are flipped on the probe's side, e of the others on both
+    return sum(
+        math.comb(d, i) * math.comb(width - d, e)
+        for i in range(max(0, d - index), min(d, probe) + 1)
+        for e in range(min(probe - i, index - d + i, width - d) + 1)
+    )
+
+
 def _allotted(threshold: int, costs: list[list[float]]) -> tuple[float, tuple[int, ...]]:
     """Radii r_j with sum(r_j + 1) = threshold + 1 at the least total of ``costs[j][r_j + 1]``
     (a band with radius -1 is not used), by dynamic programming over the bands."""
@@ -180,51 +232,83 @@ def _cheapest(
     bits: list[int],
     entropy: Sequence[float],
     sample: np.ndarray | None = None,
+    share: bool = False,
 ) -> BandPlan:
     """The plan of least cost over all numbers of bands and all radii that the general pigeonhole
     allows: two hashes within the threshold differ in at most r_j bits on some band j whenever
-    the sum of (r_j + 1) exceeds it."""
+    the sum of (r_j + 1) exceeds it.  With ``share`` also over how the sides share each radius."""
     differ = sampled_distances(sample) if sample is not None and len(sample) > 1 else None
     best, best_cost = None, math.inf
+    everything, weight = float(n_probe) * n_index, SHUFFLED if share else 1
     for m in range(1, min(threshold + 1, len(bits)) + 1):
         masks, total = _deal(bits, entropy, m)
-        costs = []
+        costs, parts = [], []
         for mask in masks:
             width, shares = mask.bit_count(), _near_shares(mask, entropy, differ)
-            row = [0.0]
+            row, part = [0.0], [0]
             for r in range(width + 1):
-                keys = _keys(width, r)
-                if keys > MAX_KEYS_PER_ROW:
+                ways = [
+                    (weight * (n_probe * keys + n_index * _keys(width, i)) + everything * _meetings(width, r, i, shares), i)
+                    for i in range(r // 2 + 1 if share else 1)
+                    if (keys := _keys(width, r - i)) <= MAX_KEYS_PER_ROW
+                ]
+                if not ways:
                     break
-                row.append(n_probe * keys + n_index + float(n_probe) * n_index * float(shares[r]))
+                cost, i = min(ways)
+                row.append(cost)
+                part.append(i)
             if len(row) == width + 2:  # probing every value of a band meets all hashes, at any distance
                 row += [row[-1]] * (threshold + 1 - len(row) + 1)
             costs.append(row)
+            parts.append(part)
         cost, radii = _allotted(threshold, costs)
         radii = tuple(min(r, mask.bit_count()) for r, mask in zip(radii, masks, strict=False))
         if cost >= best_cost:
             continue
         used = [j for j, r in enumerate(radii) if r >= 0]
-        plan = BandPlan(*(tuple(x[j] for j in used) for x in (radii, masks, total)))
+        shared = tuple(parts[j][radii[j] + 1] for j in used)
+        plan = BandPlan(*(tuple(x[j] for j in used) for x in (radii, masks, total)), shared if any(shared) else ())
         if plan.keys_per_row <= MAX_KEYS_PER_ROW:
             best, best_cost = plan, cost
     return best or band_plan(threshold, threshold + 1, entropy)
 
 
-def choose_band_plan(threshold: int, n_probe: int, n_index: int, sample: np.ndarray | None = None) -> BandPlan:
+def choose_band_plan(
+    threshold: int, n_probe: int, n_index: int, sample: np.ndarray | None = None, share: bool = False
+) -> BandPlan:
     """Cheapest exact plan: probe rows + index rows + expected candidate pairs."""
     entropy = sample_entropy(sample)
     live = [b for b in range(N_BITS) if entropy[b] > 0] or list(range(N_BITS))
-    return _cheapest(threshold, n_probe, n_index, live, entropy, sample)
+    return _cheapest(threshold, n_probe, n_index, live, entropy, sample, share)
+
+
+def _blocks_pay(plan: BandPlan, n_probe: int, n_index: int, sample: np.ndarray) -> bool:
+    """Whether comparing all hashes costs less than the rows and candidates of ``plan``."""
+    everything = float(n_probe) * n_index
+    if everything < BLOCKS_FROM:
+        return False
+    entropy, differ = sample_entropy(sample), sampled_distances(sample) if len(sample) > 1 else None
+    met = sum(
+        _meetings(m.bit_count(), r, i, _near_shares(m, entropy, differ))
+        for m, r, i in zip(plan.masks, plan.radii, plan.index_radii, strict=True)
+    )
+    rows = float(n_probe) * plan.keys_per_row + float(n_index) * plan.index_keys
+    return PROBE_COST * rows + CANDIDATE_COST * met * everything > everything
 
 
 def _index_rows(df: DataFrame, h: str, plan: BandPlan) -> DataFrame:
+    if plan.shared:
+        return _flipped_rows(spread(df), h, plan, plan.index_radii)
     vals = [F.col(h).bitwiseAND(F.lit(_signed(m)).cast("long")) for m in plan.masks]
     return df.select("*", F.posexplode(F.array(*vals)).alias("_band", "_key"))
 
 
 def _probe_rows(df: DataFrame, h: str, plan: BandPlan) -> DataFrame:
-    entries = [(j, _signed(f)) for j, m in enumerate(plan.masks) for f in _flips(m, plan.radii[j])]
+    return _flipped_rows(df, h, plan, plan.probe_radii)
+
+
+def _flipped_rows(df: DataFrame, h: str, plan: BandPlan, radii: Sequence[int]) -> DataFrame:
+    entries = [(j, _signed(f)) for j, m in enumerate(plan.masks) for f in _flips(m, radii[j])]
     bands = F.lit([j for j, _ in entries])
     masks = F.lit([_signed(m) for m in plan.masks]).cast("array<bigint>")
     out = df.select("*", F.posexplode(F.lit([f for _, f in entries]).cast("array<bigint>")).alias("_e", "_flip"))
@@ -242,13 +326,33 @@ def _first_band_ok(x: Column, band: Column, plan: BandPlan) -> Column:
     return reduce(lambda a, b: a & b, conds, F.lit(True))
 
 
+def _lowest_flipped(hp: str, hi: str, plan: BandPlan) -> Column:
+    """True on one of the values on which a pair meets: of the bits of the band that differ the
+    probe has flipped the lowest, as many as it may, and the index the others."""
+    if not plan.shared:
+        return F.lit(True)
+    band1, zero = F.col("_band") + 1, F.lit(0).cast("long")
+    mine = F.element_at(F.lit([_signed(m) for m in plan.masks]).cast("array<bigint>"), band1)
+    a = F.col("_key").bitwiseXOR(F.col(hp).bitwiseAND(mine))
+    b = F.col("_key").bitwiseXOR(F.col(hi).bitwiseAND(mine))
+    most = F.element_at(F.lit(list(plan.probe_radii)), band1)
+    # -b and lowest - 1 leave the range of bigint for bit 63 alone
+    lowest = b.bitwiseAND(F.coalesce(F.try_subtract(zero, b), b))
+    below = F.coalesce(F.try_subtract(lowest, F.lit(1).cast("long")), F.lit((1 << (N_BITS - 1)) - 1).cast("long"))
+    apart = (a.bitwiseAND(b) == 0) & (a.bitwiseAND(F.bitwise_not(below)) == 0)
+    return apart & (F.bit_count(a) == F.least(most, F.bit_count(a.bitwiseOR(b))))
+
+
 def _may_have_hot_keys(plan: BandPlan, n_index: int, sample: np.ndarray) -> bool:
     """Whether to look for hot keys: not if no key can be hot, nor if a hot key would have to hold
     a twentieth of all hashes and no sampled key holds half of that."""
-    hot = max(HOT_KEY_MIN_ROWS, n_index * plan.bands / MAX_HOT_KEYS) / max(n_index, 1)
+    hot = max(HOT_KEY_MIN_ROWS, n_index * plan.index_keys / MAX_HOT_KEYS) / max(n_index, 1)
     if hot >= 1 or hot < 0.05 or len(sample) < min(SAMPLE, n_index):
         return hot < 1
-    top = max(np.unique(sample & np.uint64(m), return_counts=True)[1].max() for m in plan.masks)
+    top = 0
+    for m, i in zip(plan.masks, plan.index_radii, strict=True):
+        keys = (sample & np.uint64(m))[:, None] ^ np.array(_flips(m, i), np.uint64)
+        top = max(top, np.unique(keys, return_counts=True)[1].max())
     return top / len(sample) >= hot / 2
 
 
@@ -306,6 +410,58 @@ def _hot_join(
     return cand.where(hamming(hp, hi) <= threshold).where(first).drop("_s", "_key2")
 
 
+def _near_in_block(probe: Sequence[str], index: Sequence[str], hp: str, hi: str, threshold: int, half: bool):
+    def search(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = pa.Table.from_batches(list(batches))
+        side = block.column("_side").to_numpy()
+        left = block.filter(pa.array(side == 0)).select(probe).combine_chunks()
+        right = block.filter(pa.array(side == 1)).select(index).combine_chunks()
+        p, q = (t.column(c).to_numpy().view(np.uint64) for t, c in ((left, hp), (right, hi)))
+        same = key[0].as_py() == key[1].as_py()
+        step = max(1, COMPARED // max(len(q), 1))
+        for at in range(0, len(p) if len(q) else 0, step):
+            x = p[at : at + step]
+            far = np.bitwise_count(x[:, None] ^ q)
+            near = np.flatnonzero(far <= threshold)
+            i, j = np.divmod(near, len(q))
+            if half:
+                swap = p.view(np.int64)[i + at] > q.view(np.int64)[j]
+                if same:  # both orders are met
+                    kept = ~swap & (x[i] != q[j])
+                    near, i, j, swap = near[kept], i[kept], j[kept], swap[kept]
+            if len(near):
+                cells = [left.column(c).take(pa.array(i + at)) for c in probe]
+                cells += [right.column(c).take(pa.array(j)) for c in index]
+                if half and not same:
+                    k, other = len(probe), pa.array(swap)
+                    turned = [pc.if_else(other, b, a) for a, b in zip(cells[:k], cells[k:])]
+                    cells = turned + [pc.if_else(other, a, b) for a, b in zip(cells[:k], cells[k:])]
+                cells.append(pa.array(far.ravel()[near].astype(np.int32)))
+                out = pa.Table.from_arrays(cells, names=[*probe, *index, "distance"])
+                yield from out.combine_chunks().to_batches()
+
+    return search
+
+
+def _block_join(
+    probe: DataFrame, index: DataFrame, hp: str, hi: str, threshold: int, n_probe: int, n_index: int, half: bool
+) -> DataFrame:
+    """Pairs within ``threshold``, by comparing the hashes of every block of the probe side with those
+    of every block of the index side.  ``half``: as in :func:`similarity_join`."""
+    size, tasks = BLOCK, int(probe.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while size > LEAST_BLOCK and -(-n_probe // size) * -(-n_index // size) < tasks:
+        size //= 2
+    nums = [-(-n // size) for n in (n_probe, n_index)]
+    i, j = F.pmod(F.xxhash64(hp), F.lit(nums[0])), F.pmod(F.xxhash64(hi), F.lit(nums[1]))
+    from_i = F.sequence(i if half else F.lit(0).cast("long"), F.lit(nums[1] - 1).cast("long"))
+    to_j = F.sequence(F.lit(0).cast("long"), j if half else F.lit(nums[0] - 1).cast("long"))
+    p = probe.where(F.col(hp).isNotNull()).select("*", i.alias("_i"), F.explode(from_i).alias("_j"), F.lit(0).alias("_side"))
+    x = index.where(F.col(hi).isNotNull()).select("*", j.alias("_j"), F.explode(to_j).alias("_i"), F.lit(1).alias("_side"))
+    found = _near_in_block(probe.columns, index.columns, hp, hi, threshold, half)
+    schema = T.StructType([*probe.schema.fields, *index.schema.fields, T.StructField("distance", T.IntegerType())])
+    return p.unionByName(x, allowMissingColumns=True).groupBy("_i", "_j").applyInArrow(found, schema)
+
+
 def similarity_join(
     probe: DataFrame,
     index: DataFrame,
@@ -317,11 +473,14 @@ def similarity_join(
     n_probe: int | None = None,
     n_index: int | None = None,
     sample: np.ndarray | None = None,
+    half: bool = False,
 ) -> DataFrame:
     """All (probe row, index row) pairs with Hamming distance <= threshold, plus ``distance``.
 
     Column names of the two sides must not clash except for the hash columns, which are
     renamed ``{name}_probe`` / ``{name}_index`` when equal.  Rows without a hash have no pairs.
+    With ``half`` both sides are one table of distinct hashes, with their columns in the same order, and
+    the pairs whose probe hash is the smaller are returned.
     """
     if probe_hash == index_hash:
         probe = probe.withColumnRenamed(probe_hash, f"{probe_hash}_probe")
@@ -332,7 +491,9 @@ def similarity_join(
     if sample is None and (plan is None or split_hot_keys):
         sample = hash_sample(index, index_hash)
     if plan is None:
-        plan = choose_band_plan(threshold, max(n_probe, 1), max(n_index, 1), sample)
+        plan = choose_band_plan(threshold, max(n_probe, 1), max(n_index, 1), sample, share=True)
+        if _blocks_pay(plan, n_probe, n_index, sample):
+            return _block_join(probe, index, probe_hash, index_hash, threshold, n_probe, n_index, half)
     if plan.keys_per_row > MAX_KEYS_PER_ROW:
         raise ValueError(f"band plan needs {plan.keys_per_row} probe keys per row; use more bands")
     irows = _index_rows(index, index_hash, plan)
@@ -341,7 +502,7 @@ def similarity_join(
     keys = ["_band", "_key"]
     cand = None
     if split_hot_keys and _may_have_hot_keys(plan, n_index, sample):
-        found = cut_lineage(_hot_keys(irows, n_index * plan.bands), "hot-keys")
+        found = cut_lineage(_hot_keys(irows, n_index * plan.index_keys), "hot-keys")
         largest = found.agg(F.max("_est")).first()[0]  # one scalar
         if largest is not None:
             hot = F.broadcast(found.select(*keys))
@@ -362,9 +523,12 @@ def similarity_join(
         cand = prows.hint("merge").join(irows, keys, "inner")
     x = F.col(probe_hash).bitwiseXOR(F.col(index_hash))
     dist = hamming(probe_hash, index_hash)
+    if half:
+        cand = cand.where(F.col(probe_hash) < F.col(index_hash))
     return (
         cand.where(dist <= threshold)
         .where(_first_band_ok(x, F.col("_band"), plan))
+        .where(_lowest_flipped(probe_hash, index_hash, plan))
         .withColumn("distance", dist)
         .drop(*keys)
     )
@@ -404,9 +568,10 @@ def similar_pairs(
         n_probe=n,
         n_index=n,
         sample=hash_sample(distinct),
+        half=True,
     )
     kept = [f"{c}_{side}" for c in names if c != "h" for side in "ab"]
-    return pairs.where(F.col("h_a") < F.col("h_b")).select("h_a", "h_b", "distance", *kept)
+    return pairs.select("h_a", "h_b", "distance", *kept)
 
 
 def join_stats(hashes: DataFrame, threshold: int, hash_col: str = "h") -> dict:

@@ -24,13 +24,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from imprint._ship import ship_with_tasks
-from imprint.operators.hamming import N_BITS, BandPlan, choose_band_plan, hash_sample, sampled_distances, similarity_join
+from imprint.operators.hamming import (
+    CANDIDATE_COST,
+    N_BITS,
+    PROBE_COST,
+    BandPlan,
+    choose_band_plan,
+    hash_sample,
+    sampled_distances,
+    similarity_join,
+)
 from imprint.session import cut_lineage
 
 ship_with_tasks(__name__)
 
 ROUNDS = (1 / 64, 1 / 16, 1 / 4)  # cost of a round against comparing the queries with everything
-PROBE_COST, CANDIDATE_COST = 100, 50  # of a row, against one comparison in a block
 QUERY_BLOCK, HASH_BLOCK = 1 << 14, 1 << 20  # most rows of a block of either side
 LEAST_BLOCK = 1 << 10  # query blocks are not made smaller than this to occupy more tasks
 
