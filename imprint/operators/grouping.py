@@ -17,18 +17,24 @@ decides, however long it is.  Each round is a few
 equi-joins on the shrinking edge table; its state is written to the shared
 checkpoint folder so the lineage stays one round deep, and one emptiness test per round is the
 only thing the driver sees.
+
+Where hashes have very many neighbours, all pairs would be a fixed share of the square of the hashes,
+and most of them join covered hashes.  There the walk goes in blocks: one task walks the first
+undecided hashes, a bounded block, and its seeds are joined with all hashes.  That gives their balls
+and decides every hash in them, so a few blocks leave little, and no other pair is ever made.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from imprint._ship import ship_with_tasks
 from imprint.operators.components import components
-from imprint.operators.hamming import BandPlan, similar_pairs
+from imprint.operators.hamming import BandPlan, hash_sample, sampled_distances, similar_pairs, similarity_join
 from imprint.operators.ranking import number_rows
 from imprint.session import cut_lineage
 
@@ -36,6 +42,8 @@ ship_with_tasks(__name__)
 
 PARALLEL_ROUNDS = 4
 WALK_EDGES = 20_000  # most edges of a component that one task walks
+WALK_BLOCK = 1 << 14  # hashes of a block that one task walks
+DENSE = 4  # neighbours that a hash has in such a block, from which on hashes are walked in blocks
 
 
 def hash_table(files: DataFrame, key_col: str = "id", hash_col: str = "h") -> DataFrame:
@@ -148,6 +156,51 @@ def leader_seeds(pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
     return undecided if seeds is None else seeds.unionByName(undecided)
 
 
+def _walk_block(threshold: int):
+    def walk(block: pa.Table) -> pa.Table:
+        order = np.argsort(block.column("place").to_numpy())
+        h = block.column("h").to_numpy()[order].view(np.uint64)
+        seeds = []
+        while len(h):
+            seeds.append(h[0])
+            h = h[np.bitwise_count(h ^ h[0]) > threshold]
+        return pa.table({"h": np.array(seeds, np.uint64).view(np.int64)})
+
+    return walk
+
+
+def _dense(hashes: DataFrame, threshold: int) -> bool:
+    """Whether a block of these hashes decides many others, by a bounded sample of them."""
+    differ = sampled_distances(hash_sample(hashes))
+    return bool(len(differ)) and float((np.bitwise_count(differ) <= threshold).mean()) * WALK_BLOCK >= DENSE
+
+
+def _balls_by_blocks(nodes: DataFrame, threshold: int, n_nodes: int) -> DataFrame:
+    """(seed_h, h, distance): the ball of every seed, itself included, found block by block.
+
+    When what is left is no longer dense, its seeds are found from its pairs."""
+    undecided, n_left, balls = nodes.select("h", "first_key"), n_nodes, None
+    sample = hash_sample(nodes)
+    while n_left:
+        if n_left <= WALK_BLOCK or _dense(undecided, threshold):
+            placed = number_rows(undecided, ["first_key", "h"], out="place")
+            first = placed.where(F.col("place") <= WALK_BLOCK).select("h", "place")
+            seeds = first.groupBy(F.lit(0).alias("block")).applyInArrow(_walk_block(threshold), "h long")
+        else:
+            found = cut_lineage(similar_pairs(undecided, threshold, distinct_input=True, carry="first_key"), "g1-pairs")
+            paired = found.select(F.col("h_a").alias("h")).union(found.select(F.col("h_b").alias("h")))
+            seeds = leader_seeds(found).unionByName(undecided.select("h").join(paired, "h", "left_anti"))
+        seeds = cut_lineage(seeds.select(F.col("h").alias("seed_h")), "g1-seeds")
+        ball = similarity_join(
+            seeds, nodes.select("h"), threshold, "seed_h", "h", n_probe=seeds.count(), n_index=n_nodes, sample=sample
+        )
+        ball = cut_lineage(ball.select("seed_h", "h", "distance"), "g1-balls")
+        balls = ball if balls is None else balls.unionByName(ball)
+        undecided = cut_lineage(undecided.join(ball.select("h").distinct(), "h", "left_anti"), "g1-nodes")
+        n_left = undecided.count()
+    return balls
+
+
 def duplicate_groups(
     files: DataFrame,
     threshold: int = 5,
@@ -167,6 +220,15 @@ def duplicate_groups(
         files.select(F.col(key_col).alias("_key"), F.col(hash_col).alias("h")).where(F.col("h").isNotNull()), "g1-files"
     )
     nodes = cut_lineage(hash_table(files, "_key", "h"), "g1-hashes")
+    if pairs is None and plan is None and _dense(nodes, threshold):
+        balls = _balls_by_blocks(nodes, threshold, nodes.count())
+        copied = nodes.where(F.col("n_files") > 1).select(F.col("h").alias("seed_h"))
+        copied = balls.where("h = seed_h").select("seed_h").join(copied, "seed_h", "left_semi")
+        many = balls.where("h <> seed_h").select("seed_h").unionByName(copied).distinct()
+        group_seeds = many.join(nodes.select(F.col("h").alias("seed_h"), "first_key"), "seed_h")
+        numbered = number_rows(group_seeds, ["first_key", "seed_h"], out="group_no").select("seed_h", "group_no")
+        ball = balls.join(numbered, "seed_h").select("group_no", "seed_h", "h", "distance")
+        return _ball_files(ball, files, key_col)
     if pairs is None:
         found = similar_pairs(nodes, threshold, "h", plan=plan, distinct_input=True, carry="first_key")  # G1a
     else:
@@ -196,6 +258,10 @@ def duplicate_groups(
             )
         )
     )
+    return _ball_files(ball, files, key_col)
+
+
+def _ball_files(ball: DataFrame, files: DataFrame, key_col: str) -> DataFrame:
     # Hash -> files; a hash shared by very many files is split by AQE's skew join
     return ball.join(files, "h").select("group_no", "seed_h", F.col("_key").alias(key_col), "h", "distance")
 

@@ -77,3 +77,48 @@ def test_blocks_equal_brute_force(spark, monkeypatch, t):
     name = lambda r: (r[0], r[1], r[2], r[3] or "", r[4])
     assert sorted(map(name, map(tuple, met.collect()))) == sorted(map(name, want * 2))
     assert met.columns == ["q", "hq", "h", "key", "distance"]
+
+
+def walked(files, t):
+    """Groups by the sequential walk: (group, seed, key, hash, distance)."""
+    by = {}
+    for key, h in files:
+        by.setdefault(h, []).append(key)
+    order = sorted(by, key=lambda h: (min(by[h]), h))
+    covered, out, no = set(), set(), 0
+    for s in order:
+        if s in covered:
+            continue
+        ball = [h for h in order if far(s, h) <= t]
+        if len(ball) > 1 or len(by[s]) > 1:
+            no += 1
+            covered.update(ball)
+            out |= {(no, s, key, h, far(s, h)) for h in ball for key in by[h]}
+    return out
+
+
+@pytest.mark.parametrize(("t", "sparse"), [(22, False), (22, True), (5, True)])
+def test_dense_groups_without_all_pairs(spark, monkeypatch, t, sparse):
+    """Several blocks, and what is left by its pairs; equal to the walk over all hashes."""
+    import imprint.operators.grouping as grouping
+
+    monkeypatch.setattr(grouping, "WALK_BLOCK", 20)
+    dense = [True, *[not sparse] * 1000]
+    monkeypatch.setattr(grouping, "_dense", lambda *a: dense.pop(0))
+    made = []
+    plain = grouping.similar_pairs
+    monkeypatch.setattr(grouping, "similar_pairs", lambda h, *a, **kw: made.append(h.count()) or plain(h, *a, **kw))
+    hs = hashes(t, 6)
+    files = [(f"f{i % 97}-{i}", h) for i, h in enumerate(hs)] + [(f"c{i}", h) for i, h in enumerate(hs[::9])]
+    df = spark.createDataFrame(files, "path string, h long")
+    rows = [tuple(r) for r in grouping.duplicate_groups(df, t, key_col="path").collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == walked(files, t)
+    assert bool(made) == sparse and all(n <= len(hs) for n in made)
+
+
+def test_density_is_seen_on_a_sample(spark):
+    import imprint.operators.grouping as grouping
+
+    rng = random.Random(3)
+    df = spark.createDataFrame([(signed(rng.getrandbits(64)),) for _ in range(600)], LONG)
+    assert grouping._dense(df, 26) and not grouping._dense(df, 5)
