@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -214,7 +215,7 @@ def fingerprint(df: DataFrame, grid_col: str = "grid", method: str = "phash", ou
 
 # The characters that separate tokens.
 TOKEN_BLANKS = b" \t\r\n"
-KNOWN_TOKENS = 1 << 19  # token hashes that a task remembers at once
+KNOWN_TOKENS = 1 << 16  # token hashes that a task remembers at once
 SIMHASH_RUN = 1 << 21  # bytes of token hashes unpacked at a time (eight times as many)
 
 
@@ -229,17 +230,17 @@ def simhash_numpy(digests: bytes) -> int:
     return int(np.packbits(2 * ones > n).view(">i8")[0])
 
 
-@F.pandas_udf(T.LongType())
-def _simhash_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(T.LongType())
+def _simhash_udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     blanks = bytes.maketrans(TOKEN_BLANKS, b" " * len(TOKEN_BLANKS))
     known: dict[bytes, bytes] = {}
     for texts in batches:
         out: list[int | None] = []
-        for text in texts:
-            if text is None:
+        for text in texts:  # a batch stays in Arrow, and one text at a time is a Python object
+            if not text.is_valid:
                 out.append(None)
                 continue
-            tokens = set(bytes(text).translate(blanks).split(b" "))
+            tokens = set(text.as_py().translate(blanks).split(b" "))
             tokens.discard(b"")
             digests = []
             for t in tokens:
@@ -250,7 +251,7 @@ def _simhash_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
                     d = known[t] = hashlib.md5(t, usedforsecurity=False).digest()[:8]
                 digests.append(d)
             out.append(simhash_numpy(b"".join(digests)))
-        yield pd.Series(pd.array(out, dtype="Int64"))
+        yield pa.array(out, pa.int64())
 
 
 _simhash_once = _simhash_udf.asNondeterministic()  # see _phash_once

@@ -122,3 +122,23 @@ def test_density_is_seen_on_a_sample(spark):
     rng = random.Random(3)
     df = spark.createDataFrame([(signed(rng.getrandbits(64)),) for _ in range(600)], LONG)
     assert grouping._dense(df, 26) and not grouping._dense(df, 5)
+
+
+def test_fingerprints_hold_few_tokens():
+    """Texts of ever new tokens: what a task remembers stays small, nulls and blanks are kept."""
+    import hashlib
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from imprint.operators import fingerprint as fpr
+
+    texts = [None, b"", b" \t\r\n", *(b" ".join(b"w%d-%d" % (i, j) for j in range(1000)) for i in range(300))]
+    batches = [pa.array(texts[i : i + 50], pa.binary()) for i in range(0, len(texts), 50)]
+    tracemalloc.start()
+    got = [h for out in fpr._simhash_udf.func(iter(batches)) for h in out.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32e6
+    digests = [hashlib.md5(w).digest()[:8] for w in texts[7].split(b" ")]
+    assert got[:3] == [None, 0, 0] and got[7] == fpr.simhash_numpy(b"".join(digests)) and len(got) == len(texts)
