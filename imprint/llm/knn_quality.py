@@ -44,6 +44,7 @@ SAMPLE_PER_LABEL = 2000
 NEIGHBOURS = 25
 SHARPNESS = 8  # power of the similarity in a vote
 BLOCK = 512
+STEPS = 1 << 24  # vectors are rounded to multiples of its inverse before they are multiplied
 GRID = 1 << 20  # similarities are rounded to multiples of its inverse
 MAX_WORDS = 300_000  # entries of a task's word table
 
@@ -101,16 +102,14 @@ class Model:
     prior: float
 
     def latent(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        return _unit(_dense(texts, self.weights) @ self.projection)
+        return _unit(_steps(_dense(texts, self.weights)) @ _steps(self.projection))
 
     def score(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """The vote of each text's nearest labelled vectors."""
         if not len(self.vectors):
             return np.full(len(texts), self.prior)
-        n = len(texts)  # blocks of one shape give a row the same products in any block
-        pad = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * (-n % BLOCK)
-        alike = (self.latent([*texts, *pad]) @ self.vectors.T)[:n]
-        grid = np.rint(alike.astype(np.float64) * GRID).astype(np.int64)
+        alike = _steps(self.latent(texts)) @ _steps(self.vectors).T
+        grid = np.rint(alike * (GRID / STEPS**2)).astype(np.int64)
         m = alike.shape[1]
         k = min(NEIGHBOURS, m)
         key = grid * m - np.arange(m)  # ties go to the labelled row that comes first
@@ -130,6 +129,12 @@ def _dense(texts: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray) -> n
     return x
 
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Whole numbers of 1 / STEPS.  Products of such vectors, no longer than 2 each, are exact in doubles in
+    any order, so a row scores the same at any place of any block."""
+    return np.rint(x * STEPS).astype(np.float64)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
     return x / np.where(norm > 0, norm, 1)

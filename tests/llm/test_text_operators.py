@@ -528,6 +528,20 @@ def test_quality_votes_equal_brute_force_in_any_partitioning(spark):
         assert abs(seen[r.doc_id] - want) < 1e-3
 
 
+def test_quality_of_a_text_is_the_same_at_any_place_of_a_block():
+    rng = np.random.default_rng(5)
+    unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    projection = unit(rng.standard_normal((knn_quality.RANK, knn_quality.DIMS))).T
+    labels = rng.integers(0, 2, 400)
+    vectors = unit(rng.standard_normal((400, knn_quality.RANK)))
+    model = knn_quality.Model(rng.random(knn_quality.DIMS) + 0.1, projection, vectors, np.full(400, 0.1), labels, 0.5)
+    rows = [np.sort(rng.choice(knn_quality.DIMS, 80, replace=False)) for _ in range(200)]
+    texts = [(at, rng.integers(1, 9, len(at))) for at in rows]
+    alone = [model.score([t])[0] for t in texts]
+    for n in (2, 7, 61, 200):
+        assert [x for at in range(0, 200, n) for x in model.score(texts[at : at + n])] == alone
+
+
 def test_registered_digests(spark, sf_dir, tokenizer):
     rows = registry()["op5_distinct_word_bpe"](spark, sf_dir).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
